@@ -109,8 +109,8 @@ def _splitters(lean: DataFrame, n_shards: int, tolerance: float, probes: int) ->
     ceiling = min(_SPACE - 1, ((ends["high"] + half + 1) << 128)) if ends["known"] else 1 << 128
     goals = [total * i // n_shards for i in range(1, n_shards)]
     slack = tolerance * total / n_shards
-    # For each splitter: a boundary at or below it, one above it, and the exact sizes below both.
-    spans = [[floor, ceiling, 0, total] for _ in goals]
+    # For each splitter: a boundary at or below it, one above it, and the exact sizes and rows below both.
+    spans = [[floor, ceiling, (0, 0), (total, ends["n"])] for _ in goals]
     chosen: list[int | None] = [None] * len(goals)
     while any(c is None for c in chosen):
         points = set()
@@ -126,29 +126,31 @@ def _splitters(lean: DataFrame, n_shards: int, tolerance: float, probes: int) ->
             span = spans[i]
             for p in points:
                 if span[0] < p < span[1]:
-                    if below[p] <= goal:
+                    if below[p][0] <= goal:
                         span[0], span[2] = p, below[p]
                     else:
                         span[1], span[3] = p, below[p]
                         break
-            best = min((goal - span[2], span[0]), (span[3] - goal, span[1]))
-            if best[0] <= slack or span[1] - span[0] <= 1:
+            best = min((goal - span[2][0], span[0]), (span[3][0] - goal, span[1]))
+            if best[0] <= slack or span[3][1] - span[2][1] <= 1 or span[1] - span[0] <= 1:
                 chosen[i] = best[1]
     return sorted(c for c in chosen if c is not None)
 
 
-def _sizes_below(lean: DataFrame, points: list[int]) -> dict[int, int]:
-    """Exact size of all rows whose key is below each point."""
+def _sizes_below(lean: DataFrame, points: list[int]) -> dict[int, tuple[int, int]]:
+    """Exact size and number of all rows whose key is below each point."""
 
     def histogram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros(len(points) + 1, "int64")
+        sums, rows = np.zeros(len(points) + 1, "int64"), np.zeros(len(points) + 1, "int64")
         for pdf in batches:
-            np.add.at(sums, _rank(_keys(pdf, "k", "t", "o"), points), pdf["w"].to_numpy())
-        at = np.flatnonzero(sums)
-        yield pd.DataFrame({"bin": at.astype("int64"), "w": sums[at]})
-
-    rows = lean.mapInPandas(histogram, "bin long, w long").groupBy("bin").agg(F.sum("w").alias("w")).collect()
-    sums = np.zeros(len(points) + 1, "int64")
-    for row in rows:
-        sums[row["bin"]] = row["w"]
-    return dict(zip(points, np.cumsum(sums)[:-1].tolist(), strict=True))
+            ranks = _rank(_keys(pdf, "k", "t", "o"), points)
+            np.add.at(sums, ranks, pdf["w"].to_numpy())
+            np.add.at(rows, ranks, 1)
+        at = np.flatnonzero(rows)
+        yield pd.DataFrame({"bin": at.astype("int64"), "w": sums[at], "n": rows[at]})
+
+    found = lean.mapInPandas(histogram, "bin long, w long, n long").groupBy("bin").agg(F.sum("w").alias("w"), F.sum("n").alias("n")).collect()
+    sums = np.zeros((len(points) + 1, 2), "int64")
+    for row in found:
+        sums[row["bin"]] = row["w"], row["n"]
+    return dict(zip(points, map(tuple, np.cumsum(sums, axis=0)[:-1].tolist()), strict=True))
