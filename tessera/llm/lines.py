@@ -7,15 +7,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm.common import SPACES, free_name, materialise
+from tessera.llm.common import free_name, materialise
 
 _MIX = 0x9E3779B97F4A7C15  #: odd, so powers of it never vanish modulo 2^64
 
 
-def within_one_edit(a: list[str], b: list[str]) -> bool:
+def within_one_edit(a: list, b: list) -> bool:
     """Whether one word put in, left out or replaced at most turns ``a`` into ``b``."""
     if len(a) > len(b):
         a, b = b, a
@@ -43,26 +45,58 @@ def deletion_keys(hashes: np.ndarray, first: int, last: int) -> tuple[np.ndarray
     return before[at] + (shifted[n - 1] - shifted[at]), int(before[n])
 
 
-def _lines(df: DataFrame, doc: str, text: str) -> DataFrame:
-    """``doc, uid, line_no, w``: the lines of every document; ``uid`` stands for id and text."""
-    return df.select(
-        F.col(doc).cast("long").alias("doc"),
-        F.xxhash64(F.col(doc), F.col(text)).alias("uid"),
-        F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"),
-    ).select("doc", "uid", "line_no", F.filter(F.split("line", SPACES), lambda w: w != "").alias("w"))
+def _long_lines(df: DataFrame, doc: str, text: str, min_words: int) -> DataFrame:
+    """``h, doc, uid, line_no, keys`` of every line of enough words; ``uid`` stands for id and text.
 
+    ``h`` is the hash of the line's words. Two lines within one edit share one of their ``keys``: of as many
+    words as the shorter one has, the first or the last half is untouched.
+    """
 
-def _half_keys(w: Column) -> Column:
-    """Keys of which two lines within one edit share one: of the shorter's length, a half is untouched."""
-
-    def keys(short: Column) -> list[Column]:
-        half = F.floor(short / 2).cast("int")
-        return [
-            F.xxhash64(short, F.lit(0), F.slice(w, 1, half)),
-            F.xxhash64(short, F.lit(1), F.slice(w, F.size(w) - half + 1, half)),
-        ]
-
-    return F.array(*keys(F.size(w)), *keys(F.size(w) - 1))
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh64_intdigest
+        for batch in batches:
+            docs, lines, hashes, keys = [], [], [], []
+
+            def made() -> pa.RecordBatch:
+                at = pa.array(docs, pa.int64())
+                flat = pa.array(np.array(keys, "uint64").view("int64"))
+                ends = pa.array(np.arange(0, 4 * len(docs) + 1, 4, dtype="int32"))
+                columns = [pa.array(np.array(hashes, "uint64").view("int64")), batch.column(0).take(at), batch.column(1).take(at), pa.array(lines, pa.int32()), pa.ListArray.from_arrays(ends, flat)]  # noqa: B023
+                return pa.RecordBatch.from_arrays(columns, names=["h", "doc", "uid", "line_no", "keys"])
+
+            for i, raw in enumerate(batch.column(2)):
+                for number, line in enumerate((raw.as_py() or b"").split(b"\n")):
+                    w = line.split()
+                    if len(w) < min_words:
+                        continue
+                    docs.append(i)
+                    lines.append(number)
+                    hashes.append(digest(b" ".join(w), 7))
+                    for short in (len(w), len(w) - 1):
+                        half = short // 2
+                        keys.append(digest(b" ".join(w[:half]), 2 * short))
+                        keys.append(digest(b" ".join(w[len(w) - half :]), 2 * short + 1))
+                if len(docs) >= 100_000:
+                    yield made()
+                    docs, lines, hashes, keys = [], [], [], []
+            yield made()
+
+    lean = df.select(
+        F.col(doc).cast("long").alias("doc"), F.xxhash64(F.col(doc), F.col(text)).alias("uid"), F.col(text).cast("binary").alias("t")
+    ).where(F.col("t").isNotNull())
+    return lean.mapInArrow(read, "h long, doc long, uid long, line_no int, keys array<long>")
+
+
+def _wanted_lines(df: DataFrame, doc: str, text: str, wanted: DataFrame, broadcast_rows: int) -> DataFrame:
+    """``h, doc, line_no, line`` of the lines that ``wanted(h, doc, uid, line_no)`` names.
+
+    Its size is checked: up to ``broadcast_rows`` rows are broadcast, more are joined by an exchange.
+    """
+    lists = wanted.groupBy("uid").agg(F.collect_list(F.struct("line_no", "h")).alias("wanted"))
+    lists = F.broadcast(lists) if wanted.count() <= broadcast_rows else lists
+    lean = df.select(F.xxhash64(F.col(doc), F.col(text)).alias("uid"), F.col(doc).cast("long").alias("doc"), F.col(text).alias("t"))
+    found = lean.join(lists, "uid").select("doc", F.split("t", "\n").alias("lines"), F.explode("wanted").alias("x"))
+    return found.select(F.col("x.h").alias("h"), "doc", F.col("x.line_no").alias("line_no"), F.get("lines", F.col("x.line_no")).alias("line"))
 
 
 def _variants(lines: DataFrame) -> DataFrame:
@@ -70,12 +104,11 @@ def _variants(lines: DataFrame) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, doc, line_no, words = (batch.column(i) for i in range(4))
-            flat = words.flatten().to_numpy().view("uint64")
-            ends = words.offsets.to_numpy().astype("int64") - words.offsets[0].as_py()
+            h, doc, line_no, texts = (batch.column(i) for i in range(4))
             keys, ats, rows, held = [], [], [], 0
             for i in range(len(batch)):
-                hashes = flat[ends[i] : ends[i + 1]]
+                w = texts[i].as_py().encode().split()
+                hashes = np.fromiter(map(xxhash.xxh64_intdigest, w), "uint64", len(w))
                 n = len(hashes)
                 found, whole = deletion_keys(hashes, 0, n)
                 # A variant of n words goes by its own length, so that it meets the whole lines of n - 1 words.
@@ -91,31 +124,24 @@ def _variants(lines: DataFrame) -> DataFrame:
                     )
                     keys, ats, rows, held = [], [], [], 0
 
-    hashed = lines.select("h", "doc", "line_no", F.transform("w", lambda x: F.xxhash64(x)).alias("words"))
-    return hashed.mapInArrow(emit, "key long, at int, h long, doc long, line_no int")
+    return lines.select("h", "doc", "line_no", "line").mapInArrow(emit, "key long, at int, h long, doc long, line_no int")
 
 
 def _verified(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([within_one_edit(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype=bool)
+    return pd.Series([within_one_edit(x.encode().split(), y.encode().split()) for x, y in zip(a, b, strict=True)], dtype=bool)
 
 
-def kept_lines(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_words: int = 5) -> DataFrame:
-    """``doc, uid, line_no`` of the lines that stay, among those of at least ``min_words`` words."""
-    all_lines = _lines(df, doc_id, text)
-    long = all_lines.where(F.size("w") >= min_words)
-    order = F.struct("doc", "line_no", "uid")
+def kept_lines(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_words: int = 5, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """``doc, line_no, uid`` of the lines that stay, among those of at least ``min_words`` words."""
     firsts = materialise(
-        long.select(F.xxhash64("w", F.lit(7)).alias("h"), order.alias("o"), _half_keys(F.col("w")).alias("keys"))
-        .groupBy("h").agg(F.min("o").alias("o"), F.first("keys").alias("keys"))
+        _long_lines(df, doc_id, text, min_words)
+        .groupBy("h").agg(F.min(F.struct("doc", "line_no", "uid")).alias("o"), F.first("keys").alias("keys"))
     )
     keyed = firsts.select("h", F.explode(F.array_distinct("keys")).alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     rivals = keyed.join(shared, "key", "left_semi").select("h").distinct()
-    wanted = firsts.select("h", "o.*").join(rivals, "h", "left_semi")
-    place = ["uid", "line_no"]
-    rows = materialise(
-        wanted.select("h", *place).join(long, place).select("h", "doc", "line_no", "w").dropDuplicates(["h"])
-    )
+    wanted = materialise(firsts.select("h", "o.*").join(rivals, "h", "left_semi"))
+    rows = materialise(_wanted_lines(df, doc_id, text, wanted, broadcast_rows).dropDuplicates(["h"]))
     by_key = Window.partitionBy("key")
     me = F.struct("doc", "line_no", "h")
     # Lines that lack the same word in the same place are one edit apart, and so is each of them from the
@@ -134,8 +160,8 @@ def kept_lines(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min
         .distinct()
     )
     pairs = (
-        met.join(rows.select("h", F.col("w").alias("a")), "h")
-        .join(rows.select(F.col("h").alias("earlier"), F.col("w").alias("b")), "earlier")
+        met.join(rows.select("h", F.col("line").alias("a")), "h")
+        .join(rows.select(F.col("h").alias("earlier"), F.col("line").alias("b")), "earlier")
         .where(F.pandas_udf(_verified, "boolean")("a", "b"))
     )
     gone = pairs.select("h").distinct()
@@ -171,18 +197,27 @@ def dedup_lines(
     stay = kept_lines(df, doc_id=doc_id, text=text, min_words=min_words)
     lists = stay.groupBy(F.col("uid").alias(mine)).agg(F.collect_set("line_no").alias(keep))
     keyed = df.withColumn(uid, F.xxhash64(F.col(doc_id), F.col(text)))
-    joined = keyed.join(lists, keyed[uid] == lists[mine], "left")
-    short = lambda x: F.size(F.filter(F.split(x, SPACES), lambda w: w != "")) < min_words
-    found = F.col(keep)
-    left = F.filter(
-        F.split(F.col(text), "\n"), lambda x, i: F.coalesce(F.array_contains(found, i), F.lit(False)) | short(x)
-    )
-    made = joined.withColumn(keep, left)
-    n_lines = F.coalesce(F.size(F.split(F.col(text), "\n")), F.lit(0)).cast("long")
-    n_lines = F.when(F.col(text).isNull(), F.lit(0).cast("long")).otherwise(n_lines)
-    n_gone = F.when(F.col(text).isNull(), F.lit(0).cast("long")).otherwise(n_lines - F.size(keep))
-    after = F.array_join(keep, "\n")
-    if drop_emptied:
-        made = made.where(~F.coalesce((n_gone > 0) & (F.btrim(after, F.lit(" \t\n\x0b\f\r")) == ""), F.lit(False)))
-    out = [after.alias(c) if c == text else F.col(f"`{c}`") for c in df.columns if not counts or c not in counts]
-    return made.select(*out, *([n_lines.alias(counts[0]), n_gone.alias(counts[1])] if counts else []))
+    joined = keyed.join(lists, keyed[uid] == lists[mine], "left").select(*(keyed[f"`{c}`"] for c in df.columns), keep)
+    place = df.columns.index(text)
+    names = [c for c in df.columns if not counts or c not in counts] + list(counts or ())
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, totals, lost, stays = [], [], [], []
+            for raw, kept in zip(batch.column(place), batch.column(batch.num_columns - 1), strict=True):
+                raw, kept = raw.as_py(), set(kept.as_py() or ())
+                lines = [] if raw is None else raw.split("\n")
+                left = [x for i, x in enumerate(lines) if i in kept or len(x.encode().split()) < min_words]
+                texts.append(None if raw is None else "\n".join(left))
+                totals.append(len(lines))
+                lost.append(len(lines) - len(left))
+                stays.append(not (drop_emptied and len(left) < len(lines) and not any(x.encode().split() for x in left)))
+            found = dict(zip(df_columns, batch.columns, strict=False)) | {text: pa.array(texts, pa.string())}
+            if counts:
+                found |= {counts[0]: pa.array(totals, pa.int64()), counts[1]: pa.array(lost, pa.int64())}
+            yield pa.RecordBatch.from_arrays([found[c] for c in names], names=names).filter(pa.array(stays, pa.bool_()))
+
+    df_columns = df.columns
+    fields = [df.schema[c] for c in names if not counts or c not in counts]
+    schema = T.StructType([*fields, *(T.StructField(c, T.LongType()) for c in counts or ())])
+    return joined.mapInArrow(read, schema)
