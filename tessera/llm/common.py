@@ -29,6 +29,29 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def broadcast_if_small(df: DataFrame, row_bytes: Column, limit: int = 32_000_000) -> DataFrame:
+    """``df`` with a broadcast hint if its measured size is within ``limit`` bytes; else joins exchange it.
+
+    ``df`` is read to measure it, so it should be materialised.
+    """
+    size = df.agg(F.coalesce(F.sum(F.coalesce(row_bytes, F.lit(0)) + 64), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= limit else df
+
+
+def hash_sample(df: DataFrame, group: Column, key: Column, size: int) -> DataFrame:
+    """Rows of ``df`` sampled by a hash of ``key``: all of a group, or about ``size`` where it has more.
+
+    Only counts are gathered (one row for each group and task); a row is drawn if its hash, as a fraction of
+    the hash range, is below ``size`` over its group's count. Rows with a null group are left out.
+    """
+    name, share = free_name(df, "group"), free_name(df, "share")
+    keyed = df.withColumn(name, group).where(F.col(name).isNotNull())
+    counts = materialise(keyed.groupBy(F.col(name).alias("g")).agg((F.lit(float(size)) / F.count(F.lit(1))).alias(share)))
+    counts = broadcast_if_small(counts, F.octet_length(F.col("g").cast("string")))
+    point = F.shiftrightunsigned(F.xxhash64(key), 11) / float(1 << 53)
+    return keyed.join(counts, keyed[name] == counts["g"]).where(point < F.col(share)).select(*df.columns)
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; a null or blank text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")

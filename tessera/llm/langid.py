@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import free_name
+from tessera.llm.common import free_name, hash_sample
 
 _PIECE = 1 << 21  #: letters of the texts whose n-grams a task holds at a time
 _BITS = 7
@@ -127,29 +127,20 @@ def identify_languages(
     their ranks differ (``size`` where the profile lacks one). ``score`` is 1 for equal lists and 0 where
     none of the n-grams is known. The label is no input of the prediction.
 
-    The classifier is fitted on a bounded sample: of each language, the documents with the smallest hash
-    of their id, ``sample_per_language`` of them (more only where hashes tie, and then no more than that
-    many are kept). Every text is read whole. A null text, or one without a letter, is ``und`` with score
+    The classifier is fitted on a bounded sample: about ``sample_per_language`` labelled documents of each
+    language, by a hash of their id (never more than twice as many, of at most ``max_languages``). Every text is read whole. A null text, or one without a letter, is ``und`` with score
     0; without any labelled document all are. A narrow pass with no shuffle of texts; repeated rows and
     skew do not matter, and columns named like the new ones are replaced.
     """
     usable = F.col(lang).isNotNull() & F.col(text).isNotNull() & F.coalesce(learn_from, F.lit(False))
-    keyed = df.where(usable).select(F.col(lang).alias("lang"), F.xxhash64(F.col(doc_id)).alias("h"))
-    first = Window.partitionBy("lang").orderBy("h")
-    limits = (
-        keyed.withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample_per_language).groupBy("lang").agg(F.max("h").alias("limit"))
-    ).limit(max_languages + 1)
-    bounds = limits.collect()
-    if len(bounds) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
-    small = df.sparkSession.createDataFrame([(r["lang"], r["limit"]) for r in bounds], "_l string, _limit long")
+    labelled = df.where(usable).select(F.col(lang).alias("lang"), F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    best = Window.partitionBy("lang").orderBy(F.xxhash64("id"), F.xxhash64("text"))
     drawn = (
-        df.where(usable).select(F.col(lang).alias("_lang"), F.col(text).alias("_text"), F.xxhash64(F.col(doc_id)).alias("_h"))
-        .join(F.broadcast(small), F.col("_lang") == F.col("_l")).where("_h <= _limit")
-        .withColumn("_n", F.row_number().over(Window.partitionBy("_lang").orderBy("_h", F.xxhash64("_text"))))
-        .where(F.col("_n") <= sample_per_language)
+        hash_sample(labelled, F.col("lang"), F.col("id"), sample_per_language)
+        .withColumn("n", F.row_number().over(best)).where(F.col("n") <= 2 * sample_per_language)
+        .select("lang", "text").limit(2 * sample_per_language * max_languages)
     )
-    profiles = learn(sorted((r["_lang"], r["_text"]) for r in drawn.select("_lang", "_text").collect()), size)
+    profiles = learn(sorted(map(tuple, drawn.collect())), size)
     raw = free_name(df, "raw")
     rest = [c for c in df.columns if c not in (text, lang, "lang_pred", "score")]
     lean = df.select(*(F.col(f"`{c}`") for c in rest), F.col(text).alias(raw))
