@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import identity
-from tessera.operators import documents, evaluation, experiments, retrieval, store
+from tessera.operators import answers, documents, evaluation, experiments, retrieval, store
 from tessera.plans.views import retrieval_sql, with_views
 from tessera.sources.adapters import Domain
 
@@ -524,3 +524,35 @@ def event_acceptance(d: Domain) -> DataFrame:
     kind = F.col("event_type")
     verdict = F.when(~late, "before_exposure").when((kind == "view") & (F.col("ts") > F.col("exposed_at")), "repeated_exposure").when((kind == "purchase") & (F.col("n") > 1), "repeated_outcome").otherwise("accepted")
     return events.join(first, "unit_id").withColumn("n", n).select("event_id", verdict.alias("verdict"))
+
+
+# --- calculations
+
+
+def _calculations(d: Domain) -> tuple[DataFrame, DataFrame]:
+    """Every company and concept proposes the change of its yearly totals; facts are the totals."""
+    totals = _facts(d).groupBy("cik", "concept", "fiscal_year").agg(F.sum("value").alias("total"))
+    facts = totals.select(F.concat_ws(":", "cik", "concept", F.col("fiscal_year").cast("string")).alias("fact_id"), F.col("total").cast("string").alias("value"), F.lit("USD").alias("unit"))
+    sets = totals.groupBy("cik", "concept").agg(F.array_sort(F.collect_list("fiscal_year")).alias("y"), F.min_by("total", "fiscal_year").alias("a"), F.max_by("total", "fiscal_year").alias("b"))
+    ids = F.transform(F.array(F.array_min("y"), F.array_max("y")), lambda y: F.concat_ws(":", "cik", "concept", y.cast("string")))
+    n = F.size("y")
+    kind = F.when(n == 1, "difference").when(n == 2, "sum").when(n == 3, "difference").otherwise("average")
+    rows = sets.select(
+        F.concat_ws(":", "cik", "concept").alias("calc_id"), kind.alias("operation"), F.when(n == 1, F.slice(ids, 1, 1)).otherwise(ids).alias("fact_ids"),
+        F.when(n == 2, F.col("a") + F.col("b")).otherwise(F.col("b") - F.col("a")).cast("string").alias("reported"), F.lit("usd").alias("reported_unit"),
+    )
+    return rows, facts
+
+
+@query(with_views("""select cik || ':' || concept as calc_id, case n when 1 then 'wrong number of facts' when 2 then null when 3 then null else 'unknown operation' end as failure,
+    n = 2 or (n = 3 and abs((b - a) - (a - b)) <= greatest(0.01, abs(a - b) * 0.0001)) as passed
+    from (select cik, concept, count(*) as n, arg_min(total, fiscal_year) as a, arg_max(total, fiscal_year) as b from (select cik, concept, fiscal_year, sum(value) as total from facts group by all) group by cik, concept)""", "facts"))
+def calc_validation(d: Domain) -> DataFrame:
+    """Proposed calculations recomputed exactly; some are wrong, of the wrong arity or unknown."""
+    return answers.validated(*_calculations(d)).select("calc_id", "failure", "passed")
+
+
+@query()
+def calc_values(d: Domain) -> DataFrame:
+    """Recomputed values as exact decimal text, which keeps trailing zeros."""
+    return answers.validated(*_calculations(d)).where("failure is null").select("calc_id", "operation", "expected")
