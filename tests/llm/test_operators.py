@@ -25,7 +25,7 @@ from tessera.llm.tokens import Counter as TokenCounter
 from tessera.llm.tokens import token_counts
 from tessera.llm.topk import exact_top_k, quantised
 from tessera.llm.wordbpe import WordBpe
-from tessera.llm.wrappers import extract_main_text, main_text
+from tessera.llm.wrappers import Wrapper, _slots, extract_main_text, main_text
 
 SF = "/root/testdata/sf0.001"
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -313,6 +313,24 @@ def test_wrapper_tells_template_text_from_slots(spark):
     assert extract_main_text(empty(df)).count() == 0
 
 
+def test_wrapper_infers_groups_and_optional_parts():
+    card = "<div class=card><h3>t{0}</h3><p>b{0}</p></div>"
+    page = lambda cards, note: "<body><div class=top>Same</div>" + "".join(card.format(i) for i in cards) + note + "<div class=end>End</div></body>"
+    wrapper = Wrapper()
+    for cards, note in (((1,), ""), ((2, 3, 4), "<div class=x><h4>n</h4><p>m</p></div>"), ((5, 6), "")):
+        wrapper.align(_slots(page(cards, note)))
+    top, group, extra, end = wrapper.nodes
+    assert [len(group.parts), group.plus, group.optional, group.n] == [2, True, False, 3]
+    assert [len(extra.parts), extra.plus, extra.optional, extra.n] == [2, False, True, 1]
+    assert top.const and end.const and top.n == end.n == 3 and not any(x.const for x in group.parts)
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    rows = [(i, f"http://h.example/{i}", "<div class=post><h2>T</h2><p>only text</p></div>") for i in range(6)]
+    out = extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.text for r in out} == {"T\n\nonly text"}
+
+
 def test_broken_markup_is_read():
     assert main_text("<article><p>a &lt; b<p>c<nav>x</nav><!-- y <p>z", {}) == "a < b\n\nc"
     assert main_text("<article><p title='a>b'>x</p><p class=\"ad\n\">y</p", {}) == "x\n\ny"
