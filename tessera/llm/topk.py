@@ -112,8 +112,7 @@ def exact_top_k(vectors: DataFrame, *, queries: Column, k: int = 5, query_block:
     """
     vectors = materialise(vectors.withColumn("d", F.size("v")))
     asked = materialise(vectors.where(queries).dropDuplicates(["vec_id", "v"]))
-    counts = vectors.agg(F.count(F.lit(1)).alias("n")).crossJoin(asked.agg(F.count(F.lit(1)).alias("m"))).first()
-    n_c, n_q = max(1, -(-counts["n"] // candidate_block)), max(1, -(-counts["m"] // query_block))
+    n_c, n_q = max(1, -(-vectors.count() // candidate_block)), max(1, -(-asked.count() // query_block))
 
     def dealt(df: DataFrame, n: int, name: str) -> DataFrame:
         """Rows with a block number, even whatever their values: blocks follow places in their partition."""
