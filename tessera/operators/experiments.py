@@ -78,3 +78,24 @@ def compared(summary: DataFrame, metrics: dict[str, str], control: str, treatmen
         return pd.Series([math.erfc(abs(d / s) / math.sqrt(2)) if s else float(d == 0) for d, s in zip(delta, se, strict=True)])
 
     return both.select("metric", "control_mean", "treatment_mean", "delta", (F.col("delta") - z * F.col("se")).alias("low"), (F.col("delta") + z * F.col("se")).alias("high"), F.pandas_udf(p_value, "double")("delta", "se").alias("p_value"))
+
+
+def decision(compared_rows: DataFrame, arms: DataFrame, *, planned: int, primary: str, effect: float, guardrails: dict[str, float]) -> DataFrame:
+    """One row, ``decision, delta``: nothing is told (``collecting``, null) until every arm has its planned units.
+
+    ``arms(variant, n)`` counts the exposed units that have the primary outcome. A guardrail whose degradation exceeds its
+    limit halts; then a practical effect with an interval above 0 ships, one below 0 keeps the
+    control, and all else is inconclusive.
+    """
+    ready = arms.agg((F.coalesce(F.min("n"), F.lit(0)) >= planned).alias("enough"), (F.count(F.lit(1)) == 2).alias("both"))
+    of = lambda column: F.max(F.when(F.col("metric") == primary, F.col(column)))
+    worse = F.lit(False)
+    for name, limit in guardrails.items():
+        worse = worse | ((F.col("metric") == name) & (F.col("delta") > limit))
+    row = compared_rows.agg(of("delta").alias("d"), of("low").alias("low"), of("high").alias("high"), F.coalesce(F.max(worse), F.lit(False)).alias("halt"))
+    told = F.col("enough") & F.col("both")
+    choice = (
+        F.when(~told, "collecting").when(F.col("halt"), "halt").when((F.col("d") >= effect) & (F.col("low") > 0), "ship")
+        .when(F.col("high") < 0, "keep_control").otherwise("inconclusive")
+    )
+    return row.crossJoin(F.broadcast(ready)).select(choice.alias("decision"), F.when(told, F.col("d")).alias("delta"))

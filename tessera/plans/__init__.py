@@ -1 +1,5 @@
 """plans."""
+
+from tessera.plans import guardrails, registry
+
+__all__ = ["guardrails", "registry"]

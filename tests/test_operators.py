@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import identity
-from tessera.operators import answers, documents, evaluation, experiments, retrieval
+from tessera.functions.embedding import hashed_embedding
+from tessera.operators import answers, documents, evaluation, experiments, filings, retrieval
 
 
 def test_fusion_orders_by_score_then_ranks(spark):
@@ -80,3 +81,43 @@ def test_calculations_fail_softly(spark):
         r = found[name]
         assert (r.failure, r.passed) == (why, passed), name
         assert (r.expected is None) == (expected is None) and (expected is None or Decimal(r.expected) == Decimal(expected))
+
+
+FILING = """<html><head><style>p {color: red}</style><script>var x = '<p>no</p>';</script></head><body><h1>Annual report</h1><p>Opening words.</p>
+<p>ITEM 1A. RISK FACTORS</p><div><p>Risk one &amp; two.</p></div><p>Risk one &amp; two.</p><p> </p>
+<table><tr><th><p>Year</p></th><th>Sales</th></tr><tr><td>2024</td><td> 10 </td></tr></table></body></html>"""
+
+
+def test_filing_blocks_become_sections():
+    found = filings.sections_of(FILING)
+    assert found == [("Annual report", "Opening words."), ("ITEM 1A. RISK FACTORS", "Risk one & two.\n\nYear | Sales\n\n2024 | 10")]
+    assert filings.sections_of("plain words only") == [("Document", "plain words only")]
+    assert filings.sections_of("<script>x</script>") == []
+    assert filings.sections_of("<p>a<p>b") == [("Document", "a b\n\nb")]
+
+
+def test_filing_rejections(spark):
+    many = "".join(f"<h2>h{i}</h2><p>x</p>" for i in range(251))
+    df = spark.createDataFrame([(1, FILING), (2, ""), (3, None), (4, "<script>x</script>"), (5, many)], "k long, html string")
+    states = {r.k: (r.status, len(r.sections)) for r in filings.read_filings(df, key="k", html="html").collect()}
+    assert states == {1: ("ok", 2), 2: ("empty", 0), 3: ("empty", 0), 4: ("no_text", 0), 5: ("too_many_sections", 0)}
+    assert filings.filing_sections(df.limit(0), key="k", html="html").count() == 0
+
+
+def test_hashed_embeddings_are_unit_vectors(spark):
+    df = spark.createDataFrame([("a b c",), ("A, b; C",), ("",), (None,)], "t string")
+    a, b, blank, null = (r.e for r in df.select(hashed_embedding(F.col("t")).alias("e")).collect())
+    assert a == b and abs(sum(x * x for x in a) - 1) < 1e-6 and blank is None and null is None
+
+
+def test_decisions_follow_their_precedence(spark):
+    def of(n, delta, low, high, failed):
+        rows = spark.createDataFrame([("converted", delta, low, high), ("failed", failed, 0.0, 0.0)], "metric string, delta double, low double, high double")
+        arms = spark.createDataFrame([("control", n), ("treatment", 100)], "variant string, n long")
+        return experiments.decision(rows, arms, planned=62, primary="converted", effect=0.1, guardrails={"failed": 0.01}).first()
+
+    assert tuple(of(10, 0.3, 0.1, 0.5, 0.0)) == ("collecting", None)
+    assert of(90, 0.3, 0.1, 0.5, 0.02).decision == "halt"
+    assert of(90, 0.3, 0.1, 0.5, 0.01).decision == "ship"
+    assert of(90, -0.3, -0.5, -0.1, 0.0).decision == "keep_control"
+    assert of(90, 0.05, 0.01, 0.1, 0.0).decision == "inconclusive"
