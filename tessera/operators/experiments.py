@@ -6,9 +6,17 @@ import math
 from statistics import NormalDist
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Statuses of an experiment in order, and the changes that are allowed.
+STATUSES = ("draft", "running", "stopped", "completed")
+CHANGES = (("draft", "running"), ("running", "stopped"), ("running", "completed"), ("stopped", "completed"))
+
+
+def normal_quantile(p: float) -> float:
+    return NormalDist().inv_cdf(p)
+
 
 def sample_size(baseline: float, effect: float, confidence: float = 0.95, power: float = 0.8) -> int:
     """Units that each of two arms needs to show ``effect`` over the rate ``baseline``."""
@@ -19,6 +27,32 @@ def sample_size(baseline: float, effect: float, confidence: float = 0.95, power:
     return math.ceil(root**2 / effect**2)
 
 
+def planned_units(baseline: Column, effect: float, confidence: float = 0.95, power: float = 0.8) -> Column:
+    """As ``sample_size``, for a column of rates; null where a rate does not lie between 0 and 1."""
+    changed = baseline + effect
+    mean = (baseline + changed) / 2
+    root = normal_quantile(1 - (1 - confidence) / 2) * F.sqrt(2 * mean * (1 - mean)) + normal_quantile(power) * F.sqrt(baseline * (1 - baseline) + changed * (1 - changed))
+    return F.when((baseline > 0) & (changed < 1), F.ceil(F.pow(root, 2) / F.pow(F.lit(effect), 2)).cast("long"))
+
+
+def transitions(log: DataFrame, *, thread: str, order: list[str], status: str) -> DataFrame:
+    """``log`` with a ``verdict`` on each wanted status: accepted, unchanged, or rejected.
+
+    Every thread starts as a draft, and a rejected change leaves the status as it is. Statuses only move
+    forward, so the status before a row is the furthest one wanted since the thread first ran.
+    """
+    before = Window.partitionBy(thread).orderBy(*order)
+    rank = F.array_position(F.array(*(F.lit(x) for x in STATUSES)), F.col(status)) - 1
+    rows = log.withColumn("_rank", rank).withColumn("_ran", F.max(F.col("_rank") == 1).over(before))
+    state = F.coalesce(F.max(F.when(F.col("_ran"), F.col("_rank"))).over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("_state", state)
+    allowed = F.lit(False)
+    for a, b in CHANGES:
+        allowed = allowed | ((F.col("_state") == STATUSES.index(a)) & (F.col("_rank") == STATUSES.index(b)))
+    verdict = F.when(F.col("_rank") == F.col("_state"), "unchanged").when(allowed, "accepted").otherwise("rejected")
+    return rows.select(*log.columns, verdict.alias("verdict"))
+
+
 def variant(bucket: Column, arms: list[tuple[str, int]]) -> Column:
     """The arm whose cumulative basis points first exceed the bucket."""
     chosen, total = None, 0

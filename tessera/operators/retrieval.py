@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.fulltext import fulltext_scores
+
 MISSING_RANK = 201
 
 
@@ -62,6 +64,11 @@ def keyword_channel(df: DataFrame, terms: list[str], *, id_col: str, text: str,
     return _ranked(scored.select(id_col, total.cast("double").alias("score")), id_col, limit)
 
 
+def fulltext_channel(df: DataFrame, query: str, *, id_col: str, text: str, limit: int) -> DataFrame:
+    """Rows that match a web-style query over English stems, by cover density."""
+    return _ranked(fulltext_scores(df, query, id_col=id_col, text=text), id_col, limit)
+
+
 def semantic_channel(df: DataFrame, query: DataFrame, *, id_col: str, model: str, limit: int) -> DataFrame:
     """Rows with a vector of the model, by cosine similarity to the single row of ``query(q)``."""
     usable = df.where(F.col("embedding").isNotNull() & (F.col("embedding_model") == model))

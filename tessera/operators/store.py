@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 def upsert(existing: DataFrame, incoming: DataFrame, key: str, attributes: list[str]) -> DataFrame:
     """All keys of both; an incoming row replaces the attributes of an existing one."""
-    both = existing.alias("e").join(incoming.alias("i"), key, "full_outer")
-    new = F.col(f"i.{attributes[0]}").isNotNull()
+    both = existing.alias("e").join(incoming.withColumn("_new", F.lit(True)).alias("i"), key, "full_outer")
+    new = F.col("_new").isNotNull()
     return both.select(key, *(F.when(new, F.col(f"i.{a}")).otherwise(F.col(f"e.{a}")).alias(a) for a in attributes))
 
 
@@ -25,6 +25,17 @@ def insert_if_absent(existing: DataFrame, incoming: DataFrame, key: list[str]) -
     return incoming.join(existing.select(*key), key, "left_anti")
 
 
+def registrations(rows: DataFrame, key: list[str], fingerprint: str, order: str) -> DataFrame:
+    """``rows`` with a ``verdict``: the first of a key registers it; later ones are unchanged, or conflict in fingerprint.
+
+    Firsts are minima, so a key may hold any share of the rows. Null keys are one key.
+    """
+    first = rows.groupBy(*(F.col(k).alias(f"_{k}") for k in key)).agg(F.min(F.struct(order, fingerprint)).alias("_first"))
+    same = [rows[k].eqNullSafe(first[f"_{k}"]) for k in key]
+    verdict = F.when(F.col(order).eqNullSafe(F.col("_first")[order]), "registered").when(F.col(fingerprint).eqNullSafe(F.col("_first")[fingerprint]), "unchanged").otherwise("conflict")
+    return rows.join(first, same).select(*rows.columns, verdict.alias("verdict"))
+
+
 def identity_conflicts(existing: DataFrame, incoming: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """Keys that both have with different immutable fields, and those fields in the stated order."""
     both = existing.alias("e").join(incoming.alias("i"), key)

@@ -1,5 +1,5 @@
 """plans."""
 
-from tessera.plans import guardrails, registry
+from tessera.plans import guardrails, lifecycle, registry, search
 
-__all__ = ["guardrails", "registry"]
+__all__ = ["guardrails", "lifecycle", "registry", "search"]

@@ -1,16 +1,19 @@
 """Operators on small inputs with known results."""
 
-from decimal import Decimal
-
+import datetime
 import hashlib
 import hmac
+from decimal import Decimal
+from random import Random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import identity
 from tessera.functions.embedding import hashed_embedding
-from tessera.operators import answers, documents, evaluation, experiments, filings, retrieval
+from tessera.functions.english import lexeme, stem
+from tessera.operators import answers, documents, evaluation, experiments, filings, fulltext, retrieval, store
+from tessera.streaming import telemetry
 
 
 def test_fusion_orders_by_score_then_ranks(spark):
@@ -121,3 +124,98 @@ def test_decisions_follow_their_precedence(spark):
     assert of(90, 0.3, 0.1, 0.5, 0.01).decision == "ship"
     assert of(90, -0.3, -0.5, -0.1, 0.0).decision == "keep_control"
     assert of(90, 0.05, 0.01, 0.1, 0.0).decision == "inconclusive"
+
+
+# --- full text
+
+
+def test_stems():
+    known = {
+        "consistency": "consist", "conspiracies": "conspiraci", "knitting": "knit", "hoping": "hope", "hopping": "hop", "ties": "tie", "cries": "cri", "gas": "gas",
+        "kiwis": "kiwi", "happy": "happi", "relational": "relat", "generation": "generat", "general": "general", "communism": "communism", "agreed": "agre",
+        "feed": "feed", "electricity": "electr", "liabilities": "liabil", "skies": "sky", "by": "by", "say": "say", "controlling": "control", "proceed": "proceed",
+    }
+    assert {w: stem(w) for w in known} == known
+    assert lexeme("the") is None and lexeme("rates") == "rate"
+
+
+def _covers(places, query):
+    """Minimal covers by trying every stretch of positions; phrases and negation left out."""
+    wanted = {s for terms in query for t in terms for s in t.stems}
+    at = sorted({p for s, found in places.items() if s in wanted for p in found})
+    holds = lambda a, b: any(all(any(a <= p <= b for p in places.get(t.stems[0], ())) for t in terms) for terms in query)
+    rank = 0.0
+    for a in at:
+        for b in (x for x in at if x >= a):
+            inner = any(holds(x, y) for x in at for y in at if a <= x <= y <= b and (x, y) != (a, b))
+            if holds(a, b) and not inner:
+                inside = sum(a <= p <= b for p in at)
+                rank += 0.1 / (1 + (b - a) - (inside - 1))
+    return rank
+
+
+def test_cover_density_equals_all_stretches():
+    random = Random(5)
+    for _ in range(200):
+        slots = random.sample(range(1, 30), 9)
+        places = {s: sorted(slots[i * 3 : i * 3 + random.randint(1, 3)]) for i, s in enumerate(("cat", "dog", "owl"))}
+        for text in ("cat", "cat dog", "cat dog or owl", "cat dog owl", "cat or dog"):
+            assert fulltext.cover_density(places, fulltext.parse(text)) == pytest.approx(_covers(places, fulltext.parse(text)))
+
+
+def test_web_queries(spark):
+    rows = [(1, "Supply constraints hit the supplies"), (2, "constraints of supply"), (3, "supply"), (4, None), (5, ""), (6, "risk of the suppliers constraint")]
+    df = spark.createDataFrame(rows, "id long, body string")
+    find = lambda query: {r.id: r.score for r in fulltext.fulltext_scores(df, query, id_col="id", text="body").collect()}
+    assert find("supply") == pytest.approx({1: 0.2, 2: 0.1, 3: 0.1})
+    assert find('"supply constraints"') == pytest.approx({1: 0.1})
+    assert find('"constraints of supply"') == pytest.approx({2: 0.05}) and find('"constraints supply') == {}
+    assert find("supply -constraints") == pytest.approx({3: 0.1}) and set(find("risk or supply")) == {1, 2, 3, 6}
+    assert find("the of") == {} and find("") == {} and set(find("-supply")) == {5, 6}
+    assert find("supply constraints")[1] == pytest.approx(0.1 + 0.1 / 3)
+    at = {(r.id, r.lexeme): list(r.positions) for r in fulltext.postings(df, id_col="id", text="body").collect()}
+    assert at[1, "suppli"] == [1, 5] and at[2, "suppli"] == [3] and (2, "of") not in at
+
+
+# --- lifecycle and streams
+
+
+def test_transitions_equal_a_loop(spark):
+    random = Random(3)
+    rows = [(t, i, random.choice(experiments.STATUSES)) for t in range(40) for i in range(8)]
+    log = spark.createDataFrame(rows, "t int, i int, s string")
+    expected, state = {}, {}
+    for t, i, s in rows:
+        now = state.get(t, "draft")
+        expected[t, i] = "unchanged" if s == now else "accepted" if (now, s) in experiments.CHANGES else "rejected"
+        state[t] = s if expected[t, i] == "accepted" else now
+    found = experiments.transitions(log, thread="t", order=["i"], status="s").collect()
+    assert {(r.t, r.i): r.verdict for r in found} == expected
+
+
+def test_registrations_and_upserts(spark):
+    rows = spark.createDataFrame([("k", "a", 1), ("k", "a", 2), ("k", "b", 3), (None, "a", 4), (None, None, 5)], "k string, f string, n int")
+    found = {r.n: r.verdict for r in store.registrations(rows, ["k"], "f", "n").collect()}
+    assert found == {1: "registered", 2: "unchanged", 3: "conflict", 4: "registered", 5: "conflict"}
+    old = spark.createDataFrame([(1, "x", "y")], "k int, a string, b string")
+    new = spark.createDataFrame([(1, None, "z")], "k int, a string, b string")
+    assert [tuple(r) for r in store.upsert(old, new, "k", ["a", "b"]).collect()] == [(1, None, "z")]
+
+
+def test_events_are_judged_across_batches(spark, tmp_path):
+    day = lambda n: datetime.datetime(2024, 1, n)
+    schema = "unit_id string, event_id long, ts timestamp_ntz, event_type string"
+    batches = [
+        [("u", 1, day(1), "purchase"), ("u", 2, day(2), "view"), ("u", 3, day(3), "purchase"), (None, 4, day(1), "view")],
+        [("u", 5, day(1), "view"), ("u", 6, day(4), "purchase"), ("u", 7, day(4), "view"), ("v", 8, day(5), "view")],
+        [("v", 9, day(6), "purchase"), ("v", 10, day(6), "purchase"), ("u", 11, day(9), "error")],
+    ]
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*")
+        out = telemetry.accept_stream(stream, f"{tmp_path}/run")
+    found = {r.event_id: r.verdict for r in spark.read.parquet(out).collect()}
+    assert found == {
+        1: "before_exposure", 2: "accepted", 3: "accepted", 4: "before_exposure", 5: "before_exposure", 6: "repeated_outcome", 7: "repeated_exposure",
+        8: "accepted", 9: "accepted", 10: "repeated_outcome", 11: "accepted",
+    }
