@@ -133,14 +133,17 @@ def _verified(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def kept_lines(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_words: int = 5, broadcast_rows: int = 1_000_000) -> DataFrame:
     """``doc, line_no, uid`` of the lines that stay, among those of at least ``min_words`` words."""
+    # Flat columns: nested ones would take nearly twice the room in the checkpoint.
     firsts = materialise(
         _long_lines(df, doc_id, text, min_words)
         .groupBy("h").agg(F.min(F.struct("doc", "line_no", "uid")).alias("o"), F.first("keys").alias("keys"))
+        .select("h", "o.*", *(F.get("keys", F.lit(i)).alias(f"key{i}") for i in range(4)))
     )
-    keyed = firsts.select("h", F.explode(F.array_distinct("keys")).alias("key"))
+    place = ["doc", "line_no", "uid"]
+    keyed = firsts.select("h", F.explode(F.array_distinct(F.array(*(f"key{i}" for i in range(4))))).alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     rivals = keyed.join(shared, "key", "left_semi").select("h").distinct()
-    wanted = materialise(firsts.select("h", "o.*").join(rivals, "h", "left_semi"))
+    wanted = materialise(firsts.select("h", *place).join(rivals, "h", "left_semi"))
     rows = materialise(_wanted_lines(df, doc_id, text, wanted, broadcast_rows).dropDuplicates(["h"]))
     by_key = Window.partitionBy("key")
     me = F.struct("doc", "line_no", "h")
@@ -165,7 +168,7 @@ def kept_lines(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min
         .where(F.pandas_udf(_verified, "boolean")("a", "b"))
     )
     gone = pairs.select("h").distinct()
-    return firsts.join(gone, "h", "left_anti").select("o.*")
+    return firsts.join(gone, "h", "left_anti").select(*place)
 
 
 def dedup_lines(
