@@ -13,7 +13,7 @@ from tessera.llm.lines import dedup_lines
 from tessera.llm.mixing import mix_sources
 from tessera.llm.packing import pack_documents
 from tessera.llm.quality import quality_verdicts
-from tessera.llm.simhash import simhash_groups
+from tessera.llm.shingles import similar_groups
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -30,8 +30,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash group, the document with the smallest id (rows without an id all stay)."""
-    groups = simhash_groups(docs)
+    """Of each group of documents that share 0.8 of their five-word shingles, the one with the smallest id (rows without an id all stay)."""
+    groups = similar_groups(docs)
     first = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_first")).distinct()
     nameless = docs.where(F.col("doc_id").isNull())
     return docs.join(first, docs["doc_id"] == first["_first"], "left_semi").unionByName(nameless)
