@@ -24,8 +24,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that an earlier line matches; those left without a word go."""
-    clean = dedup_lines(docs, drop_emptied=True)
+    """Documents without the lines that an earlier line matches; those left without a word go.
+
+    Lines of under five words match if their words are the same.
+    """
+    clean = dedup_lines(docs, fold_words=1, drop_emptied=True)
     return clean.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("long"))
 
 

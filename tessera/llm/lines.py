@@ -45,11 +45,11 @@ def deletion_keys(hashes: np.ndarray, first: int, last: int) -> tuple[np.ndarray
     return before[at] + (shifted[n - 1] - shifted[at]), int(before[n])
 
 
-def _long_lines(df: DataFrame, doc: str, text: str, min_words: int) -> DataFrame:
-    """``h, doc, uid, line_no, keys`` of every line of enough words; ``uid`` stands for id and text.
+def _long_lines(df: DataFrame, doc: str, text: str, min_words: int, fold_words: int) -> DataFrame:
+    """``h, doc, uid, line_no, keys`` of every line of ``fold_words`` words or more; ``uid`` stands for id and text.
 
     ``h`` is the hash of the line's words. Two lines within one edit share one of their ``keys``: of as many
-    words as the shorter one has, the first or the last half is untouched.
+    words as the shorter one has, the first or the last half is untouched. Lines of under ``min_words`` share none.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,11 +67,14 @@ def _long_lines(df: DataFrame, doc: str, text: str, min_words: int) -> DataFrame
             for i, raw in enumerate(batch.column(2)):
                 for number, line in enumerate((raw.as_py() or b"").split(b"\n")):
                     w = line.split()
-                    if len(w) < min_words:
+                    if len(w) < fold_words:
                         continue
                     docs.append(i)
                     lines.append(number)
                     hashes.append(digest(b" ".join(w), 7))
+                    if len(w) < min_words:
+                        keys += 4 * [hashes[-1]]
+                        continue
                     for short in (len(w), len(w) - 1):
                         half = short // 2
                         keys.append(digest(b" ".join(w[:half]), 2 * short))
@@ -131,11 +134,11 @@ def _verified(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([within_one_edit(x.encode().split(), y.encode().split()) for x, y in zip(a, b, strict=True)], dtype=bool)
 
 
-def kept_lines(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_words: int = 5, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """``doc, line_no, uid`` of the lines that stay, among those of at least ``min_words`` words."""
+def kept_lines(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_words: int = 5, fold_words: int | None = None, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """``doc, line_no, uid`` of the lines that stay, among those of at least ``fold_words`` words (else ``min_words``)."""
     # Flat columns: nested ones would take nearly twice the room in the checkpoint.
     firsts = materialise(
-        _long_lines(df, doc_id, text, min_words)
+        _long_lines(df, doc_id, text, min_words, fold_words or min_words)
         .groupBy("h").agg(F.min(F.struct("doc", "line_no", "uid")).alias("o"), F.first("keys").alias("keys"))
         .select("h", "o.*", *(F.get("keys", F.lit(i)).alias(f"key{i}") for i in range(4)))
     )
@@ -177,6 +180,7 @@ def dedup_lines(
     doc_id: str = "doc_id",
     text: str = "text",
     min_words: int = 5,
+    fold_words: int | None = None,
     counts: tuple[str, str] | None = None,
     drop_emptied: bool = False,
 ) -> DataFrame:
@@ -184,7 +188,8 @@ def dedup_lines(
 
     Lines match if their words are the same, or one word put in, left out or replaced makes them the same
     (so their similarity is 0.8 or more, as only lines of at least ``min_words`` = 5 words are compared;
-    shorter lines always stay). Earlier means by document id (null first), then by line number. A line goes
+    shorter lines always stay, unless ``fold_words`` is given:
+    then those of that many words or more go if an earlier line has the same words). Earlier means by document id (null first), then by line number. A line goes
     if any earlier line matches it, be that one kept or not.
 
     Equal lines are first folded into their earliest. Of the rest, those that share the hash of an
@@ -197,7 +202,8 @@ def dedup_lines(
     and stay alike. Other columns stay as they are; an empty table gives no rows.
     """
     uid, mine, keep = (free_name(df, x) for x in ("uid", "mine", "keep"))
-    stay = kept_lines(df, doc_id=doc_id, text=text, min_words=min_words)
+    least = min(min_words, fold_words or min_words)
+    stay = kept_lines(df, doc_id=doc_id, text=text, min_words=min_words, fold_words=least)
     lists = stay.groupBy(F.col("uid").alias(mine)).agg(F.collect_set("line_no").alias(keep))
     keyed = df.withColumn(uid, F.xxhash64(F.col(doc_id), F.col(text)))
     joined = keyed.join(lists, keyed[uid] == lists[mine], "left").select(*(keyed[f"`{c}`"] for c in df.columns), keep)
@@ -210,7 +216,7 @@ def dedup_lines(
             for raw, kept in zip(batch.column(place), batch.column(batch.num_columns - 1), strict=True):
                 raw, kept = raw.as_py(), set(kept.as_py() or ())
                 lines = [] if raw is None else raw.split("\n")
-                left = [x for i, x in enumerate(lines) if i in kept or len(x.encode().split()) < min_words]
+                left = [x for i, x in enumerate(lines) if i in kept or len(x.encode().split()) < least]
                 texts.append(None if raw is None else "\n".join(left))
                 totals.append(len(lines))
                 lost.append(len(lines) - len(left))
