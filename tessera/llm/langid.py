@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,14 +15,13 @@ from pyspark.sql import functions as F
 from tessera.llm.common import free_name, hash_sample
 
 _PIECE = 1 << 21  #: letters of the texts whose n-grams a task holds at a time
-_BITS = 7
+_BITS = 21  #: of a code point; three letters fit a 64-bit code
 
 
 @dataclass(frozen=True)
 class Profiles:
-    """Alphabet (letters by id from 2; 0 is the gap between words, 1 any other letter) and ranked n-grams."""
+    """Ranked n-grams of each language."""
 
-    alphabet: str
     languages: tuple[str, ...]
     ranks: tuple[np.ndarray, ...]  #: for each language, its n-gram codes, most frequent first
 
@@ -30,16 +30,15 @@ def _is_letter(point: int) -> bool:
     return unicodedata.category(chr(point)).startswith("L")
 
 
-def _ids_table(alphabet: str) -> np.ndarray:
-    table = np.fromiter((_is_letter(p) for p in range(0x110000)), "uint8", 0x110000)
-    for i, letter in enumerate(alphabet):
-        table[ord(letter)] = i + 2
-    return table
+@cache
+def _letters() -> np.ndarray:
+    """For each code point itself if it is a letter, else 0 (the gap between words)."""
+    return np.fromiter((p if _is_letter(p) else 0 for p in range(0x110000)), "int32", 0x110000)
 
 
-def _codes(text: str, table: np.ndarray) -> np.ndarray:
-    """Letter ids with one gap before each word and after the last; empty if there is no letter."""
-    ids = table[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")]
+def _codes(text: str) -> np.ndarray:
+    """Letters with one gap before each word and after the last; empty if there is no letter."""
+    ids = _letters()[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")]
     ids = np.concatenate(([0], ids, [0])).astype("int32")
     keep = (ids != 0) | np.concatenate(([True], ids[:-1] != 0))
     ids = ids[keep]
@@ -47,61 +46,64 @@ def _codes(text: str, table: np.ndarray) -> np.ndarray:
 
 
 def _grams(ids: np.ndarray) -> np.ndarray:
-    """Codes of all 1-, 2- and 3-grams that lie in one word or touch one gap at an end."""
-    one = ids[ids != 0]
-    two = (ids[:-1] << _BITS | ids[1:]) + (1 << _BITS)
-    three = (ids[:-2] << 2 * _BITS | ids[1:-1] << _BITS | ids[2:])[ids[1:-1] != 0] + (1 << _BITS) + (1 << 2 * _BITS)
+    """Codes of all 1-, 2- and 3-grams that lie in one word or touch one gap at an end.
+
+    Letters stand in 21 bits each from the right, above 0; a gap in front would vanish there, so it has a
+    number beyond all code points.
+    """
+    gap = np.int64(0x1FFFFF)
+    wide = np.where(ids == 0, gap, ids).astype("int64")
+    one = wide[ids != 0]
+    two = wide[:-1] << _BITS | wide[1:]
+    three = (wide[:-2] << 2 * _BITS | wide[1:-1] << _BITS | wide[2:])[ids[1:-1] != 0]
     return np.concatenate([one, two, three])
 
 
 def _top(ids: np.ndarray, size: int) -> np.ndarray:
     """The most frequent n-grams, ties to the smaller code; a long text is counted in pieces."""
-    if len(ids) <= _PIECE:
-        codes, counts = np.unique(_grams(ids), return_counts=True)
-    else:
-        total = np.zeros((1 << 3 * _BITS) + (1 << 2 * _BITS) + (1 << _BITS), "int64")
-        for at in range(0, len(ids) - 2, _PIECE):
-            piece = ids[at : at + _PIECE + 2]
-            found, times = np.unique(_grams(piece), return_counts=True)
-            total[found] += times
-            if at + _PIECE < len(ids) - 2:  # the next piece begins with the last two letters again
-                again, times = np.unique(_grams(piece[-2:]), return_counts=True)
-                total[again] -= times
-        codes = np.flatnonzero(total)
-        counts = total[codes]
+    codes, counts = np.zeros(0, "int64"), np.zeros(0, "int64")
+    for at in range(0, max(1, len(ids) - 2), _PIECE):
+        piece = ids[at : at + _PIECE + 2]
+        found, times = np.unique(_grams(piece), return_counts=True)
+        if at + _PIECE < len(ids) - 2:  # the next piece begins with the last two letters again
+            again, less = np.unique(_grams(piece[-2:]), return_counts=True)
+            times[np.searchsorted(found, again)] -= less
+        if len(codes):
+            found, back = np.unique(np.concatenate((codes, found)), return_inverse=True)
+            times = np.bincount(back, np.concatenate((counts, times))).astype("int64")
+        codes, counts = found, times
+    some = counts > 0
+    codes, counts = codes[some], counts[some]
     return codes[np.lexsort((codes, -counts))[:size]]
 
 
 def learn(rows: list[tuple[str, str]], size: int) -> Profiles:
     """Profiles from (language, text) pairs: each language's ``size`` most frequent n-grams."""
     by_language: dict[str, list[str]] = {}
-    seen: dict[str, int] = {}
     for language, text in rows:
         by_language.setdefault(language, []).append(text)
-        for letter in text.lower():
-            if _is_letter(ord(letter)):
-                seen[letter] = seen.get(letter, 0) + 1
-    alphabet = "".join(sorted(sorted(seen, key=lambda x: (-seen[x], x))[: (1 << _BITS) - 2]))
-    table = _ids_table(alphabet)
     languages = tuple(sorted(by_language))
-    ranks = tuple(_top(_codes("\n".join(by_language[x]), table), size) for x in languages)
-    return Profiles(alphabet, languages, ranks)
+    return Profiles(languages, tuple(_top(_codes("\n".join(by_language[x])), size) for x in languages))
 
 
 class Identifier:
+    """Profiles as one table: all their n-grams sorted, and each language's ranks of them (-1 for none)."""
+
     def __init__(self, profiles: Profiles, size: int) -> None:
         self.profiles, self.size = profiles, size
-        self.table = _ids_table(profiles.alphabet)
-        self.rank = np.full((len(profiles.languages), (1 << 3 * _BITS) + (1 << 2 * _BITS) + (1 << _BITS)), -1, "int16")
+        self.known = np.unique(np.concatenate([np.zeros(0, "int64"), *profiles.ranks]))
+        self.rank = np.full((len(profiles.languages), len(self.known) + 1), -1, "int32")
         for i, codes in enumerate(profiles.ranks):
-            self.rank[i, codes] = np.arange(len(codes))
+            self.rank[i, np.searchsorted(self.known, codes)] = np.arange(len(codes))
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        ids = _codes(text, self.table) if text else np.zeros(0, "int32")
+        ids = _codes(text) if text else np.zeros(0, "int32")
         if not len(ids) or not self.profiles.languages:
             return "und", 0.0
         top = _top(ids, self.size)
-        known = self.rank[:, top]
+        at = np.searchsorted(self.known, top)
+        at[self.known[np.minimum(at, len(self.known) - 1)] != top] = len(self.known)
+        known = self.rank[:, at]
         apart = np.where(known < 0, self.size, np.abs(known - np.arange(len(top))))
         distance = apart.sum(axis=1)
         best = int(distance.argmin())
@@ -128,7 +130,8 @@ def identify_languages(
     none of the n-grams is known. The label is no input of the prediction.
 
     The classifier is fitted on a bounded sample: about ``sample_per_language`` labelled documents of each
-    language, by a hash of their id (never more than twice as many, of at most ``max_languages``). Every text is read whole. A null text, or one without a letter, is ``und`` with score
+    language, by a hash of their id (never more than twice as many); more than ``max_languages`` are an error. Letters are code points, so
+    every script has its own n-grams. Every text is read whole. A null text, or one without a letter, is ``und`` with score
     0; without any labelled document all are. A narrow pass with no shuffle of texts; repeated rows and
     skew do not matter, and columns named like the new ones are replaced.
     """
@@ -138,8 +141,11 @@ def identify_languages(
     drawn = (
         hash_sample(labelled, F.col("lang"), F.col("id"), sample_per_language)
         .withColumn("n", F.row_number().over(best)).where(F.col("n") <= 2 * sample_per_language)
-        .select("lang", "text").limit(2 * sample_per_language * max_languages)
+        .select("lang", "text")
     )
+    found = labelled.select("lang").distinct().limit(max_languages + 1).count()
+    if found > max_languages:
+        raise ValueError(f"more than {max_languages} languages; profiles are held by one process")
     profiles = learn(sorted(map(tuple, drawn.collect())), size)
     raw = free_name(df, "raw")
     rest = [c for c in df.columns if c not in (text, lang, "lang_pred", "score")]
