@@ -7,13 +7,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import broadcast_if_small, hash_sample, materialise
 from tessera.llm.graph import connected_components
 
 _MIX = 0x9E3779B97F4A7C15
+_BITS = 1024  #: of a set's sketch
 
 
 def shingle_set(text: bytes, shingle: int = 5) -> np.ndarray:
@@ -39,19 +40,29 @@ def overlap(n: int, similarity: float) -> int:
     return int(np.ceil(n * similarity - 1e-9))
 
 
+def sketch(found: np.ndarray) -> np.ndarray:
+    """For each value of the hashes' low bits, whether an odd number of them has it.
+
+    Two sketches differ in as many bits as there are hashes in one set alone, at most.
+    """
+    odd = np.bincount((found & np.uint64(_BITS - 1)).astype("int64"), minlength=_BITS) & 1
+    return np.packbits(odd.astype("uint8")).view("int64")
+
+
 def _prefixes(lean: DataFrame, shingle: int, similarity: float, frequent: list[int]) -> DataFrame:
-    """``doc_id, uid, node, n, prefix``: a text's set by digest, its size, and the shingles it is found by."""
+    """``doc_id, uid, node, n, sketch, prefix``: a text's set by digest, its size, and the shingles it is found by."""
     common = np.array(frequent, "int64").view("uint64")
     by_hash = np.argsort(common)
     common = common[by_hash]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, prefixes = [], [], []
+            nodes, sizes, prefixes, sketches = [], [], [], [np.zeros(0, "int64")]
             for raw in batch.column(2):
                 found = shingle_set(raw.as_py() or b"", shingle)
                 nodes.append(xxhash.xxh64_intdigest(found.tobytes(), len(found)))
                 sizes.append(len(found))
+                sketches.append(sketch(found))
                 if len(common) and len(found):
                     at = np.minimum(np.searchsorted(common, found), len(common) - 1)
                     # Frequent shingles last, the most frequent at the very end.
@@ -61,10 +72,12 @@ def _prefixes(lean: DataFrame, shingle: int, similarity: float, frequent: list[i
             ends = np.concatenate(([0], np.cumsum([len(x) for x in prefixes]))).astype("int32")
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, "uint64")
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view("int64")))
-            columns = [batch.column(0), batch.column(1), pa.array(np.array(nodes, "uint64").view("int64")), pa.array(sizes, pa.int32()), lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "uid", "node", "n", "prefix"])
+            rows = np.arange(0, _BITS // 64 * len(nodes) + 1, _BITS // 64, dtype="int32")
+            bits = pa.ListArray.from_arrays(pa.array(rows), pa.array(np.concatenate(sketches)))
+            columns = [batch.column(0), batch.column(1), pa.array(np.array(nodes, "uint64").view("int64")), pa.array(sizes, pa.int32()), bits, lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "uid", "node", "n", "sketch", "prefix"])
 
-    return lean.mapInArrow(read, "doc_id long, uid long, node long, n int, prefix array<long>")
+    return lean.mapInArrow(read, "doc_id long, uid long, node long, n int, sketch array<long>, prefix array<long>")
 
 
 def _sets(lean: DataFrame, shingle: int) -> DataFrame:
@@ -87,15 +100,23 @@ def _frequent(lean: DataFrame, shingle: int, sample: int, most: int) -> list[int
 
 def similar_pairs(prints: DataFrame, lean: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """``a, b``: all pairs of distinct sets whose common shingles are ``similarity`` of their union or more."""
-    nodes = materialise(prints.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("uid").alias("uid")))
-    keyed = nodes.select("node", "n", F.explode("prefix").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
-    held = materialise(keyed.join(shared, "key", "left_semi"))
+    # Equal sets have equal prefixes, so a key that only they share has one node.
+    by_key = Window.partitionBy("key")
+    keyed = prints.select("node", "n", F.explode("prefix").alias("key"))
+    held = keyed.withColumn("low", F.min("node").over(by_key)).withColumn("high", F.max("node").over(by_key)).where("low < high")
+    held = materialise(held.select("key", "node", "n").distinct())
     a, b = held.alias("a"), held.alias("b")
     near = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node"))
     # Sets of that similarity are also alike in size.
     near &= F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * F.lit(similarity - 1e-9)
     pairs = materialise(a.join(b, near).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct())
+    of_node = prints.join(held.select("node").distinct(), "node", "left_semi").groupBy("node")
+    nodes = materialise(of_node.agg(F.min("uid").alias("uid"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    # And their sketches are, which spares most others the comparison of whole sets.
+    left, right = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")) for x in "ab")
+    apart = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    most = (F.col("n_a") + F.col("n_b")) * F.lit((1 - similarity) / (1 + similarity)) + 1e-6
+    pairs = materialise(pairs.join(left, "a").join(right, "b").where(apart <= most).select("a", "b"))
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "uid"), "node")
     wanted = broadcast_if_small(materialise(wanted.select("node", F.col("uid").alias("_uid"))), F.lit(16))
     texts = lean.join(wanted, lean["uid"] == wanted["_uid"]).select("node", "raw")
@@ -115,7 +136,8 @@ def similar_groups(
     Documents are linked if the distinct shingles they share are at least ``similarity`` of all that either has
     (ASCII lower case, words at white space; a text of fewer words is one shingle), and ``component_id`` is the
     smallest ``doc_id`` that links reach. No link is missed: of two such sets, ordered alike, the first
-    n - ceil(similarity n) + 1 shingles of each have one in common. Sets that meet there are compared whole.
+    n - ceil(similarity n) + 1 shingles of each have one in common. Sets that meet there, and
+    whose sizes and sketches allow that similarity, are compared whole.
     The order puts shingles last that a sample of documents repeats; it bears on time, not on the result.
 
     Documents of equal sets are one node. Null and blank texts have the empty set and are one node. Repeated rows give
