@@ -99,7 +99,7 @@ def _frequent(lean: DataFrame, shingle: int, sample: int, most: int) -> list[int
 
 
 def similar_pairs(prints: DataFrame, lean: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """``a, b``: all pairs of distinct sets whose common shingles are ``similarity`` of their union or more."""
+    """``a, b``: pairs that connect all distinct sets whose common shingles are ``similarity`` of their union or more."""
     # Equal sets have equal prefixes, so a key that only they share has one node.
     by_key = Window.partitionBy("key")
     keyed = prints.select("node", "n", F.explode("prefix").alias("key"))
@@ -116,11 +116,23 @@ def similar_pairs(prints: DataFrame, lean: DataFrame, shingle: int, similarity:
     left, right = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")) for x in "ab")
     apart = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
     most = (F.col("n_a") + F.col("n_b")) * F.lit((1 - similarity) / (1 + similarity)) + 1e-6
-    pairs = materialise(pairs.join(left, "a").join(right, "b").where(apart <= most).select("a", "b"))
+    pairs = materialise(pairs.join(left, "a").join(right, "b").withColumn("apart", apart).where(F.col("apart") <= most).select("a", "b", "apart"))
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "uid"), "node")
     wanted = broadcast_if_small(materialise(wanted.select("node", F.col("uid").alias("_uid"))), F.lit(16))
     texts = lean.join(wanted, lean["uid"] == wanted["_uid"]).select("node", "raw")
     sets = materialise(_sets(texts, shingle).dropDuplicates(["node"]))
+    # Each set with the nearest by sketch first; then only pairs that these links leave unconnected.
+    closest = F.min(F.struct("apart", "a", "b")).alias("p")
+    first = pairs.groupBy("a").agg(closest).select("p.a", "p.b").union(pairs.groupBy("b").agg(closest).select("p.a", "p.b")).distinct()
+    links = materialise(_verified(first, sets, similarity))
+    heads = materialise(connected_components(links))
+    left, right = (heads.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}")) for x in "ab")
+    apart = F.coalesce("c_a", "a") != F.coalesce("c_b", "b")
+    rest = pairs.join(left, "a", "left").join(right, "b", "left").where(apart).select("a", "b")
+    return links.unionByName(_verified(rest, sets, similarity))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b"
     )
