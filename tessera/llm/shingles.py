@@ -14,7 +14,6 @@ from tessera.llm.common import broadcast_if_small, hash_sample, materialise
 from tessera.llm.graph import connected_components
 
 _MIX = 0x9E3779B97F4A7C15
-_BITS = 1024  #: of a set's sketch
 
 
 def shingle_set(text: bytes, shingle: int = 5) -> np.ndarray:
@@ -43,9 +42,11 @@ def overlap(n: int, similarity: float) -> int:
 def sketch(found: np.ndarray) -> np.ndarray:
     """For each value of the hashes' low bits, whether an odd number of them has it.
 
-    Two sketches differ in as many bits as there are hashes in one set alone, at most.
+    Two sketches differ in as many bits as there are hashes in one set alone, at most. There is a bit a hash or up to
+    twice as many, a power of two; the halves of a sketch, folded by exclusive or, are the sketch of half as many bits.
     """
-    odd = np.bincount((found & np.uint64(_BITS - 1)).astype("int64"), minlength=_BITS) & 1
+    bits = max(64, 1 << (len(found) - 1).bit_length()) if len(found) else 64
+    odd = np.bincount((found & np.uint64(bits - 1)).astype("int64"), minlength=bits) & 1
     return np.packbits(odd.astype("uint8")).view("int64")
 
 
@@ -72,7 +73,7 @@ def _prefixes(lean: DataFrame, shingle: int, similarity: float, frequent: list[i
             ends = np.concatenate(([0], np.cumsum([len(x) for x in prefixes]))).astype("int32")
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, "uint64")
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view("int64")))
-            rows = np.arange(0, _BITS // 64 * len(nodes) + 1, _BITS // 64, dtype="int32")
+            rows = np.cumsum([len(x) for x in sketches]).astype("int32")
             bits = pa.ListArray.from_arrays(pa.array(rows), pa.array(np.concatenate(sketches)))
             columns = [batch.column(0), batch.column(1), pa.array(np.array(nodes, "uint64").view("int64")), pa.array(sizes, pa.int32()), bits, lists]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "uid", "node", "n", "sketch", "prefix"])
@@ -114,7 +115,11 @@ def similar_pairs(prints: DataFrame, lean: DataFrame, shingle: int, similarity:
     nodes = materialise(of_node.agg(F.min("uid").alias("uid"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     # And their sketches are, which spares most others the comparison of whole sets.
     left, right = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")) for x in "ab")
-    apart = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    half = lambda s: F.zip_with(F.slice(s, 1, (F.size(s) / 2).cast("int")), F.slice(s, (F.size(s) / 2).cast("int") + 1, F.size(s)), lambda x, y: x.bitwiseXOR(y))
+    # Sets alike in size have as many bits, or one of them twice as many (as similarity is above 0.5).
+    folded = lambda s, t: F.when(F.size(s) > F.size(t), half(s)).otherwise(s)
+    s_a, s_b = folded(F.col("s_a"), F.col("s_b")), folded(F.col("s_b"), F.col("s_a"))
+    apart = F.aggregate(F.zip_with(s_a, s_b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
     most = (F.col("n_a") + F.col("n_b")) * F.lit((1 - similarity) / (1 + similarity)) + 1e-6
     pairs = materialise(pairs.join(left, "a").join(right, "b").withColumn("apart", apart).where(F.col("apart") <= most).select("a", "b", "apart"))
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "uid"), "node")
@@ -156,8 +161,8 @@ def similar_groups(
     repeated rows. Rows with a null ``doc_id`` keep it, and lend no id to their component unless it has none else
     (then it is null). An empty table gives an empty result; further columns are ignored.
     """
-    if not 0 < similarity <= 1:
-        raise ValueError("similarity must be above 0 and at most 1")
+    if not 0.5 < similarity <= 1:
+        raise ValueError("similarity must be above 0.5 and at most 1")
     lean = df.select(
         F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(doc_id), F.col(text)).alias("uid"), F.col(text).cast("binary").alias("raw")
     )
