@@ -13,7 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.wordbpe import WordBpe
+from tessera.llm.wordbpe import encoder
+
+
+_GONE = 1e18  #: ids of a piece that has its place
 
 
 @dataclass(frozen=True)
@@ -65,43 +68,42 @@ class _Pool:
     def pack(self, leave: int) -> Iterator[list[tuple[int, int, int]]]:
         """Sequences as lists of (document, start, end), until at most ``leave`` pieces wait."""
         lim = self.limits
-        caps = np.array([lim.tokens, lim.segments, lim.loss], float)
         doc, start, end = (list(x) for x in (self.doc, self.start, self.end))
-        size = np.empty((len(doc), 3))
-        size[:, 0] = np.subtract(end, start)
-        size[:, 1] = 1
-        frees = np.array([self.docs[d][2] for d in doc])
-        size[:, 2] = np.maximum(0, np.array(end) - np.maximum(start, frees))
-        shares = size / caps
-        waiting = np.ones(len(doc), bool)
+        frees = [self.docs[d][2] for d in doc]
+        ids = np.subtract(end, start).astype(float)
+        loss = np.maximum(0, np.array(end) - np.maximum(start, frees)).astype(float)
         left = len(doc)
         while left > leave:
-            weights = shares[waiting].mean(axis=0)
-            room, chosen = caps.copy(), []
-            while left:
-                fits = waiting & (size <= room).all(axis=1)
-                if not fits.any():
-                    break
-                score = np.where(fits, shares @ (weights * room / caps), -1.0)
+            waiting = ids < _GONE
+            mean_ids, mean_loss = ids[waiting].mean() / lim.tokens, loss[waiting].mean() / lim.loss
+            room, room_loss, chosen = lim.tokens, lim.loss, []
+            # Each piece is one segment, so segments add the same to all dot products of a choice.
+            while left and len(chosen) < lim.segments:
+                score = ids * (mean_ids * room / lim.tokens**2)
+                score += loss * (mean_loss * room_loss / lim.loss**2)
+                score[(ids > room) | (loss > room_loss)] = -1.0
                 best = int(score.argmax())
+                if score[best] < 0:
+                    break
                 chosen.append((doc[best], start[best], end[best]))
-                room -= size[best]
-                waiting[best] = False
+                room -= int(ids[best])
+                room_loss -= int(loss[best])
+                ids[best] = _GONE
+                loss[best] = 0.0
                 left -= 1
-            gap = int(min(room[0], room[2]))
-            if left and gap >= lim.min_cut and room[1] >= 1:
-                best = int(np.where(waiting, size[:, 0], -1).argmax())
+            gap = min(room, room_loss)
+            if left and gap >= lim.min_cut and len(chosen) < lim.segments:
+                best = int(np.where(ids < _GONE, ids, -1.0).argmax())
                 gap = min(gap, end[best] - start[best])
                 chosen.append((doc[best], start[best], start[best] + gap))
                 start[best] += gap
-                size[best, 0] = end[best] - start[best]
-                size[best, 2] = max(0, end[best] - max(start[best], int(frees[best])))
-                shares[best] = size[best] / caps
+                ids[best] = end[best] - start[best]
+                loss[best] = max(0, end[best] - max(start[best], frees[best]))
                 if start[best] == end[best]:
-                    waiting[best] = False
+                    ids[best] = _GONE
                     left -= 1
             yield chosen
-        keep = np.flatnonzero(waiting).tolist()
+        keep = np.flatnonzero(ids < _GONE).tolist()
         used = sorted({doc[i] for i in keep})
         place = {d: i for i, d in enumerate(used)}
         self.docs = [self.docs[d] for d in used]
@@ -140,7 +142,7 @@ def pack_documents(
     lean = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), free.alias("free"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, pool = WordBpe(tokenizer), _Pool(limits)
+        bpe, pool = encoder(tokenizer), _Pool(limits)
         end = np.array([end_id], "<u4")
         number = TaskContext.get().partitionId() << 33
         rows: list[tuple] = []
@@ -164,8 +166,9 @@ def pack_documents(
             return pa.RecordBatch.from_arrays(columns, names=schema.names)
 
         for batch in batches:
-            for name, text_, free_ in zip(*batch.columns, strict=True):
-                pool.add(name.as_py(), np.concatenate([bpe.ids(text_.as_py()), end]), free_.as_py())
+            texts = (x.as_py() for x in batch.column(1))
+            for name, ids, free_ in zip(batch.column(0), bpe.all_ids(texts), batch.column(2), strict=True):
+                pool.add(name.as_py(), np.concatenate([ids, end]), free_.as_py())
                 if len(pool) >= 2 * window:
                     placed(window)
                     if len(rows) >= 4096:
