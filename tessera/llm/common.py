@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: What separates words in the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -22,11 +24,19 @@ def materialise(df: DataFrame) -> DataFrame:
     narrow rows (keys, sizes, hashes); the files go when Spark cleans the checkpoint.
     """
     spark = df.sparkSession
+    shared_folder(spark)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``; a local one only where master and executors are one process."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
 
 
 def broadcast_if_small(df: DataFrame, row_bytes: Column, limit: int = 32_000_000) -> DataFrame:
@@ -52,11 +62,21 @@ def hash_sample(df: DataFrame, group: Column, key: Column, size: int) -> DataFra
     return keyed.join(counts, keyed[name] == counts["g"]).where(point < F.col(share)).select(*df.columns)
 
 
+def col(name: str) -> Column:
+    """A column by its whole name, whatever characters that holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; a null or blank text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
 
 
+def map_arrow(df: DataFrame, function: Callable, schema: StructType) -> DataFrame:
+    """``df.mapInArrow``, for input columns of any names: the function sees them by place."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(function, schema)
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not have, so that callers' own columns never clash with ours."""
     taken = {c.lower() for c in df.columns}

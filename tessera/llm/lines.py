@@ -8,11 +8,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import free_name, materialise
+from tessera.llm.common import broadcast_if_small, col, free_name, map_arrow, materialise
 
 _MIX = 0x9E3779B97F4A7C15  #: odd, so powers of it never vanish modulo 2^64
 
@@ -45,11 +45,11 @@ def deletion_keys(hashes: np.ndarray, first: int, last: int) -> tuple[np.ndarray
     return before[at] + (shifted[n - 1] - shifted[at]), int(before[n])
 
 
-def _long_lines(df: DataFrame, doc: str, text: str, min_words: int, fold_words: int) -> DataFrame:
-    """``h, doc, uid, line_no, keys`` of every line of ``fold_words`` words or more; ``uid`` stands for id and text.
+def _lines(df: DataFrame, doc: str, text: str, min_words: int) -> DataFrame:
+    """``h, doc, uid, line_no, keys`` of every line with a word; ``uid`` stands for id and text.
 
     ``h`` is the hash of the line's words. Two lines within one edit share one of their ``keys``: of as many
-    words as the shorter one has, the first or the last half is untouched. Lines of under ``min_words`` share none.
+    words as the shorter one has, the first or the last half is untouched. Lines of under ``min_words`` have none.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,13 +67,13 @@ def _long_lines(df: DataFrame, doc: str, text: str, min_words: int, fold_words:
             for i, raw in enumerate(batch.column(2)):
                 for number, line in enumerate((raw.as_py() or b"").split(b"\n")):
                     w = line.split()
-                    if len(w) < fold_words:
+                    if not w:
                         continue
                     docs.append(i)
                     lines.append(number)
                     hashes.append(digest(b" ".join(w), 7))
                     if len(w) < min_words:
-                        keys += 4 * [hashes[-1]]
+                        keys += 4 * [hashes[-1]]  # its own alone
                         continue
                     for short in (len(w), len(w) - 1):
                         half = short // 2
@@ -85,19 +85,19 @@ def _long_lines(df: DataFrame, doc: str, text: str, min_words: int, fold_words:
             yield made()
 
     lean = df.select(
-        F.col(doc).cast("long").alias("doc"), F.xxhash64(F.col(doc), F.col(text)).alias("uid"), F.col(text).cast("binary").alias("t")
+        col(doc).cast("long").alias("doc"), F.xxhash64(col(doc), col(text)).alias("uid"), col(text).cast("binary").alias("t")
     ).where(F.col("t").isNotNull())
     return lean.mapInArrow(read, "h long, doc long, uid long, line_no int, keys array<long>")
 
 
-def _wanted_lines(df: DataFrame, doc: str, text: str, wanted: DataFrame, broadcast_rows: int) -> DataFrame:
+def _wanted_lines(df: DataFrame, doc: str, text: str, wanted: DataFrame) -> DataFrame:
     """``h, doc, line_no, line`` of the lines that ``wanted(h, doc, uid, line_no)`` names.
 
-    Its size is checked: up to ``broadcast_rows`` rows are broadcast, more are joined by an exchange.
+    Broadcast while they measure small, else joined by an exchange.
     """
     lists = wanted.groupBy("uid").agg(F.collect_list(F.struct("line_no", "h")).alias("wanted"))
-    lists = F.broadcast(lists) if wanted.count() <= broadcast_rows else lists
-    lean = df.select(F.xxhash64(F.col(doc), F.col(text)).alias("uid"), F.col(doc).cast("long").alias("doc"), F.col(text).alias("t"))
+    lists = broadcast_if_small(materialise(lists), 16 * F.size("wanted"))
+    lean = df.select(F.xxhash64(col(doc), col(text)).alias("uid"), col(doc).cast("long").alias("doc"), col(text).alias("t"))
     found = lean.join(lists, "uid").select("doc", F.split("t", "\n").alias("lines"), F.explode("wanted").alias("x"))
     return found.select(F.col("x.h").alias("h"), "doc", F.col("x.line_no").alias("line_no"), F.get("lines", F.col("x.line_no")).alias("line"))
 
@@ -134,37 +134,32 @@ def _verified(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([within_one_edit(x.encode().split(), y.encode().split()) for x, y in zip(a, b, strict=True)], dtype=bool)
 
 
-def kept_lines(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_words: int = 5, fold_words: int | None = None, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """``doc, line_no, uid`` of the lines that stay, among those of at least ``fold_words`` words (else ``min_words``)."""
+def kept_lines(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_words: int = 5) -> DataFrame:
+    """``doc, line_no, uid`` of the lines with a word that stay."""
     # Flat columns: nested ones would take nearly twice the room in the checkpoint.
     firsts = materialise(
-        _long_lines(df, doc_id, text, min_words, fold_words or min_words)
+        _lines(df, doc_id, text, min_words)
         .groupBy("h").agg(F.min(F.struct("doc", "line_no", "uid")).alias("o"), F.first("keys").alias("keys"))
         .select("h", "o.*", *(F.get("keys", F.lit(i)).alias(f"key{i}") for i in range(4)))
     )
     place = ["doc", "line_no", "uid"]
-    keyed = firsts.select("h", F.explode(F.array_distinct(F.array(*(f"key{i}" for i in range(4))))).alias("key"))
+    keyed = firsts.where("key0 <> h").select("h", F.explode(F.array_distinct(F.array(*(f"key{i}" for i in range(4))))).alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     rivals = keyed.join(shared, "key", "left_semi").select("h").distinct()
-    wanted = materialise(firsts.select("h", *place).join(rivals, "h", "left_semi"))
-    rows = materialise(_wanted_lines(df, doc_id, text, wanted, broadcast_rows).dropDuplicates(["h"]))
-    by_key = Window.partitionBy("key")
-    me = F.struct("doc", "line_no", "h")
+    wanted = firsts.select("h", *place).join(rivals, "h", "left_semi")
+    rows = materialise(_wanted_lines(df, doc_id, text, wanted).dropDuplicates(["h"]))
+    # Minima by key are sums over the partitions, so one key may hold any share of the variants; only keys that meet go on.
+    variants = _variants(rows)
+    meet = materialise(variants.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
+    held = materialise(variants.join(broadcast_if_small(meet, F.lit(8)), "key").select("key", "at", F.struct("doc", "line_no", "h").alias("me")))
     # Lines that lack the same word in the same place are one edit apart, and so is each of them from the
     # whole line that is left without it.
-    met = (
-        _variants(rows)
-        .select("key", "at", me.alias("me"))
-        .withColumn("n", F.count(F.lit(1)).over(by_key))
-        .where("n > 1")
-        .withColumn("alike", F.min("me").over(Window.partitionBy("key", "at")))
-        .withColumn("whole", F.min(F.when(F.col("at") < 0, F.col("me"))).over(by_key))
-        .withColumn("least", F.min("me").over(by_key))
-        .withColumn("best", F.when(F.col("at") < 0, F.col("least")).otherwise(F.least("alike", F.coalesce("whole", "alike"))))
-        .where(F.col("best") < F.col("me"))
-        .select(F.col("me.h").alias("h"), F.col("best.h").alias("earlier"))
-        .distinct()
+    alike = held.groupBy("key", "at").agg(F.min("me").alias("alike"))
+    by_key = alike.groupBy(F.col("key").alias("k")).agg(F.min(F.when(F.col("at") < 0, F.col("alike"))).alias("whole"), F.min("alike").alias("least"))
+    best = alike.join(by_key, F.col("key") == F.col("k")).select(
+        "key", "at", F.when(F.col("at") < 0, F.col("least")).otherwise(F.least("alike", F.coalesce("whole", "alike"))).alias("best")
     )
+    met = held.join(best, ["key", "at"]).where(F.col("best") < F.col("me")).select(F.col("me.h").alias("h"), F.col("best.h").alias("earlier")).distinct()
     pairs = (
         met.join(rows.select("h", F.col("line").alias("a")), "h")
         .join(rows.select(F.col("h").alias("earlier"), F.col("line").alias("b")), "earlier")
@@ -180,17 +175,14 @@ def dedup_lines(
     doc_id: str = "doc_id",
     text: str = "text",
     min_words: int = 5,
-    fold_words: int | None = None,
     counts: tuple[str, str] | None = None,
     drop_emptied: bool = False,
 ) -> DataFrame:
     """``df`` with every line left out of ``text`` that an earlier line of the corpus matches.
 
-    Lines match if their words are the same, or one word put in, left out or replaced makes them the same
-    (so their similarity is 0.8 or more, as only lines of at least ``min_words`` = 5 words are compared;
-    shorter lines always stay, unless ``fold_words`` is given:
-    then those of that many words or more go if an earlier line has the same words). Earlier means by document id (null first), then by line number. A line goes
-    if any earlier line matches it, be that one kept or not.
+    Lines match if their words are the same; lines of at least ``min_words`` = 5 words also if one word put in, left out
+    or replaced makes them the same (so their similarity is 0.8 or more). Earlier means by document id (null first),
+    then by line number. A line goes if any earlier line matches it, be that one kept or not. Lines without a word always stay.
 
     Equal lines are first folded into their earliest. Of the rest, those that share the hash of an
     untouched half with another line emit hashed keys for all variants with one word deleted; equal
@@ -202,10 +194,9 @@ def dedup_lines(
     and stay alike. Other columns stay as they are; an empty table gives no rows.
     """
     uid, mine, keep = (free_name(df, x) for x in ("uid", "mine", "keep"))
-    least = min(min_words, fold_words or min_words)
-    stay = kept_lines(df, doc_id=doc_id, text=text, min_words=min_words, fold_words=least)
+    stay = kept_lines(df, doc_id=doc_id, text=text, min_words=min_words)
     lists = stay.groupBy(F.col("uid").alias(mine)).agg(F.collect_set("line_no").alias(keep))
-    keyed = df.withColumn(uid, F.xxhash64(F.col(doc_id), F.col(text)))
+    keyed = df.withColumn(uid, F.xxhash64(col(doc_id), col(text)))
     joined = keyed.join(lists, keyed[uid] == lists[mine], "left").select(*(keyed[f"`{c}`"] for c in df.columns), keep)
     place = df.columns.index(text)
     names = [c for c in df.columns if not counts or c not in counts] + list(counts or ())
@@ -216,7 +207,7 @@ def dedup_lines(
             for raw, kept in zip(batch.column(place), batch.column(batch.num_columns - 1), strict=True):
                 raw, kept = raw.as_py(), set(kept.as_py() or ())
                 lines = [] if raw is None else raw.split("\n")
-                left = [x for i, x in enumerate(lines) if i in kept or len(x.encode().split()) < least]
+                left = [x for i, x in enumerate(lines) if i in kept or not x.encode().split()]
                 texts.append(None if raw is None else "\n".join(left))
                 totals.append(len(lines))
                 lost.append(len(lines) - len(left))
@@ -229,4 +220,4 @@ def dedup_lines(
     df_columns = df.columns
     fields = [df.schema[c] for c in names if not counts or c not in counts]
     schema = T.StructType([*fields, *(T.StructField(c, T.LongType()) for c in counts or ())])
-    return joined.mapInArrow(read, schema)
+    return map_arrow(joined, read, schema)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.common import col
 from tessera.llm.wordbpe import encoder
 
 
@@ -138,8 +139,8 @@ def pack_documents(
     ``doc_id`` stays null, an empty table gives no rows, and other columns are ignored. ``with_ids``
     adds the ids themselves.
     """
-    free = F.coalesce(F.col(lossless).cast("long"), F.lit(0)) if lossless else F.lit(0).cast("long")
-    lean = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), free.alias("free"))
+    free = F.coalesce(col(lossless).cast("long"), F.lit(0)) if lossless else F.lit(0).cast("long")
+    lean = df.select(col(doc_id).cast("long").alias("doc_id"), F.coalesce(col(text), F.lit("")).alias("text"), free.alias("free"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, pool = encoder(tokenizer), _Pool(limits)

@@ -96,14 +96,14 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": r"""with l as (select doc_id, generate_subscripts(x, 1) as n, unnest(x) as line from (select doc_id, string_split(text, chr(10)) as x from documents)),
 k as (select doc_id, n, line, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from l),
-b as (select doc_id, n, w, len(w) as m, array_to_string(w, ' ') as s, row_number() over (order by doc_id, n) as o from k where len(w) >= 5),
+b as (select doc_id, n, w, len(w) as m, array_to_string(w, ' ') as s, row_number() over (order by doc_id, n) as o from k where len(w) > 0),
 f as (select s, min(o) as o, any_value(w) as w, any_value(m) as m from b group by s),
-v as (select o, m, i, array_to_string(w[1:i-1] || w[i+1:], ' ') as d from (select o, m, w, unnest(range(1, m + 1)) as i from f)),
+v as (select o, m, i, array_to_string(w[1:i-1] || w[i+1:], ' ') as d from (select o, m, w, unnest(range(1, m + 1)) as i from f where m >= 5)),
 near as (select v.o from v join (select m, i, d, min(o) as o from v group by m, i, d having count(*) > 1) g on v.m = g.m and v.i = g.i and v.d = g.d where v.o > g.o
-  union select v.o from v join f on v.d = f.s where f.o < v.o union select f.o from v join f on v.d = f.s where v.o < f.o),
+  union select v.o from v join f on v.d = f.s where f.o < v.o and f.m >= 5 union select f.o from v join f on v.d = f.s where v.o < f.o and f.m >= 5),
 stay as (select b.doc_id, b.n from b join f on b.o = f.o where f.o not in (select o from near)),
 kept as (select k.doc_id, string_agg(line, chr(10) order by k.n) as text, count(*) as c from k left join stay on k.doc_id = stay.doc_id and k.n = stay.n
-  where len(k.w) < 5 or stay.n is not null group by k.doc_id)
+  where len(k.w) = 0 or stay.n is not null group by k.doc_id)
 select d.doc_id, coalesce(kept.text, '') as text, len(string_split(d.text, chr(10))) as n_lines, len(string_split(d.text, chr(10))) - coalesce(c, 0) as n_dropped
 from documents d left join kept on d.doc_id = kept.doc_id""",
     "op9_exact_top_k": """with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings

@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import free_name, materialise
+from tessera.llm.common import col, free_name, map_arrow, materialise
 
 _SPACE = 1 << 192  #: keys are (sort key, content hash, row ordinal), 64 bits each
 
@@ -27,8 +28,6 @@ def _keys(pdf: pd.DataFrame, key: str, tie: str, ordinal: str) -> np.ndarray:
     return np.ascontiguousarray(parts).view("V24").ravel()
 
 
-
-
 def _rank(keys: np.ndarray, points: list[int]) -> np.ndarray:
     """For each key, how many of the sorted ``points`` are at or below it."""
     order = np.frombuffer(b"".join(p.to_bytes(24, "big") for p in points), ">u8").reshape(-1, 3)
@@ -79,21 +78,24 @@ def histogram_sort_shards(
     tie, ordinal = free_name(df, "tie"), free_name(df, "ordinal")
     weight = free_name(df, "weight")
     rows = materialise(
-        df.withColumn(tie, F.xxhash64(*df.columns))
+        df.withColumn(tie, F.xxhash64(*map(col, df.columns)))
         .withColumn(ordinal, F.monotonically_increasing_id())
-        .withColumn(weight, F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0)))
+        .withColumn(weight, F.greatest(F.coalesce(col(size).cast("long"), F.lit(0)), F.lit(0)))
     )
-    lean = rows.select(F.col(key).cast("long").alias("k"), F.col(tie).alias("t"), F.col(ordinal).alias("o"), F.col(weight).alias("w"))
+    lean = rows.select(col(key).cast("long").alias("k"), F.col(tie).alias("t"), F.col(ordinal).alias("o"), F.col(weight).alias("w"))
     splitters = _splitters(lean, n_shards, tolerance, probes)
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ranks = _rank(_keys(pdf, key, tie, ordinal), splitters) if splitters else np.zeros(len(pdf))
-            yield pdf.assign(**{shard_col: ranks.astype("int32")})
+    places = [rows.columns.index(c) for c in (key, tie, ordinal)]
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pdf = pd.DataFrame({n: batch.column(p).to_pandas() for n, p in zip("kto", places, strict=True)})
+            ranks = _rank(_keys(pdf, "k", "t", "o"), splitters) if splitters else np.zeros(len(pdf))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ranks.astype("int32"))], names=schema.names)
 
     schema = T.StructType([*rows.schema.fields, T.StructField(shard_col, T.IntegerType())])
-    dealt = rows.mapInPandas(assign, schema).repartition(n_shards, F.col(shard_col))
-    inside = Window.partitionBy(shard_col).orderBy(F.col(key).asc_nulls_first(), tie, ordinal)
+    dealt = map_arrow(rows, assign, schema).repartition(n_shards, col(shard_col))
+    inside = Window.partitionBy(col(shard_col)).orderBy(col(key).asc_nulls_first(), tie, ordinal)
     return dealt.withColumn(slot_col, (F.row_number().over(inside) - 1).cast("long")).drop(tie, ordinal, weight)
 
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import broadcast_if_small, hash_sample, materialise
+from tessera.llm.common import broadcast_if_small, col, hash_sample, materialise
 from tessera.llm.graph import connected_components
 
 _MIX = 0x9E3779B97F4A7C15
@@ -164,7 +164,7 @@ def similar_groups(
     if not 0.5 < similarity <= 1:
         raise ValueError("similarity must be above 0.5 and at most 1")
     lean = df.select(
-        F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(doc_id), F.col(text)).alias("uid"), F.col(text).cast("binary").alias("raw")
+        col(doc_id).cast("long").alias("doc_id"), F.xxhash64(col(doc_id), col(text)).alias("uid"), col(text).cast("binary").alias("raw")
     )
     prints = materialise(_prefixes(lean, shingle, similarity, _frequent(lean, shingle, sample, 10_000)))
     found = connected_components(similar_pairs(prints, lean, shingle, similarity))

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import free_name, materialise
+from tessera.llm.common import col, free_name, map_arrow, materialise
 from tessera.llm.graph import connected_components
 
 #: Shingle hashes that a task holds at a time.
@@ -50,7 +50,7 @@ def fingerprints(df: DataFrame, text: str = "text", out: str = "fp", shingle: in
     """
     raw = free_name(df, "raw")
     rest = [c for c in df.columns if c not in (text, out)]
-    lean = df.select(*(F.col(f"`{c}`") for c in rest), F.col(text).cast("binary").alias(raw))
+    lean = df.select(*(col(c) for c in rest), col(text).cast("binary").alias(raw))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -61,7 +61,7 @@ def fingerprints(df: DataFrame, text: str = "text", out: str = "fp", shingle: in
             )
 
     schema = lean.drop(raw).schema.add(out, "long")
-    return lean.mapInArrow(add, schema)
+    return map_arrow(lean, add, schema)
 
 
 def hex16(fp: Column) -> Column:
@@ -207,7 +207,7 @@ def simhash_groups(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     ``doc_id`` keep it, and lend no id to their component unless it has none else (then it is null).
     An empty table gives an empty result; further columns are ignored.
     """
-    lean = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    lean = df.select(col(doc_id).cast("long").alias("doc_id"), col(text).alias("text"))
     prints = materialise(fingerprints(lean, shingle=shingle))
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     nodes = materialise(nodes)

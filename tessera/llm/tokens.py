@@ -10,7 +10,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import free_name
+from tessera.llm.common import col, free_name, map_arrow
 
 _NORMAL = 1  #: type of the model's ordinary pieces
 
@@ -88,7 +88,7 @@ def token_counts(df: DataFrame, *, model: str, text: str = "text", out: str = "n
     """
     raw = free_name(df, "raw")
     rest = [c for c in df.columns if c not in (text, out)]
-    lean = df.select(*(F.col(f"`{c}`") for c in rest), F.coalesce(F.col(text), F.lit("")).alias(raw))
+    lean = df.select(*(col(c) for c in rest), F.coalesce(col(text), F.lit("")).alias(raw))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(model, chunk, overlap)
@@ -96,4 +96,4 @@ def token_counts(df: DataFrame, *, model: str, text: str = "text", out: str = "n
             found = counter.counts(batch.column(batch.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.int64())], names=[*rest, out])
 
-    return lean.mapInArrow(add, lean.drop(raw).schema.add(out, "long"))
+    return map_arrow(lean, add, lean.drop(raw).schema.add(out, "long"))
