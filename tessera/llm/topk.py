@@ -2,115 +2,150 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise
+from tessera.llm.common import col, materialise
+
+_ROWS = 128  #: queries that are held against a block of candidates at a time
+_PAIRS = 1 << 16  #: pairs whose products are held at a time
+_EDGE = 1.7e308  #: of doubles, about
+_MOST = (1 << 63) - 1
 
 
 def quantised(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
-    """``vec_id, v array<long>``: components as floor(scale * x); unusable vectors are left out.
+    """``vec_id, v array<double>``: components as floor(scale * x), whole numbers; unusable vectors are left out.
 
     Unusable are null and empty vectors and those with a null or non-finite component, and rows without
-    an id.
+    an id. Where scale * x would pass the range of a double, it is the range's end (1.7e308).
     """
-    whole = F.transform(F.col(vector), lambda x: x.cast("double"))
+    whole = F.transform(col(vector), lambda x: x.cast("double"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    # Beyond 2^53 doubles are whole numbers.
+    scaled = lambda x: F.when(F.abs(x) < 2.0**44, F.floor(x * scale).cast("double")).otherwise(F.least(F.lit(_EDGE), F.greatest(F.lit(-_EDGE), x * scale)))
     return (
-        vectors.select(F.col(vec_id).cast("long").alias("vec_id"), whole.alias("v"))
+        vectors.select(col(vec_id).cast("long").alias("vec_id"), whole.alias("v"))
         .where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~bad)
-        .select("vec_id", F.transform("v", lambda x: F.floor(x * scale).cast("long")).alias("v"))
+        .select("vec_id", F.transform("v", scaled).alias("v"))
     )
 
 
-def _levels(dims: int) -> list[int]:
-    """Numbers of segments, coarse to fine: 1, 4, 16, ... as far as a segment has two components."""
-    counts, n = [], 1
-    while n <= max(1, dims // 2):
-        counts.append(n)
-        n *= 4
-    return counts
+def levels(dims: int) -> list[int]:
+    """Numbers of segments, coarse to fine: 1, 4, 16, ..., and at last segments of two components."""
+    counts = [n for n in (4**i for i in range(16)) if n < max(2, dims // 2)]
+    return [*counts, dims // 2] if dims > 3 else counts
 
 
-def _statistics(v: np.ndarray, segments: int) -> np.ndarray:
-    """Per segment, its mean and its deviation, times the root of its length.
+def statistics(v: np.ndarray) -> np.ndarray:
+    """Of all levels in turn, per segment: its mean and its deviation, times the root of its length.
 
-    The inner product of two vectors' statistics is at least their own: over a segment it is
+    The inner product of two vectors' statistics of a level is at least their own: over a segment it is
     length * (mean * mean) plus the product of the deviations' norms (Cauchy-Schwarz). In terms of
     distances, the statistics' distance is at most the vectors' distance.
     """
     parts = []
-    for block in np.array_split(v, segments, axis=1):
-        mean = block.mean(axis=1)
-        root = np.sqrt(block.shape[1])
-        parts += [mean * root, np.sqrt(np.maximum(0.0, ((block - mean[:, None]) ** 2).sum(axis=1)))]
+    for segments in levels(v.shape[1]):
+        for block in np.array_split(v, segments, axis=1):
+            mean = block.mean(axis=1)
+            root = np.sqrt(block.shape[1])
+            parts += [mean * root, np.sqrt(np.maximum(0.0, ((block - mean[:, None]) ** 2).sum(axis=1)))]
     return np.stack(parts, axis=1)
 
 
-def _block_top(q: np.ndarray, qid: np.ndarray, c: np.ndarray, cid: np.ndarray, k: int, step: int = 1024) -> tuple[np.ndarray, ...]:
-    """Best ``k`` of ``c`` for each row of ``q``: query ids, candidate ids and scores."""
+def _products(q: np.ndarray, c: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inner products of the rows ``i`` of ``q`` and ``j`` of ``c``."""
+    parts = [np.einsum("ij,ij->i", q[i[a : a + _PAIRS]], c[j[a : a + _PAIRS]]) for a in range(0, len(i), _PAIRS)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
+def block_top(q: np.ndarray, qid: np.ndarray, qs: np.ndarray, c: np.ndarray, cid: np.ndarray, cs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Best ``k`` of ``c`` for each row of ``q``: query ids, candidate ids and scores; and how many pairs were scored.
+
+    ``qs`` and ``cs`` are the rows' ``statistics``. On each level, the candidates of the highest bounds are scored first;
+    the k-th best of them is the bar that others' bounds must reach to go on to the finer level.
+    """
     dims = q.shape[1]
-    exact = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * dims
-    if exact >= 2.0**62:
-        raise OverflowError("inner products may exceed 64 bits")
-    kind = "float64" if exact < 2.0**52 else "int64"
-    q_exact, c_exact = q.astype(kind), c.astype(kind)
-    qf, cf = q.astype("float64"), c.astype("float64")
-    levels = _levels(dims)
-    q_stats = [_statistics(qf, n) for n in levels]
-    c_stats = [_statistics(cf, n) for n in levels]
-    slack = 1e-9 * (1.0 + exact)
-    # Candidates with large norms first: they raise the bar early.
-    order = np.argsort(-np.einsum("ij,ij->i", cf, cf), kind="stable")
-    top = np.full((len(q), k), np.iinfo("int64").min)
-    ids = np.full((len(q), k), np.iinfo("int64").max)
-    for at in range(0, len(c), step):
-        rows = order[at : at + step]
-        bar = top[:, -1].astype("float64")[:, None] - slack
-        alive = q_stats[0] @ c_stats[0][rows].T >= bar
-        for ours, theirs in zip(q_stats[1:], c_stats[1:], strict=True):
-            if not alive.any():
-                break
-            x, y = np.flatnonzero(alive.any(axis=1)), np.flatnonzero(alive.any(axis=0))
-            alive[np.ix_(x, y)] &= ours[x] @ theirs[rows[y]].T >= bar[x]
-        x, y = np.flatnonzero(alive.any(axis=1)), np.flatnonzero(alive.any(axis=0))
-        if not len(x):
-            continue
-        scores = (q_exact[x] @ c_exact[rows[y]].T).astype("int64")
-        keep = alive[np.ix_(x, y)] & (qid[x][:, None] != cid[rows[y]][None, :])
-        i, j = np.nonzero(keep & (scores >= top[x, -1][:, None]))
-        if not len(i):
-            continue
-        # Merge the survivors with the standing top-k of their queries.
-        who = np.concatenate([x[i], np.repeat(x, k)])
-        score = np.concatenate([scores[i, j], top[x].ravel()])
-        name = np.concatenate([cid[rows[y]][j], ids[x].ravel()])
-        rank = np.lexsort((name, -score.astype("float64") if kind == "float64" else ~score, who))
-        who, score, name = who[rank], score[rank], name[rank]
-        first = np.concatenate(([0], np.flatnonzero(who[1:] != who[:-1]) + 1))
-        place = np.arange(len(who)) - np.repeat(first, np.diff(np.append(first, len(who))))
-        best = place < k
-        top[who[best], place[best]], ids[who[best], place[best]] = score[best], name[best]
-    real = top != np.iinfo("int64").min
-    return np.repeat(qid, k)[real.ravel()], ids[real], top[real]
+    counts = levels(dims)
+    ends = np.cumsum([0, *(2 * n for n in counts)])
+    slack = 2e-6 * (1.0 + float(np.sqrt((q * q).sum(axis=1).max(initial=0)) * np.sqrt((c * c).sum(axis=1).max(initial=0))))
+    some, scored = min(len(c), 4 * k), 0
+    whos, names, values = [], [], []
+    for at in range(0, len(q), _ROWS):
+        mine, ids = q[at : at + _ROWS], qid[at : at + _ROWS]
+        other = ids[:, None] != cid[None, :]
+        alive, columns = other.copy(), np.arange(len(c))
+        bar = np.full(len(mine), -np.inf)
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            columns = columns[alive[:, columns].any(axis=0)]
+            bound = np.where(alive[:, columns], qs[at : at + _ROWS, a:b] @ cs[columns, a:b].T, -np.inf)
+            if some < len(columns):
+                best = np.argpartition(-bound, some - 1, axis=1)[:, :some]
+                i = np.repeat(np.arange(len(mine)), some)
+                j = columns[best.ravel()]
+                exact = np.where(other[i, j], _products(mine, c, i, j), -np.inf).reshape(len(mine), some)
+                scored += len(i)
+                bar = np.maximum(bar, -np.partition(-exact, k - 1, axis=1)[:, k - 1])
+            alive[:, columns] &= bound >= (bar - slack)[:, None]
+        i, j = np.nonzero(alive)
+        exact = _products(mine, c, i, j)
+        scored += len(i)
+        rank = np.lexsort((cid[j], -exact, i))
+        i, j, exact = i[rank], j[rank], exact[rank]
+        first = np.searchsorted(i, np.arange(len(mine)))
+        best = np.arange(len(i)) - first[i] < k
+        whos.append(ids[i[best]])
+        names.append(cid[j[best]])
+        values.append(exact[best])
+    return np.concatenate(whos), np.concatenate(names), np.concatenate(values), scored
+
+
+def _wide_top(q: np.ndarray, qid: np.ndarray, c: np.ndarray, cid: np.ndarray, k: int) -> tuple[list, list, list]:
+    """As ``block_top`` for whole numbers whose products pass the exact range of doubles: in integers of any size."""
+    rows = [[int(x) for x in r] for r in c]
+    out: tuple[list, list, list] = ([], [], [])
+    for who, vector in zip(qid.tolist(), q, strict=True):
+        mine = [int(x) for x in vector]
+        scores = (max(-_MOST, min(_MOST, sum(map(int.__mul__, mine, r)))) for r in rows)
+        for score, name in sorted((-s, n) for s, n in zip(scores, cid.tolist(), strict=True) if n != who)[:k]:
+            out[0].append(who)
+            out[1].append(name)
+            out[2].append(-score)
+    return out
 
 
 def exact_top_k(vectors: DataFrame, *, queries: Column, k: int = 5, query_block: int = 2048, candidate_block: int = 16_384) -> DataFrame:
-    """``query_id, rank int, vec_id, score long`` from ``vectors(vec_id long, v array<long>)``.
+    """``query_id, rank int, vec_id, score long`` from ``vectors(vec_id long, v array<double>)``, whole numbers.
 
     Queries are the rows that the condition ``queries`` holds for; candidates are all rows with another id.
-    Ties go to the smaller id; a query with fewer than ``k`` candidates returns all. Queries and
-    candidates are dealt into blocks of about the stated sizes, round robin, so repeated ids or
+    Ties go to the smaller id; a query with fewer than ``k`` candidates returns all. Statistics of each vector are
+    computed once. Queries and candidates are dealt into blocks of about the stated sizes, round robin, so repeated ids or
     vectors weigh on no block; each pair of blocks is one task's work. In it, bounds from the means and
-    deviations of 1, 4, 16, ... segments discard candidates below a query's standing k-th score, and
-    the survivors' scores are computed exactly. Only each block's best ``k`` rows for a query go on to the
-    final ranking. Vectors of different lengths are not compared; rows that repeat an id are candidates
-    each by itself, and repeated queries give the rows of one. An empty table gives no rows.
+    deviations of 1, 4, 16, ... segments and of pairs of components discard candidates below a query's standing k-th score, and
+    only the survivors' scores are computed. Only each block's best ``k`` rows for a query go on to the
+    final ranking. Scores are exact: blocks whose products may pass 2^52 are compared in integers of any size, without bounds;
+    a score beyond 64 bits counts as the nearest long. Vectors of different lengths are not compared; rows that repeat an id
+    are candidates each by itself, and repeated queries give the rows of one. An empty table gives no rows.
     """
-    vectors = materialise(vectors.withColumn("d", F.size("v")))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1).to_pylist()
+            rows: list = [None] * len(lists)
+            for d in set(map(len, lists)):
+                at = [i for i, x in enumerate(lists) if len(x) == d]
+                with np.errstate(all="ignore"):  # what overflows here is compared without bounds
+                    found = statistics(np.array([lists[i] for i in at])).astype("float32")
+                for i, row in zip(at, found, strict=True):
+                    rows[i] = row
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(pa.float32()))], names=["vec_id", "v", "s"])
+
+    measured = vectors.select("vec_id", F.col("v").cast("array<double>").alias("v")).mapInArrow(measure, "vec_id long, v array<double>, s array<float>")
+    vectors = materialise(measured.withColumn("d", F.size("v")))
     asked = materialise(vectors.where(queries).dropDuplicates(["vec_id", "v"]))
     n_c, n_q = max(1, -(-vectors.count() // candidate_block)), max(1, -(-asked.count() // query_block))
 
@@ -126,8 +161,13 @@ def exact_top_k(vectors: DataFrame, *, queries: Column, k: int = 5, query_block:
         if left.empty or right.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
         q, c = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
-        found = _block_top(q, left["vec_id"].to_numpy(), c, right["vec_id"].to_numpy(), k)
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found, strict=True)))
+        qid, cid = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
+        if float(np.abs(q).max()) * float(np.abs(c).max()) * q.shape[1] >= 2.0**52:
+            who, name, score = _wide_top(q, qid, c, cid, k)
+        else:
+            qs, cs = (np.stack(x["s"].to_numpy()).astype("float64") for x in (left, right))
+            who, name, score, _ = block_top(q, qid, qs, c, cid, cs, k)
+        return pd.DataFrame({"query_id": who, "vec_id": name, "score": np.array(score, "int64")})
 
     keys = ["d", "qb", "cb"]
     best = ours.groupBy(*keys).cogroup(theirs.groupBy(*keys)).applyInPandas(pair, "query_id long, vec_id long, score long")

@@ -23,7 +23,7 @@ from tessera.llm.sharding import histogram_sort_shards
 from tessera.llm.simhash import BKTree, near_links, simhash, simhash_groups
 from tessera.llm.tokens import Counter as TokenCounter
 from tessera.llm.tokens import token_counts
-from tessera.llm.topk import exact_top_k, quantised
+from tessera.llm.topk import block_top, exact_top_k, quantised, statistics
 from tessera.llm.wordbpe import WordBpe
 from tessera.llm.wrappers import Wrapper, _slots, extract_main_text, main_text
 
@@ -469,6 +469,25 @@ def test_top_k_in_small_blocks_with_ties_and_odd_rows(spark):
     assert exact_top_k(quantised(empty(df)), queries=F.lit(True)).count() == 0
 
 
+def test_bounds_discard_most_pairs_of_clustered_vectors(spark):
+    rng = np.random.default_rng(15)
+    centres = rng.normal(0, 100, (40, 64))
+    v = np.floor(np.repeat(centres, 50, axis=0) + rng.normal(0, 10, (2000, 64)))
+    ids, asked = np.arange(2000), np.arange(0, 2000, 50)
+    who, name, score, scored = block_top(v[asked], asked, statistics(v[asked]), v, ids, statistics(v), 5)
+    assert scored < 0.5 * len(asked) * 1999
+    expected = brute_top({i: x / 256 for i, x in zip(ids.tolist(), v, strict=True)})
+    assert sorted(zip(who.tolist(), name.tolist(), score.tolist(), strict=True)) == sorted((q, c, s) for q, _, c, s in expected)
+
+
+def test_top_k_of_huge_components(spark):
+    rows = [(0, [1e300, 1.0]), (1, [1e300, 0.0]), (2, [-1e300, 0.0]), (3, [2.0**45 + 1, 3.0]), (4, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    most = (1 << 63) - 1
+    found = {(r.query_id, r.vec_id): r.score for r in exact_top_k(quantised(df), queries=F.lit(True)).collect()}
+    assert found[0, 1] == most and found[0, 2] == -most and found[3, 4] == 3 * 256 * 256 and found[4, 0] == 65536
+
+
 # --- packing
 
 
