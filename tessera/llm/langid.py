@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import free_name, hash_sample
+from tessera.llm.common import col, free_name, hash_sample, map_arrow
 
 _PIECE = 1 << 21  #: letters of the texts whose n-grams a task holds at a time
 _BITS = 21  #: of a code point; three letters fit a 64-bit code
@@ -59,8 +59,8 @@ def _grams(ids: np.ndarray) -> np.ndarray:
     return np.concatenate([one, two, three])
 
 
-def _top(ids: np.ndarray, size: int) -> np.ndarray:
-    """The most frequent n-grams, ties to the smaller code; a long text is counted in pieces."""
+def counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the n-grams, sorted, and how often each occurs; a long text is counted in pieces."""
     codes, counts = np.zeros(0, "int64"), np.zeros(0, "int64")
     for at in range(0, max(1, len(ids) - 2), _PIECE):
         piece = ids[at : at + _PIECE + 2]
@@ -73,17 +73,35 @@ def _top(ids: np.ndarray, size: int) -> np.ndarray:
             times = np.bincount(back, np.concatenate((counts, times))).astype("int64")
         codes, counts = found, times
     some = counts > 0
-    codes, counts = codes[some], counts[some]
+    return codes[some], counts[some]
+
+
+def _top(ids: np.ndarray, size: int) -> np.ndarray:
+    """The most frequent n-grams, ties to the smaller code."""
+    codes, counts = counted(ids)
     return codes[np.lexsort((codes, -counts))[:size]]
 
 
-def learn(rows: list[tuple[str, str]], size: int) -> Profiles:
-    """Profiles from (language, text) pairs: each language's ``size`` most frequent n-grams."""
-    by_language: dict[str, list[str]] = {}
-    for language, text in rows:
-        by_language.setdefault(language, []).append(text)
-    languages = tuple(sorted(by_language))
-    return Profiles(languages, tuple(_top(_codes("\n".join(by_language[x])), size) for x in languages))
+def learn(labelled: DataFrame, size: int) -> Profiles:
+    """Profiles from ``labelled(lang, text)``: each language's ``size`` most frequent n-grams, ties to the smaller code.
+
+    N-grams are counted in tasks and added up by language; only the ranked ones reach the driver.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, text in zip(batch.column(0), batch.column(1), strict=True):
+                codes, times = counted(_codes(text.as_py()))
+                yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()] * len(codes), pa.string()), pa.array(codes), pa.array(times)], names=["lang", "code", "n"])
+
+    sums = labelled.select("lang", "text").mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    best = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
+    ranked = sums.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= size)
+    found: dict[str, list[tuple[int, int]]] = {}
+    for row in ranked.select("lang", "rank", "code").collect():
+        found.setdefault(row["lang"], []).append((row["rank"], row["code"]))
+    languages = tuple(sorted(found))
+    return Profiles(languages, tuple(np.array([code for _, code in sorted(found[x])], "int64") for x in languages))
 
 
 class Identifier:
@@ -130,13 +148,14 @@ def identify_languages(
     none of the n-grams is known. The label is no input of the prediction.
 
     The classifier is fitted on a bounded sample: about ``sample_per_language`` labelled documents of each
-    language, by a hash of their id (never more than twice as many); more than ``max_languages`` are an error. Letters are code points, so
-    every script has its own n-grams. Every text is read whole. A null text, or one without a letter, is ``und`` with score
+    language, by a hash of their id (never more than twice as many); their n-grams are counted in tasks, and the ``size`` best of a language
+    reach the driver. More than ``max_languages`` are an error. Letters are code points, so every script has its own n-grams. A language
+    none of whose sampled documents has a letter is not learned. Every text is read whole. A null text, or one without a letter, is ``und`` with score
     0; without any labelled document all are. A narrow pass with no shuffle of texts; repeated rows and
     skew do not matter, and columns named like the new ones are replaced.
     """
-    usable = F.col(lang).isNotNull() & F.col(text).isNotNull() & F.coalesce(learn_from, F.lit(False))
-    labelled = df.where(usable).select(F.col(lang).alias("lang"), F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    usable = col(lang).isNotNull() & col(text).isNotNull() & F.coalesce(learn_from, F.lit(False))
+    labelled = df.where(usable).select(col(lang).alias("lang"), col(doc_id).alias("id"), col(text).alias("text"))
     best = Window.partitionBy("lang").orderBy(F.xxhash64("id"), F.xxhash64("text"))
     drawn = (
         hash_sample(labelled, F.col("lang"), F.col("id"), sample_per_language)
@@ -146,10 +165,10 @@ def identify_languages(
     found = labelled.select("lang").distinct().limit(max_languages + 1).count()
     if found > max_languages:
         raise ValueError(f"more than {max_languages} languages; profiles are held by one process")
-    profiles = learn(sorted(map(tuple, drawn.collect())), size)
+    profiles = learn(drawn, size)
     raw = free_name(df, "raw")
     rest = [c for c in df.columns if c not in (text, lang, "lang_pred", "score")]
-    lean = df.select(*(F.col(f"`{c}`") for c in rest), F.col(text).alias(raw))
+    lean = df.select(*map(col, rest), col(text).alias(raw))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Identifier(profiles, size)
@@ -158,4 +177,4 @@ def identify_languages(
             columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*rest, "lang_pred", "score"])
 
-    return lean.mapInArrow(add, lean.drop(raw).schema.add("lang_pred", "string").add("score", "double"))
+    return map_arrow(lean, add, lean.drop(raw).schema.add("lang_pred", "string").add("score", "double"))
