@@ -103,33 +103,44 @@ class BKTree:
         return found
 
 
-def _band_masks(radius: int, blocks: int) -> list[int]:
-    """Masks of which at least one covers equal bits in any two values within ``radius`` bits."""
-    edges = [round(64 * i / blocks) for i in range(blocks + 1)]
-    block = [((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in range(blocks)]
+def _band_masks(bits: list[int], radius: int, blocks: int) -> list[int]:
+    """Masks within the places ``bits``, of which at least one covers equal bits in any two values within ``radius`` bits."""
+    edges = [round(len(bits) * i / blocks) for i in range(blocks + 1)]
+    block = [sum(1 << x for x in bits[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
     return [sum(block[i] for i in kept) for kept in combinations(range(blocks), blocks - radius)]
 
 
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
 def near_links(fps: DataFrame, radius: int = 3, blocks: int = 5, tree_size: int = 2048) -> DataFrame:
     """Links ``a, b`` that connect all distinct fingerprints ``fp`` at most ``radius`` bits apart.
 
     Shards are band keys: of ``blocks`` blocks of bits, two fingerprints within ``radius`` agree on at
     least ``blocks - radius``, so every near pair meets in the shard of one such choice of blocks.
-    Shards of one fingerprint go. A shard of more than ``tree_size`` is cut into chunks by hash; each
-    chunk has one BK-tree, which is sent to every chunk of the same shard (so a tree of bounded size is
+    Shards of one fingerprint go. A shard of more than ``tree_size`` is split by further blocks of the bits that its
+    band leaves free, in the same way. What is still larger is cut into chunks by hash; each
+    chunk has one BK-tree, which every chunk of the same shard meets (so a tree of bounded size is
     all that a task holds beside the chunk it compares). Trees are searched along the edges within
     the radius; of the links found a task keeps those that join two groups it has not yet joined,
     which loses no connection and never writes out all pairs.
     """
     if not 0 <= radius < blocks <= 64:
         raise ValueError("blocks must exceed the radius")
-    masks = _band_masks(radius, blocks)
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    banded = fps.select(
-        "fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in signed))).alias("band", "key")
-    )
-    sizes = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    held = banded.join(sizes, ["band", "key"]).withColumn("chunks", F.ceil(F.col("n") / tree_size).cast("int"))
+    masks = _band_masks(list(range(64)), radius, blocks)
+    keys = F.array(*(F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks))
+    held = _shards(fps.select("fp", F.posexplode(keys).alias("band", "key")))
+    hot = held.where(F.col("n") > tree_size)
+    if not hot.isEmpty():
+        free = [[i for i in range(64) if not m >> i & 1] for m in masks]
+        finer = [[_signed(m | x) for x in _band_masks(places, radius, min(blocks, len(places)))] if len(places) > radius else [-1] for m, places in zip(masks, free, strict=True)]
+        width = max(map(len, finer))
+        of_band = F.element_at(F.lit(finer), F.col("band") + 1)
+        split = hot.select("fp", "band", F.posexplode(F.transform(of_band, lambda m: F.col("fp").bitwiseAND(m))).alias("place", "key"))
+        split = _shards(split.select("fp", (len(masks) + F.col("band") * width + F.col("place")).alias("band"), "key"))
+        held = held.where(F.col("n") <= tree_size).unionByName(split)
+    held = held.withColumn("chunks", F.ceil(F.col("n") / tree_size).cast("int"))
     own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     units = (
         held.withColumn("own", own)
@@ -155,6 +166,12 @@ def near_links(fps: DataFrame, radius: int = 3, blocks: int = 5, tree_size: int
     return dealt.mapInArrow(search, "a long, b long").distinct()
 
 
+def _shards(banded: DataFrame) -> DataFrame:
+    """``banded(fp, band, key)`` with ``n``, the size of a row's shard, where that is over 1."""
+    sizes = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return banded.join(sizes, ["band", "key"]).select("fp", "band", "key", "n")
+
+
 def _linked(pdf: pd.DataFrame, cuts: np.ndarray, radius: int) -> pa.RecordBatch:
     fp, own, second = pdf["fp"].to_numpy(), pdf["own"].to_numpy(), pdf["j"].to_numpy()
     a: list[int] = []
