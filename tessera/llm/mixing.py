@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import free_name, materialise
+from tessera.llm.common import broadcast_if_small, col, materialise
 
 _BUCKETS = 4096
 
@@ -52,18 +52,19 @@ def mix_sources(
     The driver sees one row for each source (an error beyond ``max_sources``). The sample's threshold is
     found from sizes added up over hash ranges of each source, so only the documents of one such range, a
     4096th of the source, are ever ordered. Null or negative sizes count as 0. Equal hashes (repeated
-    rows) are ordered by their size. ``df`` is read again, so it should be a stored table; columns of the
+    keys) are ordered by their size; rows without a key are hashed by their values and place, so that they spread too. Tables of
+    sources are broadcast while they measure small. ``df`` is read again, so it should be a stored table; columns of the
     names above are replaced; an empty table gives no rows.
     """
-    df = df.drop("source_size", "target", "repeats", "taken")
+    made = ("source_size", "target", "repeats", "taken")
+    given = [c for c in df.columns if c.lower() not in made]
     spark: SparkSession = df.sparkSession
-    hashed, weigh, bucket, label = (free_name(df, x) for x in ("h", "n", "bucket", "label"))
-    rows = (
-        df.withColumn(hashed, F.xxhash64(F.lit(seed), F.col(key)))
-        .withColumn(weigh, F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0)))
-        .withColumn(bucket, F.shiftrightunsigned(F.col(hashed), 52).cast("int"))
-    )
-    ranges = materialise(rows.groupBy(F.col(source).alias("source"), F.col(bucket).alias("bucket")).agg(F.sum(weigh).alias("n")))
+    # Callers' columns travel in one struct, so that none clashes with a working column.
+    point = F.when(col(key).isNotNull(), F.xxhash64(F.lit(seed), col(key))).otherwise(F.xxhash64(F.lit(seed), *map(col, df.columns), F.monotonically_increasing_id()))
+    rows = df.select(
+        F.struct(*map(col, given)).alias("row"), col(source).alias("of"), point.alias("h"), F.greatest(F.coalesce(col(size).cast("long"), F.lit(0)), F.lit(0)).alias("n")
+    ).withColumn("bucket", F.shiftrightunsigned("h", 52).cast("int"))
+    ranges = materialise(rows.groupBy(F.col("of").alias("source"), "bucket").agg(F.sum("n").alias("n")))
     sums = ranges.groupBy("source").agg(F.sum("n").alias("n")).limit(max_sources + 1).collect()
     if len(sums) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
@@ -76,26 +77,27 @@ def mix_sources(
         plan.append((row["source"], row["n"], target, int(whole), int(words)))
     schema = "source string, source_size long, target double, whole int, words long"
     goals = spark.createDataFrame(plan, schema)
+    width = F.octet_length(F.coalesce("source", F.lit(""))) + 32
     before = Window.partitionBy("source").orderBy("bucket")
     edges = (
         ranges.withColumn("below", F.sum("n").over(before) - F.col("n"))
-        .join(F.broadcast(goals), ranges["source"].eqNullSafe(goals["source"]))
+        .join(broadcast_if_small(goals, width), ranges["source"].eqNullSafe(goals["source"]))
         .where((F.col("below") <= F.col("words")) & (F.col("words") < F.col("below") + F.col("n")))
-        .select(ranges["source"].alias("source"), "bucket", (F.col("words") - F.col("below")).alias("room"))
+        .select(ranges["source"].alias("source"), F.col("bucket").alias("edge"), (F.col("words") - F.col("below")).alias("room"))
     )
     limits = materialise(goals.join(edges, goals["source"].eqNullSafe(edges["source"]), "left").select(
-        goals["source"].alias(label), "source_size", "target", "whole", F.col("bucket").alias("_edge"), F.col("room").alias("_room")
+        goals["source"].alias("label"), "source_size", "target", "whole", "edge", "room"
     ))
-    joined = rows.join(F.broadcast(limits), rows[source].eqNullSafe(limits[label]))
-    at_edge = F.coalesce(F.col(bucket) == F.col("_edge"), F.lit(False))
-    below = F.coalesce(F.col(bucket) < F.col("_edge"), F.lit(False))
-    plain = joined.where(~at_edge).withColumn("_more", F.when(below, F.col(weigh)).otherwise(F.lit(0)))
-    so_far = F.sum(weigh).over(Window.partitionBy(label).orderBy(hashed, weigh).rowsBetween(Window.unboundedPreceding, -1))
-    edge = joined.where(at_edge).withColumn("_more", F.greatest(F.lit(0), F.least(F.col(weigh), F.col("_room") - F.coalesce(so_far, F.lit(0)))))
+    joined = rows.join(broadcast_if_small(limits, F.octet_length(F.coalesce("label", F.lit(""))) + 48), rows["of"].eqNullSafe(limits["label"]))
+    at_edge = F.coalesce(F.col("bucket") == F.col("edge"), F.lit(False))
+    below = F.coalesce(F.col("bucket") < F.col("edge"), F.lit(False))
+    plain = joined.where(~at_edge).withColumn("more", F.when(below, F.col("n")).otherwise(F.lit(0)))
+    so_far = F.sum("n").over(Window.partitionBy("label").orderBy("h", "n").rowsBetween(Window.unboundedPreceding, -1))
+    edge = joined.where(at_edge).withColumn("more", F.greatest(F.lit(0), F.least(F.col("n"), F.col("room") - F.coalesce(so_far, F.lit(0)))))
     return plain.unionByName(edge).select(
-        *df.columns,
+        *(F.col("row").getField(c).alias(c) for c in given),
         "source_size",
         "target",
-        (F.col("whole") + F.when((F.col("_more") == F.col(weigh)) & (F.col(weigh) > 0), 1).otherwise(0)).cast("int").alias("repeats"),
-        (F.col("whole") * F.col(weigh) + F.col("_more")).cast("long").alias("taken"),
+        (F.col("whole") + F.when((F.col("more") == F.col("n")) & (F.col("n") > 0), 1).otherwise(0)).cast("int").alias("repeats"),
+        (F.col("whole") * F.col("n") + F.col("more")).cast("long").alias("taken"),
     )
