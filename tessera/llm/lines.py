@@ -197,7 +197,7 @@ def dedup_lines(
     stay = kept_lines(df, doc_id=doc_id, text=text, min_words=min_words)
     lists = stay.groupBy(F.col("uid").alias(mine)).agg(F.collect_set("line_no").alias(keep))
     keyed = df.withColumn(uid, F.xxhash64(col(doc_id), col(text)))
-    joined = keyed.join(lists, keyed[uid] == lists[mine], "left").select(*(keyed[f"`{c}`"] for c in df.columns), keep)
+    joined = keyed.join(lists, keyed[uid] == lists[mine], "left").select(*map(col, df.columns), keep)
     place = df.columns.index(text)
     names = [c for c in df.columns if not counts or c not in counts] + list(counts or ())
 

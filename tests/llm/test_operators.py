@@ -25,7 +25,7 @@ from tessera.llm.tokens import Counter as TokenCounter
 from tessera.llm.tokens import token_counts
 from tessera.llm.topk import block_top, exact_top_k, quantised, statistics
 from tessera.llm.wordbpe import WordBpe
-from tessera.llm.wrappers import Wrapper, _slots, extract_main_text, main_text
+from tessera.llm.wrappers import Wrapper, _slots, blocks, extract_main_text, infer, main_text
 
 SF = "/root/testdata/sf0.001"
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -330,11 +330,11 @@ def test_wrapper_infers_groups_and_optional_parts():
     page = lambda cards, note: "<body><div class=top>Same</div>" + "".join(card.format(i) for i in cards) + note + "<div class=end>End</div></body>"
     wrapper = Wrapper()
     for cards, note in (((1,), ""), ((2, 3, 4), "<div class=x><h4>n</h4><p>m</p></div>"), ((5, 6), "")):
-        wrapper.align(_slots(page(cards, note)))
+        wrapper.align(_slots(list(blocks(page(cards, note)))))
     top, group, extra, end = wrapper.nodes
     assert [len(group.parts), group.plus, group.optional, group.n] == [2, True, False, 3]
     assert [len(extra.parts), extra.plus, extra.optional, extra.n] == [2, False, True, 1]
-    assert top.const and end.const and top.n == end.n == 3 and not any(x.const for x in group.parts)
+    assert top.fixed and end.fixed and top.n == end.n == 3 and not any(x.fixed for x in group.parts)
 
 
 def test_copies_of_a_page_are_no_template(spark):
@@ -356,9 +356,31 @@ def test_wrapper_labels_slots_of_articles(spark):
     assert out[3] == "Title 3\n\nText 3 that is long enough, by some words, to fill four fifths of the region and more."
 
 
+def test_slots_decide_where_names_of_containers_mislead(spark):
+    """No article, no telling names; or names that mislead: the texts that change from page to page are the main text."""
+    plain = "<div class=a1><a href=x>Home</a> <a href=y>About</a></div><div class=a2><h2>Title {0}</h2><p>Body {0} of some length</p><p>Share this with friends</p></div><p>Copyright by us</p>"
+    wide = "<body class='has-sidebar'><form><div class=c><p>Alpha {0} beta gamma</p><p>delta {0}</p></div><div class=sidebar><p>Tip {0}</p></div></form><p>Bye now</p></body>"
+    twice = "<div><p>Welcome to the site</p></div><div><p>News {0} of today</p></div>"
+    rows = [(100 * k + i, f"http://h{k}.example/{i}", "x" * 0 + page.format(i)) for k, page in enumerate((plain, wide, twice)) for i in range(8)]
+    out = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out[3] == "Title 3\n\nBody 3 of some length"
+    assert out[203] == "News 3 of today"
+    # A sidebar of a few characters a page does not keep the outer containers from holding nearly all varying text.
+    assert out[103] == "Alpha 3 beta gamma\n\ndelta 3"
+    alone = [main_text(page, Wrapper()) for page in (plain.format(3), wide.format(3), twice.format(3))]
+    assert alone[0] != out[3] and alone[1] != out[103] and alone[2] != out[203]
+
+
+def test_long_pages_are_aligned_whole():
+    items = lambda i: "".join(f"<div class=k{n}><p>{i} {n} text</p></div>" for n in range(700))
+    wrapper = infer([f"<p>Same</p>{items(i)}<p>End</p>" for i in range(5)])
+    text = main_text(f"<p>Same</p>{items(9)}<p>End</p>", wrapper)
+    assert text.startswith("9 0 text") and text.endswith("9 699 text")
+
+
 def test_broken_markup_is_read():
-    assert main_text("<article><p>a &lt; b<p>c<nav>x</nav><!-- y <p>z", {}) == "a < b\n\nc"
-    assert main_text("<article><p title='a>b'>x</p><p class=\"ad\n\">y</p", {}) == "x\n\ny"
+    assert main_text("<article><p>a &lt; b<p>c<nav>x</nav><!-- y <p>z", Wrapper()) == "a < b\n\nc"
+    assert main_text("<article><p title='a>b'>x</p><p class=\"ad\n\">y</p", Wrapper()) == "x\n\ny"
 
 
 # --- mixing
