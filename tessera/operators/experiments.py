@@ -133,3 +133,63 @@ def decision(compared_rows: DataFrame, arms: DataFrame, *, planned: int, primary
         .when(F.col("high") < 0, "keep_control").otherwise("inconclusive")
     )
     return row.crossJoin(F.broadcast(ready)).select(choice.alias("decision"), F.when(told, F.col("d")).alias("delta"))
+
+
+def assignment_requests(requests: DataFrame, *, unit: str, at: str, order: list[str], starts, ends, status: Column) -> DataFrame:
+    """``requests`` with a ``verdict``: ``assigned`` (a unit's first one that is accepted), ``existing``, or why it is not accepted.
+
+    Requests count only while the experiment is running and in ``[starts, ends)``, also those of units that are assigned already.
+    """
+    verdict = F.when(status != "running", "not_running").when(F.col(at) < starts, "before_start").when(F.col(at) >= ends, "after_end")
+    rows = requests.withColumn("_why", verdict).withColumn("_at", F.struct(*order))
+    first = rows.where("_why is null").groupBy(unit).agg(F.min("_at").alias("_first"))
+    named = F.coalesce("_why", F.when(F.col("_at") == F.col("_first"), "assigned").otherwise("existing"))
+    return rows.join(first, unit, "left").select(*requests.columns, named.alias("verdict"))
+
+
+def accepted_events(events: DataFrame, kinds: dict[str, str], *, order: list[str]) -> DataFrame:
+    """``events`` with a ``verdict`` on each, in the order of their arrival within an assignment.
+
+    ``events`` has ``assignment_id, assigned_at, event_key, event_type`` (exposure or outcome), ``metric_name, metric_value, occurred_at``.
+    An event key that was accepted before is a ``duplicate`` if all of its event is the same, else a ``conflict``; an event that was refused
+    leaves its key free. Then an event must not precede its assignment, an outcome needs a registered metric
+    (``kinds`` by name), 0 or 1 if that is binary, an accepted exposure before it and none of its metric before; one exposure counts.
+    """
+    exposure = F.col("event_type") == "exposure"
+    kind = F.create_map(*(F.lit(x) for pair in kinds.items() for x in pair))[F.col("metric_name")]
+    wrong = (
+        F.when(F.col("occurred_at") < F.col("assigned_at"), "before_assignment")
+        .when(~exposure & kind.isNull(), "unknown_metric").when(~exposure & (kind == "binary") & ~F.col("metric_value").isin(0.0, 1.0), "not_binary")
+    )
+    body = F.xxhash64("event_type", "metric_name", "metric_value", "occurred_at")
+    rows = events.withColumn("_at", F.struct(*order)).withColumn("_wrong", wrong).withColumn("_body", body)
+    # What is accepted: of an assignment, its first sound exposure, and each metric's first sound outcome after that one whose key is not taken.
+    first = rows.where(exposure & F.col("_wrong").isNull()).groupBy("assignment_id").agg(F.min("_at").alias("_seen"), F.min_by("event_key", "_at").alias("_seen_key"))
+    rows = rows.join(first, "assignment_id", "left")
+    after = F.coalesce(F.col("_at") > F.col("_seen"), F.lit(False))
+    able = ~exposure & F.col("_wrong").isNull() & after & (F.col("event_key") != F.col("_seen_key"))
+    # A key that several metrics bring first belongs to the earliest of them; keys are unique to a metric unless senders break the rule.
+    best = rows.where(able).groupBy("assignment_id", "metric_name").agg(F.min("_at").alias("_best"))
+    rows = rows.join(best, ["assignment_id", "metric_name"], "left")
+    taken = F.coalesce((F.col("_at") == F.col("_seen")) | (able & (F.col("_at") == F.col("_best"))), F.lit(False))
+    rows = rows.withColumn("_taken", taken)
+    keys = rows.where("_taken").groupBy("assignment_id", "event_key").agg(F.min("_at").alias("_key_at"), F.min_by("_body", "_at").alias("_key_body"))
+    late = F.coalesce(F.col("_at") > F.col("_key_at"), F.lit(False))
+    verdict = (
+        F.when(late, F.when(F.col("_body") == F.col("_key_body"), "duplicate").otherwise("conflict"))
+        .when(F.col("_wrong").isNotNull(), F.col("_wrong")).when(F.col("_taken"), "accepted")
+        .when(exposure, "repeated_exposure").when(~after, "before_exposure").otherwise("repeated_outcome")
+    )
+    return rows.join(keys, ["assignment_id", "event_key"], "left").select(*events.columns, verdict.alias("verdict"))
+
+
+def effects(rows: DataFrame, directions: dict[str, str], least: dict[str, float], most: dict[str, float]) -> DataFrame:
+    """``metric, direction, gain, practical, breached``: differences in the direction that is better, against the plan.
+
+    ``gain`` is the difference, turned round where lower is better; a practical effect is at least ``least``, and a guardrail
+    is breached by a loss of more than ``most``. Metrics without such a bound have null there.
+    """
+    literal = lambda values: F.create_map(*(F.lit(x) for pair in values.items() for x in pair))[F.col("metric")]
+    lower = literal(directions) == "lower_is_better"
+    gain = F.when(lower, -F.col("delta")).otherwise(F.col("delta"))
+    return rows.select("metric", literal(directions).alias("direction"), gain.alias("gain"), (gain >= literal(least)).alias("practical"), (-gain > literal(most)).alias("breached"))

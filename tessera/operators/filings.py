@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -10,18 +9,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.documents import HEADING
+from tessera.operators.documents import is_heading
 
 # Roles of elements, and limits of one filing.
-REMOVED = frozenset("script style noscript svg".split())
-HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
-BLOCKS = HEADS | frozenset("p li tr div".split())
-INNER = HEADS | frozenset("div p table ul ol".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+REMOVED = frozenset({"script", "style", "noscript", "svg"})
+HEADS = frozenset({"h1", "h2", "h3", "h4", "h5", "h6"})
+BLOCKS = HEADS | {"p", "li", "tr", "div"}
+INNER = HEADS | {"div", "p", "table", "ul", "ol"}
+VOID = frozenset({"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"})
 MAX_BYTES, MAX_SECTIONS, MAX_HEADING = 25 * 1024 * 1024, 250, 200
 
-_HEADING = re.compile(HEADING.replace("^", "").replace("$", ""))
-
 
 class _Element:
     __slots__ = ("name", "parent", "first", "last", "in_table", "removed", "holds_block")
@@ -78,54 +75,64 @@ class _Reader(HTMLParser):
         return " ".join(" ".join(self.pieces[element.first : last]).split())
 
 
-def sections_of(html: str) -> list[tuple[str, str]]:
-    """Names and contents of a filing's sections; a page without blocks is one section of all its text."""
+def blocks_of(html: str) -> tuple[list[dict], str]:
+    """Typed text blocks of a page in document order (a table's rows with their cells apart), and all of its text."""
     reader = _Reader()
     reader.feed(html)
     reader.close()
-    cells: dict[int, list[str]] = {}
-    for x in reader.elements:
-        if x.name in ("td", "th") and x.parent is not None and x.parent.name == "tr" and not x.removed:
-            cells.setdefault(id(x.parent), []).append(reader.text(x))
-    blocks: list[tuple[str, str]] = []
+    rows: dict[_Element | None, list[str]] = {}
     for x in reader.elements:
-        if x.removed or x.name not in BLOCKS or (x.in_table and x.name in ("p", "li", "div")) or (x.name == "div" and x.holds_block):
-            continue
-        text = " | ".join(c for c in cells.get(id(x), []) if c) if x.name == "tr" else reader.text(x)
-        if text and (not blocks or blocks[-1][1] != text):
-            blocks.append((x.name, text))
-    if not blocks:
-        whole = " ".join(" ".join(reader.pieces).split())
-        return [("Document", whole)] if whole else []
-    found: list[tuple[str, list[str]]] = [("Document", [])]
-    for name, text in blocks:
-        if len(text) <= MAX_HEADING and (name in HEADS or _HEADING.fullmatch(text)):
-            found.append((text, []))
-        else:
-            found[-1][1].append(text)
-    return [(name, "\n\n".join(lines)) for name, lines in found if lines]
+        if x.name in ("td", "th") and not x.removed and x.parent is not None and x.parent.name == "tr":
+            rows.setdefault(x.parent, []).append(reader.text(x))
+    kinds = (x for x in reader.elements if x.name in BLOCKS and not x.removed)
+    shown = (x for x in kinds if not (x.in_table and x.name in ("p", "li", "div")) and not (x.name == "div" and x.holds_block))
+    texts = ((x.name, " | ".join(filter(None, rows.get(x, []))) if x.name == "tr" else reader.text(x)) for x in shown)
+    return [{"name": name, "text": text} for name, text in texts if text], " ".join(" ".join(reader.pieces).split())
 
 
-def read_filings(df: DataFrame, *, key: str, html: str) -> DataFrame:
-    """``key, status, sections array<struct<section_name, content>>``: one row for each filing.
+def read_blocks(df: DataFrame, *, key: str, html: str) -> DataFrame:
+    """``key, size, blocks array<struct<name, text>>, whole``: one row for each page; a block equal to the one before it is left out.
 
-    ``status`` is ``ok``, ``empty`` (null or no bytes), ``oversized``, ``no_text`` or ``too_many_sections``;
-    all but ``ok`` have no sections. Each page is read by itself in a narrow pass; repeated rows stay.
+    Pages that are null, empty or over the limit of bytes have no blocks. A narrow pass; repeated rows stay.
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            states, found = [], []
-            for page, size in zip(pdf["html"], pdf["size"], strict=True):
-                rows = [] if not isinstance(page, str) or not 0 < size <= MAX_BYTES else sections_of(page)
-                state = "empty" if not isinstance(page, str) or not page else "oversized" if size > MAX_BYTES else "no_text" if not rows else "too_many_sections" if len(rows) > MAX_SECTIONS else "ok"
-                states.append(state)
-                found.append([{"section_name": n, "content": c} for n, c in rows] if state == "ok" else [])
-            yield pd.DataFrame({key: pdf[key], "status": states, "sections": found})
+            found = [blocks_of(page) if isinstance(page, str) and 0 < size <= MAX_BYTES else ([], "") for page, size in zip(pdf["html"], pdf["size"], strict=True)]
+            yield pd.DataFrame({key: pdf[key], "size": pdf["size"], "blocks": [x[0] for x in found], "whole": [x[1] for x in found]})
 
     lean = df.select(key, F.col(html).alias("html"), F.coalesce(F.octet_length(html), F.lit(0)).alias("size"))
     kind = df.schema[key].dataType.simpleString()
-    return lean.mapInPandas(read, f"`{key}` {kind}, status string, sections array<struct<section_name: string, content: string>>")
+    made = lean.mapInPandas(read, f"`{key}` {kind}, size int, blocks array<struct<name: string, text: string>>, whole string")
+    fresh = F.filter("blocks", lambda x, i: (i == 0) | (x["text"] != F.get("blocks", i - 1)["text"]))
+    return made.withColumn("blocks", fresh)
+
+
+def read_filings(df: DataFrame, *, key: str, html: str) -> DataFrame:
+    """``key, status, sections array<struct<section_name, content>>``: one row for each filing.
+
+    A heading is a heading element or a block of a heading's form; what stands under one, blank lines apart, is its section,
+    and a page without blocks is one section of all its text. ``status`` is ``ok``, ``empty`` (null or no bytes), ``oversized``,
+    ``no_text`` or ``too_many_sections``; all but ``ok`` have no sections. Each page is read by itself in a narrow pass.
+    """
+    pages = read_blocks(df, key=key, html=html)
+    heads = lambda x: (F.char_length(x["text"]) <= MAX_HEADING) & (x["name"].isin(*sorted(HEADS)) | is_heading(x["text"]))
+    places = F.filter(F.transform("blocks", lambda x, i: F.when(heads(x), i)), lambda i: i.isNotNull())
+    pages = pages.withColumn("cuts", F.concat(F.array(F.lit(-1)), places, F.array(F.size("blocks"))))
+
+    def section(at, k):
+        text = F.array_join(F.transform(F.slice("blocks", at + 2, F.get("cuts", k + 1) - at - 1), lambda x: x["text"]), "\n\n")
+        name = F.when(at < 0, F.lit("Document")).otherwise(F.get("blocks", at)["text"])
+        return F.struct(name.alias("section_name"), text.alias("content"))
+
+    made = F.filter(F.transform(F.slice("cuts", 1, F.size("cuts") - 1), section), lambda x: x["content"] != "")
+    alone = F.when(F.col("whole") != "", F.array(F.struct(F.lit("Document").alias("section_name"), F.col("whole").alias("content")))).otherwise(F.slice(made, 1, 0))
+    pages = pages.withColumn("found", F.when(F.size("blocks") == 0, alone).otherwise(made))
+    state = (
+        F.when(F.col("size") == 0, "empty").when(F.col("size") > MAX_BYTES, "oversized").when(F.size("found") == 0, "no_text")
+        .when(F.size("found") > MAX_SECTIONS, "too_many_sections").otherwise("ok")
+    )
+    return pages.select(key, state.alias("status"), F.when(state == "ok", F.col("found")).otherwise(F.slice("found", 1, 0)).alias("sections"))
 
 
 def filing_sections(df: DataFrame, *, key: str, html: str) -> DataFrame:

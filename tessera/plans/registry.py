@@ -52,10 +52,12 @@ def sql_fixed(value: str, digits: int = 6) -> str:
 
 
 @query(with_views("""select accession_number, 'https://filings.example/' || (cik::bigint)::varchar || '/' || replace(accession_number, '-', '') || '/' || primary_document as source_url
-    from filings where starts_with(accession_number, cik || '-')""", "filings"))
+    from filings where starts_with(accession_number, cik || '-') and not regexp_matches(primary_document, '[/\\\\]') and primary_document not in ('.', '..')""", "filings"))
 def filing_source_url(d: Domain) -> DataFrame:
-    """Addresses of primary documents, for accession numbers that start with the issuer's key."""
-    ours = d.filings().where(F.expr("startswith(accession_number, concat(cik, '-'))"))
+    """Addresses of primary documents, for accession numbers that start with the issuer's key and file names that are no paths."""
+    name = F.col("primary_document")
+    safe = ~name.rlike(r"[/\\]") & ~name.isin(".", "..")
+    ours = d.filings().where(F.expr("startswith(accession_number, concat(cik, '-'))")).where(safe)
     path = F.concat_ws("/", F.lit("https://filings.example"), F.col("cik").cast("bigint").cast("string"), F.regexp_replace("accession_number", "-", ""), "primary_document")
     return ours.select("accession_number", path.alias("source_url"))
 
@@ -80,13 +82,14 @@ def normalize_cik(d: Domain) -> DataFrame:
 
 
 @query(with_views("""select cik, accession_number, form_type from filings where form_type in ('10-K', '10-Q')
-    qualify row_number() over (partition by cik order by filing_date desc, accession_number desc) <= 5""", "filings"))
+    qualify row_number() over (partition by cik order by accession_number) <= 5""", "filings"))
 def select_filings(d: Domain) -> DataFrame:
-    """Of each company, its latest five filings of the wanted forms."""
+    """Of each company, the first five filings of the wanted forms in the order of its document (see ``filings_transpose``)."""
     from pyspark.sql import Window
 
-    wanted = d.filings().where(F.upper("form_type").isin("10-K", "10-Q"))
-    place = F.row_number().over(Window.partitionBy("cik").orderBy(F.desc("filing_date"), F.desc("accession_number")))
+    forms = sorted({x.strip().upper() for x in (" 10-k", "10-Q")})
+    wanted = d.filings().where(F.upper("form_type").isin(*forms))
+    place = F.row_number().over(Window.partitionBy("cik").orderBy("accession_number"))
     return wanted.withColumn("n", place).where("n <= 5").select("cik", "accession_number", "form_type")
 
 
@@ -134,7 +137,8 @@ def content_hashes(d: Domain) -> DataFrame:
 
 @query(with_views("""select (select count(*) from filings) as discovered, (select count(*) from filings where form_type in ('10-K', '10-Q')) as selected,
     (select count(*) from filings where form_type = '10-Q') as created, (select count(*) from filings where form_type = '10-K') as skipped_existing,
-    (select count(*) from chunks) as chunks""", "filings", "chunks"))
+    (select count(*) from filings where form_type = '10-Q') as downloaded, (select count(*) from sections where form_type = '10-Q') as sections,
+    (select count(*) from chunks) as chunks""", "filings", "sections", "chunks"))
 def ingestion_summary(d: Domain) -> DataFrame:
     """Counts of one ingestion run in which the 10-K filings are stored already."""
     filings = d.filings()
@@ -142,8 +146,11 @@ def ingestion_summary(d: Domain) -> DataFrame:
     created = store.insert_if_absent(filings.where(F.col("form_type") == "10-K"), selected, ["accession_number"])
     n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
     chunks = documents.token_windows(d.raw("documents"), doc="doc_id", text="text")
-    row = n(filings, "discovered").crossJoin(n(selected, "selected")).crossJoin(n(created, "created")).crossJoin(n(chunks, "chunks"))
-    return row.select("discovered", "selected", "created", (F.col("selected") - F.col("created")).alias("skipped_existing"), "chunks")
+    sections = d.sections().where("form_type = '10-Q'")
+    row = n(filings, "discovered").crossJoin(n(selected, "selected")).crossJoin(n(created, "created")).crossJoin(n(sections, "sections")).crossJoin(n(chunks, "chunks"))
+    return row.select(
+        "discovered", "selected", "created", (F.col("selected") - F.col("created")).alias("skipped_existing"), F.col("created").alias("downloaded"), "sections", "chunks"
+    )
 
 
 # --- facts
@@ -178,7 +185,9 @@ def financial_facts_latest(d: Domain) -> DataFrame:
     from pyspark.sql import Window
 
     order = Window.partitionBy("cik").orderBy(F.desc("filed_date"), F.desc("end_date"), "concept", "observation_key")
-    facts = _facts(d).where(F.col("concept").isin("FlagA", "FlagR")).join(d.companies().select("cik", "legal_name"), "cik")
+    # The concept is part of a fact's identity, so the filter may go before the removal of repeated deliveries.
+    wanted = d.facts_raw().where(F.col("concept").isin("FlagA", "FlagR"))
+    facts = store.first_wins(wanted, ["observation_key"], "source_order").join(d.companies().select("cik", "legal_name"), "cik")
     best = facts.withColumn("n", F.row_number().over(order)).where("n <= 20")
     return best.select("cik", "legal_name", "concept", "fiscal_year", "value", "end_date", "filed_date", "form_type", "accession_number", "observation_key")
 

@@ -58,7 +58,11 @@ def accept_stream(events: DataFrame, folder: str) -> str:
 
 def accept_available(spark: SparkSession, path: str) -> DataFrame:
     """``event_id, verdict`` of a stored table of events, read as a stream."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tessera-stream-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="tessera-stream-")
     schema = spark.read.parquet(path).schema
     # A stream reads folders: a table of one file is named by a pattern in its folder, a table that is a folder by itself.
     parent, name = os.path.split(path.rstrip("/"))

@@ -34,8 +34,15 @@ def test_graded_ndcg_counts_the_ideal_order(spark):
     assert found["ndcg"] == pytest.approx((7 / log3) / (7 + 1 / log3))
 
 
-def test_percentiles_interpolate():
-    assert evaluation.interpolated([590, 620, 680, 710], 0.5) == 650 and evaluation.interpolated([590, 620, 680, 710], 0.95) == 705.5
+def test_comparison_of_a_known_pair(spark):
+    deltas = [1.0, -0.5, 2.0, 0.0, 0.25]
+    pairs = spark.createDataFrame([("m", i, 1.0, 1.0 + d, d) for i, d in enumerate(deltas)], "metric string, case_id long, control double, treatment double, delta double")
+    row = evaluation.comparison(pairs, iterations=200).first()
+    rng = Random(17)
+    means = sorted(sum(deltas[rng.randrange(5)] for _ in deltas) / 5 for _ in range(200))
+    # Ranks 4.975 and 194.025 of 0 to 199.
+    assert row.low == pytest.approx(means[4] + 0.975 * (means[5] - means[4])) and row.high == pytest.approx(means[194] + 0.025 * (means[195] - means[194]))
+    assert (row.n, row.delta, row.sign_p) == (5, pytest.approx(0.55), pytest.approx(0.625)) and row.relative_delta == pytest.approx(0.55)
 
 
 def test_power_plan():
@@ -91,12 +98,14 @@ FILING = """<html><head><style>p {color: red}</style><script>var x = '<p>no</p>'
 <table><tr><th><p>Year</p></th><th>Sales</th></tr><tr><td>2024</td><td> 10 </td></tr></table></body></html>"""
 
 
-def test_filing_blocks_become_sections():
-    found = filings.sections_of(FILING)
-    assert found == [("Annual report", "Opening words."), ("ITEM 1A. RISK FACTORS", "Risk one & two.\n\nYear | Sales\n\n2024 | 10")]
-    assert filings.sections_of("plain words only") == [("Document", "plain words only")]
-    assert filings.sections_of("<script>x</script>") == []
-    assert filings.sections_of("<p>a<p>b") == [("Document", "a b\n\nb")]
+def test_filing_blocks_become_sections(spark):
+    pages = [FILING, "plain words only", "<script>x</script>", "<p>a<p>b", "<h2>h</h2><p>x</p><p>x</p><h2>only a head</h2>"]
+    df = spark.createDataFrame(list(enumerate(pages)), "k long, html string")
+    found = {r.k: [tuple(x) for x in r.sections] for r in filings.read_filings(df, key="k", html="html").collect()}
+    assert found[0] == [("Annual report", "Opening words."), ("ITEM 1A. RISK FACTORS", "Risk one & two.\n\nYear | Sales\n\n2024 | 10")]
+    assert found[1] == [("Document", "plain words only")] and found[2] == [] and found[3] == [("Document", "a b\n\nb")] and found[4] == [("h", "x")]
+    blocks = {r.k: [tuple(x) for x in r.blocks] for r in filings.read_blocks(df, key="k", html="html").collect()}
+    assert blocks[4] == [("h2", "h"), ("p", "x"), ("h2", "only a head")] and blocks[2] == []
 
 
 def test_filing_rejections(spark):
