@@ -51,8 +51,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them, as whole rows.
 
-    The one document of a source that the mix takes in part is taken whole if that is the larger part. Documents without a word are not
-    taken; a null source is a source; an empty table gives no rows.
+    The one document of a source that the mix takes in part is taken whole if that is the larger part. A document without words is taken
+    as often as its source has whole epochs; a null source is a source; an empty table gives no rows.
     """
     sized = docs.withColumn("size", F.size(words(F.col("text"))).cast("long"))
     mixed = mix_sources(sized)
