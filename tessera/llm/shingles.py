@@ -1,4 +1,4 @@
-"""Groups of documents that share at least a given part of their word shingles, found exactly."""
+"""SimHash near-dedup to a similarity: groups of documents that share at least a given part of their word shingles, found exactly."""
 
 from __future__ import annotations
 
@@ -7,11 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import broadcast_if_small, col, hash_sample, materialise
 from tessera.llm.graph import connected_components
+from tessera.llm.simhash import fingerprint_of, near_links
 
 _MIX = 0x9E3779B97F4A7C15
 
@@ -51,18 +52,19 @@ def sketch(found: np.ndarray) -> np.ndarray:
 
 
 def _prefixes(lean: DataFrame, shingle: int, similarity: float, frequent: list[int]) -> DataFrame:
-    """``doc_id, uid, node, n, sketch, prefix``: a text's set by digest, its size, and the shingles it is found by."""
+    """``doc_id, uid, node, n, fp, sketch, prefix``: a text's set by digest, its size, its SimHash, and the shingles it is found by."""
     common = np.array(frequent, "int64").view("uint64")
     by_hash = np.argsort(common)
     common = common[by_hash]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, prefixes, sketches = [], [], [], [np.zeros(0, "int64")]
+            nodes, sizes, prints, prefixes, sketches = [], [], [], [], [np.zeros(0, "int64")]
             for raw in batch.column(2):
                 found = shingle_set(raw.as_py() or b"", shingle)
                 nodes.append(xxhash.xxh64_intdigest(found.tobytes(), len(found)))
                 sizes.append(len(found))
+                prints.append(fingerprint_of(found))
                 sketches.append(sketch(found))
                 if len(common) and len(found):
                     at = np.minimum(np.searchsorted(common, found), len(common) - 1)
@@ -75,10 +77,10 @@ def _prefixes(lean: DataFrame, shingle: int, similarity: float, frequent: list[i
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view("int64")))
             rows = np.cumsum([len(x) for x in sketches]).astype("int32")
             bits = pa.ListArray.from_arrays(pa.array(rows), pa.array(np.concatenate(sketches)))
-            columns = [batch.column(0), batch.column(1), pa.array(np.array(nodes, "uint64").view("int64")), pa.array(sizes, pa.int32()), bits, lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "uid", "node", "n", "sketch", "prefix"])
+            columns = [batch.column(0), batch.column(1), pa.array(np.array(nodes, "uint64").view("int64")), pa.array(sizes, pa.int32()), pa.array(np.array(prints, "uint64").view("int64")), bits, lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "uid", "node", "n", "fp", "sketch", "prefix"])
 
-    return lean.mapInArrow(read, "doc_id long, uid long, node long, n int, sketch array<long>, prefix array<long>")
+    return lean.mapInArrow(read, "doc_id long, uid long, node long, n int, fp long, sketch array<long>, prefix array<long>")
 
 
 def _sets(lean: DataFrame, shingle: int) -> DataFrame:
@@ -99,20 +101,42 @@ def _frequent(lean: DataFrame, shingle: int, sample: int, most: int) -> list[int
     return [r["h"] for r in counts.orderBy(F.desc("n"), "h").limit(most).collect()]
 
 
-def similar_pairs(prints: DataFrame, lean: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def _near_by_fingerprint(nodes: DataFrame, radius: int) -> DataFrame:
+    """``a, b``: nodes that BK-trees find within ``radius`` bits of SimHash, by way of one head for each fingerprint."""
+    heads = materialise(nodes.groupBy("fp").agg(F.min("node").alias("head")))
+    same = nodes.join(heads, "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    bits = near_links(heads.select("fp"), radius).toDF("x", "y")
+    left, right = (heads.select(F.col("fp").alias(fp), F.col("head").alias(name)) for fp, name in (("x", "a"), ("y", "b")))
+    return same.unionByName(bits.join(left, "x").join(right, "y").select("a", "b"))
+
+
+def _compared(pairs: DataFrame, nodes: DataFrame, lean: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose whole sets are alike."""
+    pairs = materialise(pairs)
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = broadcast_if_small(materialise(ends.join(nodes.select("node", F.col("uid").alias("_uid")), "node")), F.lit(16))
+    texts = lean.join(wanted, lean["uid"] == wanted["_uid"]).select("node", "raw")
+    return materialise(_verified(pairs, materialise(_sets(texts, shingle).dropDuplicates(["node"])), similarity))
+
+
+def _labels(links: DataFrame) -> DataFrame:
+    return broadcast_if_small(materialise(connected_components(links)), F.lit(16))
+
+
+def similar_pairs(prints: DataFrame, lean: DataFrame, shingle: int, similarity: float, radius: int) -> DataFrame:
     """``a, b``: pairs that connect all distinct sets whose common shingles are ``similarity`` of their union or more."""
-    # Equal sets have equal prefixes, so a key that only they share has one node.
-    by_key = Window.partitionBy("key")
-    keyed = prints.select("node", "n", F.explode("prefix").alias("key"))
-    held = keyed.withColumn("low", F.min("node").over(by_key)).withColumn("high", F.max("node").over(by_key)).where("low < high")
-    held = materialise(held.select("key", "node", "n").distinct())
+    nodes = materialise(prints.groupBy("node").agg(F.min("uid").alias("uid"), *(F.first(c).alias(c) for c in ("n", "fp", "sketch"))))
+    links = _compared(_near_by_fingerprint(nodes, radius), nodes, lean, shingle, similarity)
+    # What SimHash has joined is one group; from here on only pairs of different groups are looked for.
+    groups = _labels(links).withColumnRenamed("component", "group")
+    keyed = prints.select("node", "n", "prefix").join(groups, "node", "left").select("node", "n", F.coalesce("group", "node").alias("group"), F.explode("prefix").alias("key"))
+    mixed = materialise(keyed.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key"))
+    held = materialise(keyed.join(broadcast_if_small(mixed, F.lit(8)), "key").distinct())
     a, b = held.alias("a"), held.alias("b")
-    near = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node"))
+    near = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.group") != F.col("b.group"))
     # Sets of that similarity are also alike in size.
     near &= F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * F.lit(similarity - 1e-9)
     pairs = materialise(a.join(b, near).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct())
-    of_node = prints.join(held.select("node").distinct(), "node", "left_semi").groupBy("node")
-    nodes = materialise(of_node.agg(F.min("uid").alias("uid"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     # And their sketches are, which spares most others the comparison of whole sets.
     left, right = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")) for x in "ab")
     half = lambda s: F.zip_with(F.slice(s, 1, (F.size(s) / 2).cast("int")), F.slice(s, (F.size(s) / 2).cast("int") + 1, F.size(s)), lambda x, y: x.bitwiseXOR(y))
@@ -122,19 +146,15 @@ def similar_pairs(prints: DataFrame, lean: DataFrame, shingle: int, similarity:
     apart = F.aggregate(F.zip_with(s_a, s_b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
     most = (F.col("n_a") + F.col("n_b")) * F.lit((1 - similarity) / (1 + similarity)) + 1e-6
     pairs = materialise(pairs.join(left, "a").join(right, "b").withColumn("apart", apart).where(F.col("apart") <= most).select("a", "b", "apart"))
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "uid"), "node")
-    wanted = broadcast_if_small(materialise(wanted.select("node", F.col("uid").alias("_uid"))), F.lit(16))
-    texts = lean.join(wanted, lean["uid"] == wanted["_uid"]).select("node", "raw")
-    sets = materialise(_sets(texts, shingle).dropDuplicates(["node"]))
     # Each set with the nearest by sketch first; then only pairs that these links leave unconnected.
     closest = F.min(F.struct("apart", "a", "b")).alias("p")
     first = pairs.groupBy("a").agg(closest).select("p.a", "p.b").union(pairs.groupBy("b").agg(closest).select("p.a", "p.b")).distinct()
-    links = materialise(_verified(first, sets, similarity))
-    heads = materialise(connected_components(links))
+    links = links.unionByName(_compared(first, nodes, lean, shingle, similarity))
+    heads = _labels(links)
     left, right = (heads.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}")) for x in "ab")
     apart = F.coalesce("c_a", "a") != F.coalesce("c_b", "b")
     rest = pairs.join(left, "a", "left").join(right, "b", "left").where(apart).select("a", "b")
-    return links.unionByName(_verified(rest, sets, similarity))
+    return links.unionByName(_compared(rest, nodes, lean, shingle, similarity))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -146,14 +166,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
 
 def similar_groups(
-    df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, sample: int = 2000
+    df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 3, sample: int = 2000
 ) -> DataFrame:
     """``doc_id, component_id``: one row for each row of ``df``.
 
     Documents are linked if the distinct shingles they share are at least ``similarity`` of all that either has
     (ASCII lower case, words at white space; a text of fewer words is one shingle), and ``component_id`` is the
-    smallest ``doc_id`` that links reach. No link is missed: of two such sets, ordered alike, the first
-    n - ceil(similarity n) + 1 shingles of each have one in common. Sets that meet there, and
+    smallest ``doc_id`` that links reach. SimHash comes first: fingerprints of the shingles within ``radius`` bits, found with BK-trees, are
+    compared as whole sets, which joins most copies without pairs inside their groups. 64 bits cannot tell all sets of a similarity of 0.8
+    apart from others, so an exact way takes the rest, and no link is missed: of two such sets, ordered alike, the first
+    n - ceil(similarity n) + 1 shingles of each have one in common. Sets of different groups that meet there, and
     whose sizes and sketches allow that similarity, are compared whole.
     The order puts shingles last that a sample of documents repeats; it bears on time, not on the result.
 
@@ -167,7 +189,7 @@ def similar_groups(
         col(doc_id).cast("long").alias("doc_id"), F.xxhash64(col(doc_id), col(text)).alias("uid"), col(text).cast("binary").alias("raw")
     )
     prints = materialise(_prefixes(lean, shingle, similarity, _frequent(lean, shingle, sample, 10_000)))
-    found = connected_components(similar_pairs(prints, lean, shingle, similarity))
+    found = connected_components(similar_pairs(prints, lean, shingle, similarity, radius))
     joined = prints.select("doc_id", "node").join(found.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select(
         "doc_id", "node", F.coalesce("component", "node").alias("component")
     )

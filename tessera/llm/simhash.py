@@ -36,11 +36,24 @@ def simhash(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     counts = np.zeros(64, "int64")
     digest = xxhash.xxh64_intdigest
     for at in range(0, len(starts), _PIECE):
-        hashes = np.array(
-            [digest(joined[a:b], seed) for a, b in zip(starts[at : at + _PIECE], ends[at : at + _PIECE], strict=True)], ">u8"
-        )
-        counts += np.unpackbits(hashes.view("uint8").reshape(-1, 8), axis=1).sum(axis=0, dtype="int64")
-    return int.from_bytes(np.packbits(2 * counts > len(starts)).tobytes(), "big")
+        hashes = [digest(joined[a:b], seed) for a, b in zip(starts[at : at + _PIECE], ends[at : at + _PIECE], strict=True)]
+        counts += _set_bits(np.array(hashes, "uint64"))
+    return _over_half(counts, len(starts))
+
+
+def _set_bits(hashes: np.ndarray) -> np.ndarray:
+    """In how many of the hashes each bit is set, the highest bit first."""
+    return np.unpackbits(hashes.astype(">u8").view("uint8").reshape(-1, 8), axis=1).sum(axis=0, dtype="int64")
+
+
+def _over_half(counts: np.ndarray, n: int) -> int:
+    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """SimHash of the hashes of a text's shingles."""
+    parts = (_set_bits(hashes[at : at + _PIECE]) for at in range(0, len(hashes), _PIECE))
+    return _over_half(sum(parts, np.zeros(64, "int64")), len(hashes))
 
 
 def fingerprints(df: DataFrame, text: str = "text", out: str = "fp", shingle: int = 3) -> DataFrame:
