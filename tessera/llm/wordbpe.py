@@ -34,7 +34,7 @@ class WordBpe:
     words (also those that hold a special token's string) go to the library each by itself.
     """
 
-    def __init__(self, path: str, memo: int = 1_000_000) -> None:
+    def __init__(self, path: str, memo: int = 250_000) -> None:
         self.library = Tokenizer.from_file(path)
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -86,18 +86,15 @@ class WordBpe:
         found = [list(map(self.memo.get, words)) for words in group]
         gaps = [[i for i, x in enumerate(row) if x is None] if None in row else [] for row in found]
         new = {words[i] for words, places in zip(group, gaps, strict=True) for i in places}
-        once = self._learn(list(new)) if new else {}
+        learned = self._learn(list(new)) if new else {}
         for words, row, places in zip(group, found, gaps, strict=True):
             for i in places:
-                row[i] = self.memo[words[i]] if words[i] in self.memo else once[words[i]]
+                row[i] = learned[words[i]]
             yield np.frombuffer(b"".join(row), "<u4")
 
     def _learn(self, new: list[str]) -> dict[str, bytes]:
-        """Remember words; the ids of those that are too long to be remembered are returned."""
+        """Ids of new words. They are remembered while there is room: frequent words come early, and rare ones may be learned again."""
         memo, special = self.memo, self.special
-        if len(memo) + len(new) > self.limit:  # the older half goes
-            for word in list(memo)[: len(memo) // 2]:
-                del memo[word]
         plain = [w for w in new if len(w) <= _LONGEST and (w.isascii() or _PLAIN.fullmatch(w)) and w.lower() == w]
         plain = [w for w in plain if "<" not in w or not any(s in w for s in special)] if self.marked else []
         parts = list(map(_PRETOKENS.findall, plain))
@@ -106,15 +103,20 @@ class WordBpe:
         ids = np.array(self.model.encode_batch_fast([" ".join(spelt)], add_special_tokens=False)[0].ids, "<u4")
         stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
         raw, at = ids.tobytes(), [0, *stops]
-        memo.update((p, raw[a:b]) for p, a, b in zip(unknown, at[:-1], stops, strict=True))
+        found = {p: raw[a:b] for p, a, b in zip(unknown, at[:-1], stops, strict=True)}
         for word, cut in zip(plain, parts, strict=True):
             if len(cut) > 1:
-                memo[word] = b"".join([memo[p] for p in cut])
+                found[word] = b"".join([found[p] if p in found else memo[p] for p in cut])
+            elif word not in found:
+                found[word] = memo[cut[0]]
         others = list(set(new).difference(plain))
-        once = {}
-        for word, found in zip(others, self.library.encode_batch_fast(others, add_special_tokens=False), strict=True):
-            (memo if len(word) <= _LONGEST else once)[word] = np.array(found.ids, "<u4").tobytes()
-        return once
+        for word, made in zip(others, self.library.encode_batch_fast(others, add_special_tokens=False), strict=True):
+            found[word] = np.array(made.ids, "<u4").tobytes()
+        if len(memo) + len(found) <= self.limit:
+            memo.update((w, x) for w, x in found.items() if len(w) <= _LONGEST)
+        elif len(found) > self.limit // 4:  # other texts than before
+            memo.clear()
+        return found
 
 
 @cache
