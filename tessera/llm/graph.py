@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise
+from tessera.llm.common import materialise, release
 
 
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -27,6 +27,7 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         links = materialise(_small_star(_large_star(links)))
         after = _signature(links)
+        release(links.sparkSession)
         if after == before:
             break
         before = after
