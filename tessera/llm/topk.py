@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import col, materialise
 
 _ROWS = 128  #: queries that are held against a block of candidates at a time
-_PAIRS = 1 << 16  #: pairs whose products are held at a time
+_PAIRS = 1 << 12  #: pairs whose products are held at a time: their rows fit a core's cache
 _EDGE = 1.7e308  #: of doubles, about
 _MOST = (1 << 63) - 1
 
@@ -77,23 +77,29 @@ def block_top(q: np.ndarray, qid: np.ndarray, qs: np.ndarray, c: np.ndarray, cid
     whos, names, values = [], [], []
     for at in range(0, len(q), _ROWS):
         mine, ids = q[at : at + _ROWS], qid[at : at + _ROWS]
-        other = ids[:, None] != cid[None, :]
-        alive, columns = other.copy(), np.arange(len(c))
+        # Of the candidates in ``columns``, those that each query still has.
+        alive, columns = ids[:, None] != cid[None, :], np.arange(len(c))
         bar = np.full(len(mine), -np.inf)
         for a, b in zip(ends[:-1], ends[1:], strict=True):
-            columns = columns[alive[:, columns].any(axis=0)]
-            bound = np.where(alive[:, columns], qs[at : at + _ROWS, a:b] @ cs[columns, a:b].T, -np.inf)
+            left = alive.any(axis=0)
+            if not left.all():
+                alive, columns = alive[:, left], columns[left]
+            bound = qs[at : at + _ROWS, a:b] @ cs[columns, a:b].T
+            bound[~alive] = -np.inf
             if some < len(columns):
                 best = np.argpartition(-bound, some - 1, axis=1)[:, :some]
                 i = np.repeat(np.arange(len(mine)), some)
                 j = columns[best.ravel()]
-                exact = np.where(other[i, j], _products(mine, c, i, j), -np.inf).reshape(len(mine), some)
+                exact = np.where(ids[i] != cid[j], _products(mine, c, i, j), -np.inf).reshape(len(mine), some)
                 scored += len(i)
                 bar = np.maximum(bar, -np.partition(-exact, k - 1, axis=1)[:, k - 1])
-            alive[:, columns] &= bound >= (bar - slack)[:, None]
+            alive &= bound >= (bar - slack)[:, None]
         i, j = np.nonzero(alive)
+        j = columns[j]
         exact = _products(mine, c, i, j)
         scored += len(i)
+        reach = exact >= bar[i]  # only these are ranked
+        i, j, exact = i[reach], j[reach], exact[reach]
         rank = np.lexsort((cid[j], -exact, i))
         i, j, exact = i[rank], j[rank], exact[rank]
         first = np.searchsorted(i, np.arange(len(mine)))
