@@ -24,13 +24,12 @@ def _bytes(text: str = "text"):
 
 
 def op1_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(
-        "doc_id", (_bytes() + 16).alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32")
-    )
+    docs = table(spark, sf_dir, "documents").withColumn("size", _bytes() + 16)
     dealt = histogram_sort_shards(docs, n_shards=40, key="doc_id", size="size")
     return dealt.select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
-    )
+        "doc_id", "size", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.lit("bytes").alias("law"),
+        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

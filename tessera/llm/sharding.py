@@ -6,25 +6,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tessera.llm.common import col, free_name, map_arrow, materialise
+from tessera.llm.common import col, free_name, materialise
 
 _SPACE = 1 << 192  #: keys are (sort key, content hash, row ordinal), 64 bits each
 
 
-def _keys(pdf: pd.DataFrame, key: str, tie: str, ordinal: str) -> np.ndarray:
+def _keys(pdf: pd.DataFrame) -> np.ndarray:
     """Rows' 192-bit sort keys as fixed-width byte strings, which compare as unsigned numbers."""
-    known = pdf[key].notna().to_numpy()
-    first = np.where(known, pdf[key].fillna(0).astype("int64").to_numpy(), np.iinfo(np.int64).min)
     parts = np.empty((len(pdf), 3), ">u8")
     flip = np.uint64(1 << 63)
-    parts[:, 0] = first.view("uint64") ^ flip
-    parts[:, 1] = pdf[tie].astype("int64").to_numpy().view("uint64") ^ flip
-    parts[:, 2] = pdf[ordinal].astype("int64").to_numpy().view("uint64")
+    parts[:, 0] = pdf["k"].to_numpy("int64").view("uint64") ^ flip
+    parts[:, 1] = pdf["t"].to_numpy("int64").view("uint64") ^ flip
+    parts[:, 2] = pdf["o"].to_numpy("int64").view("uint64")
     return np.ascontiguousarray(parts).view("V24").ravel()
 
 
@@ -62,53 +58,42 @@ def histogram_sort_shards(
     boundaries over the interval it is known to lie in, partitions add up the exact sizes between
     neighbouring boundaries, and the sums narrow the interval. A splitter is settled once the exact
     size below it is within ``tolerance`` of a shard from its target, or once its interval holds a
-    single row. Only then do rows move, in one exchange. What reaches the driver in a round is one
+    single row. Only then do rows move, in one exchange that gives each shard its own task. What reaches the driver in a round is one
     sum for each probe.
 
     Equal keys are ordered by a hash of the whole row and then by an ordinal, so one key may hold any
-    share of the rows and still be cut at any row; that ordinal is fixed by a checkpoint of ``df``,
-    which should therefore carry only the columns that the exchange has to move. Null keys sort
-    first; null or negative sizes count as 0. An empty table gives an empty result. Columns of ``df``
-    may have any name; ``shard_col`` and ``slot_col`` replace columns of those names. ``slot_col``
-    numbers the rows of a shard from 0.
+    share of the rows and still be cut at any row. Only keys, hashes, ordinals and sizes are
+    checkpointed for the rounds; the other columns are read again for the exchange. A source that deals its rows
+    differently the second time changes ordinals of equal rows alone: each row still goes to one shard, in order of
+    keys, and just the cut between equal rows may move. Null keys sort first; null or negative sizes count as 0. An
+    empty table gives an empty result. Columns of ``df`` may have any name; ``shard_col`` and ``slot_col``
+    replace columns of those names. ``slot_col`` numbers the rows of a shard from 0.
     """
     if n_shards < 1 or probes < 1:
         raise ValueError("n_shards and probes must be positive")
     df = df.drop(*({shard_col, slot_col} - {key, size}))
-    tie, ordinal = free_name(df, "tie"), free_name(df, "ordinal")
-    weight = free_name(df, "weight")
-    rows = materialise(
-        df.withColumn(tie, F.xxhash64(*map(col, df.columns)))
-        .withColumn(ordinal, F.monotonically_increasing_id())
-        .withColumn(weight, F.greatest(F.coalesce(col(size).cast("long"), F.lit(0)), F.lit(0)))
-    )
-    lean = rows.select(col(key).cast("long").alias("k"), F.col(tie).alias("t"), F.col(ordinal).alias("o"), F.col(weight).alias("w"))
+    at = [free_name(df, x) for x in ("place", "tie", "ordinal")]
+    place = F.coalesce(col(key).cast("long"), F.lit(-(1 << 63)).cast("long"))
+    rows = df.select(*map(col, df.columns), place.alias(at[0]), F.xxhash64(*map(col, df.columns)).alias(at[1]), F.monotonically_increasing_id().alias(at[2]))
+    weight = F.greatest(F.coalesce(col(size).cast("long"), F.lit(0)), F.lit(0))
+    lean = materialise(rows.select(*(F.col(c).alias(n) for c, n in zip(at, "kto", strict=True)), weight.alias("w")))
     splitters = _splitters(lean, n_shards, tolerance, probes)
 
-    places = [rows.columns.index(c) for c in (key, tie, ordinal)]
+    def shard_of(k: pd.Series, t: pd.Series, o: pd.Series) -> pd.Series:
+        return pd.Series(_rank(_keys(pd.DataFrame({"k": k, "t": t, "o": o})), splitters).astype("int32"))
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pdf = pd.DataFrame({n: batch.column(p).to_pandas() for n, p in zip("kto", places, strict=True)})
-            ranks = _rank(_keys(pdf, "k", "t", "o"), splitters) if splitters else np.zeros(len(pdf))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ranks.astype("int32"))], names=schema.names)
-
-    schema = T.StructType([*rows.schema.fields, T.StructField(shard_col, T.IntegerType())])
-    dealt = map_arrow(rows, assign, schema).repartition(n_shards, col(shard_col))
-    inside = Window.partitionBy(col(shard_col)).orderBy(col(key).asc_nulls_first(), tie, ordinal)
-    return dealt.withColumn(slot_col, (F.row_number().over(inside) - 1).cast("long")).drop(tie, ordinal, weight)
+    shard = F.pandas_udf(shard_of, "int")(*at) if splitters else F.lit(0)
+    dealt = rows.withColumn(shard_col, shard).repartitionById(n_shards, col(shard_col))
+    inside = Window.partitionBy(col(shard_col)).orderBy(*at)
+    return dealt.withColumn(slot_col, (F.row_number().over(inside) - 1).cast("long")).drop(*at)
 
 
 def _splitters(lean: DataFrame, n_shards: int, tolerance: float, probes: int) -> list[int]:
-    ends = lean.agg(
-        F.sum("w").alias("total"), F.min("k").alias("low"), F.max("k").alias("high"),
-        F.count(F.lit(1)).alias("n"), F.count("k").alias("known"),
-    ).first()
+    ends = lean.agg(F.sum("w").alias("total"), F.min("k").alias("low"), F.max("k").alias("high"), F.count(F.lit(1)).alias("n")).first()
     if not ends["n"] or n_shards == 1:
         return []
     total, half = ends["total"], 1 << 63
-    floor = (ends["low"] + half) << 128 if ends["known"] == ends["n"] else 0
-    ceiling = min(_SPACE - 1, ((ends["high"] + half + 1) << 128)) if ends["known"] else 1 << 128
+    floor, ceiling = (ends["low"] + half) << 128, min(_SPACE - 1, (ends["high"] + half + 1) << 128)
     goals = [total * i // n_shards for i in range(1, n_shards)]
     slack = tolerance * total / n_shards
     # For each splitter: a boundary at or below it, one above it, and the exact sizes and rows below both.
@@ -145,7 +130,7 @@ def _sizes_below(lean: DataFrame, points: list[int]) -> dict[int, tuple[int, int
     def histogram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums, rows = np.zeros(len(points) + 1, "int64"), np.zeros(len(points) + 1, "int64")
         for pdf in batches:
-            ranks = _rank(_keys(pdf, "k", "t", "o"), points)
+            ranks = _rank(_keys(pdf), points)
             np.add.at(sums, ranks, pdf["w"].to_numpy())
             np.add.at(rows, ranks, 1)
         at = np.flatnonzero(rows)
