@@ -45,6 +45,25 @@ def test_comparison_of_a_known_pair(spark):
     assert (row.n, row.delta, row.sign_p) == (5, pytest.approx(0.55), pytest.approx(0.625)) and row.relative_delta == pytest.approx(0.55)
 
 
+@pytest.mark.parametrize("block", [1, 7, 1000])
+def test_blocks_of_a_comparison_draw_as_one(spark, block):
+    random = Random(3)
+    deltas = {m: {f"case {random.random()}": random.gauss(0.2, 1) for _ in range(n)} for m, n in (("a", 33), ("b", 90), ("c", 1))}
+    rows = [(m, c, 0.0, d, d) for m, cases in deltas.items() for c, d in cases.items()]
+    pairs = spark.createDataFrame(rows, "metric string, case_id string, control double, treatment double, delta double").repartition(5)
+    found = {r.metric: (r.low, r.high) for r in evaluation.comparison(pairs, iterations=100, block=block).collect()}
+    for place, m in enumerate("abc"):
+        rng, values = Random(17 + place), [deltas[m][c] for c in sorted(deltas[m])]
+        means = sorted(sum(values[rng.randrange(len(values))] for _ in values) / len(values) for _ in range(100))
+        at = lambda q: means[int(q * 99)] + (q * 99 - int(q * 99)) * (means[min(int(q * 99) + 1, 99)] - means[int(q * 99)])  # noqa: B023, E731
+        assert found[m] == (pytest.approx(at(0.025)), pytest.approx(at(0.975)))
+
+
+def test_comparison_of_no_pairs(spark):
+    none = spark.createDataFrame([], "metric string, case_id long, control double, treatment double, delta double")
+    assert evaluation.comparison(none).count() == 0
+
+
 def test_power_plan():
     assert experiments.sample_size(0.5, 0.1) == 388 and experiments.sample_size(0.4, 0.25) == 62
 
