@@ -153,14 +153,18 @@ _PICKED = "select * from facts_raw where taxonomy = 'us-gaap'"
 
 @query(with_views("""select cik, taxonomy, concept, unit, accession_number, form_type, fiscal_year, filed_date, end_date, value, count(*) as n from picked group by all""", "facts_raw", picked=_PICKED))
 def company_facts_read(d: Domain) -> DataFrame:
-    """Companies' fact documents, nested by taxonomy, concept and unit in JSON, as rows of the wanted taxonomies."""
+    """Companies' fact documents, nested by taxonomy, concept and unit in JSON, as rows of the wanted taxonomies.
+
+    Each filing brings one document, so a company with many facts has many documents.
+    """
     iso = lambda c: F.date_format(c, "yyyy-MM-dd")
+    filing = ["cik", "accession_number"]
     fact = F.struct(F.col("value").alias("val"), F.col("accession_number").alias("accn"), F.col("fiscal_year").alias("fy"), F.col("form_type").alias("form"), iso("filed_date").alias("filed"), iso("end_date").alias("end"))
-    units = d.facts_raw().groupBy("cik", "taxonomy", "concept", "unit").agg(F.collect_list(fact).alias("rows"))
+    units = d.facts_raw().groupBy(*filing, "taxonomy", "concept", "unit").agg(F.collect_list(fact).alias("rows"))
     entry = lambda name, value: F.map_from_entries(F.collect_list(F.struct(name, value)))
-    by_concept = units.groupBy("cik", "taxonomy", "concept").agg(F.struct(entry("unit", "rows").alias("units")).alias("body"))
-    by_taxonomy = by_concept.groupBy("cik", "taxonomy").agg(entry("concept", "body").alias("body"))
-    texts = by_taxonomy.groupBy("cik").agg(entry("taxonomy", "body").alias("facts")).select("cik", F.to_json(F.struct("cik", "facts")).alias("body"))
+    by_concept = units.groupBy(*filing, "taxonomy", "concept").agg(F.struct(entry("unit", "rows").alias("units")).alias("body"))
+    by_taxonomy = by_concept.groupBy(*filing, "taxonomy").agg(entry("concept", "body").alias("body"))
+    texts = by_taxonomy.groupBy(*filing).agg(entry("taxonomy", "body").alias("facts")).select("cik", F.to_json(F.struct("cik", "facts")).alias("body"))
     rows = company_json.company_facts(texts, cik="cik", body="body", taxonomies=[" US-GAAP ", "ifrs-full"])
     keys = ["cik", "taxonomy", "concept", "unit", "accession_number", "form_type", "fiscal_year", "filed_date", "end_date", "value"]
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))

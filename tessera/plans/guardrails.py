@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.embedding import hashed_embedding
@@ -42,14 +42,13 @@ def embed_documents(d: Domain) -> DataFrame:
 @query(with_views("""select cik, taxonomy, concept, unit, (row_number() over (partition by cik, taxonomy, concept, unit
     order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) - 1)::int as ordinal, value, accession_number from facts_raw""", "facts_raw"))
 def facts_flatten(d: Domain) -> DataFrame:
-    """Facts nested by taxonomy, concept and unit, as rows in source order."""
-    entry = F.array_sort(F.collect_list(F.struct("source_order", "value", "accession_number")))
-    by_unit = d.facts_raw().groupBy("cik", "taxonomy", "concept", "unit").agg(entry.alias("rows"))
-    level = lambda df, keys, name, value: df.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(name, value))).alias(value))
-    nested = level(level(level(by_unit, ["cik", "taxonomy", "concept"], "unit", "rows"), ["cik", "taxonomy"], "concept", "rows"), ["cik"], "taxonomy", "rows")
-    flat = nested.select("cik", F.explode("rows").alias("taxonomy", "a")).select("cik", "taxonomy", F.explode("a").alias("concept", "b"))
-    flat = flat.select("cik", "taxonomy", "concept", F.explode("b").alias("unit", "c")).select("cik", "taxonomy", "concept", "unit", F.posexplode("c").alias("ordinal", "x"))
-    return flat.select("cik", "taxonomy", "concept", "unit", "ordinal", "x.value", "x.accession_number")
+    """Facts with their place in their company's taxonomy, concept and unit, in source order.
+
+    ``company_facts_read`` reads nested documents; nothing is nested here, so no company's facts ever form one row.
+    """
+    keys = ["cik", "taxonomy", "concept", "unit"]
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("source_order"))
+    return d.facts_raw().select(*keys, (place - 1).alias("ordinal"), "value", "accession_number")
 
 
 @query(with_views("""select failure, count(*) as n from (select case count(*) when 1 then 'wrong number of facts' when 2 then null when 3 then null else 'unknown operation' end as failure

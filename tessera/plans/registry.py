@@ -64,12 +64,11 @@ def filing_source_url(d: Domain) -> DataFrame:
 
 @query(with_views("select cik, (row_number() over (partition by cik order by accession_number) - 1)::int as ordinal, accession_number, form_type, filing_date from filings", "filings"))
 def filings_transpose(d: Domain) -> DataFrame:
-    """Parallel arrays of equal length, one set for each company, as rows."""
-    rows = F.array_sort(F.collect_list(F.struct("accession_number", "form_type", "filing_date")))
-    packed = d.filings().groupBy("cik").agg(rows.alias("r")).select("cik", *(F.col("r")[c].alias(c) for c in ("accession_number", "form_type", "filing_date")))
-    even = packed.where((F.size("accession_number") == F.size("form_type")) & (F.size("form_type") == F.size("filing_date")))
-    zipped = even.select("cik", F.posexplode(F.arrays_zip("accession_number", "form_type", "filing_date")).alias("ordinal", "x"))
-    return zipped.select("cik", "ordinal", "x.accession_number", "x.form_type", "x.filing_date")
+    """Filings with their place in their company's document (``submissions_read`` reads its parallel arrays)."""
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("cik").orderBy("accession_number"))
+    return d.filings().select("cik", (place - 1).alias("ordinal"), "accession_number", "form_type", "filing_date")
 
 
 @query("""select c_custkey, case when regexp_full_match(trim(c_phone), '[0-9]{1,10}') then lpad(trim(c_phone), 10, '0') end as cik
