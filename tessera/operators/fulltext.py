@@ -1,10 +1,12 @@
-"""English full-text search: stems with positions, web-style queries, cover-density rank."""
+"""English full-text search: stems with positions, structured queries, cover-density rank."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_, or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,11 +14,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions.english import STOP_WORDS, lexeme
 
-#: Later positions count as this one.
-LAST_POSITION = 16_383
 #: Weight of an occurrence in plain text.
 WEIGHT = 0.1
 _WORD = r"[\p{L}\p{N}]+"
+_EVENT = "array<struct<last: int, first: int, term: int, stems: int>>"
 
 
 def _words(text: Column) -> Column:
@@ -27,112 +28,90 @@ def _lexemes(words: pd.Series) -> pd.Series:
     return words.map(lexeme, na_action="ignore")
 
 
-def postings(df: DataFrame, *, id_col: str, text: str) -> DataFrame:
-    """``id_col, lexeme, positions``: the stems of each text with their word positions from 1.
+def postings(df: DataFrame, *, id_col: str, text: str, stems: Sequence[str] | None = None) -> DataFrame:
+    """``id_col, lexeme, positions``: the stems of each text with their word positions from 1; all, or those of ``stems``.
 
-    Stop words are left out but count for positions. A null or empty text has no rows.
+    Stop words are left out but count for positions, which have no bound. A null or empty text has no rows. Words that
+    cannot have one of ``stems`` are dropped by built-in functions (a stem starts as its word does); only the rest are stemmed.
     """
-    placed = df.select(id_col, F.posexplode(_words(F.col(text))).alias("at", "word"))
-    useful = placed.where(~F.col("word").isin(sorted(STOP_WORDS))).withColumn("lexeme", F.pandas_udf(_lexemes, "string")("word"))
-    at = F.least(F.col("at") + 1, F.lit(LAST_POSITION))
-    return useful.groupBy(id_col, "lexeme").agg(F.array_sort(F.collect_set(at)).alias("positions"))
+    placed = df.select(id_col, F.posexplode(_words(F.col(text))).alias("at", "word")).where(~F.col("word").isin(sorted(STOP_WORDS)))
+    if stems is not None:
+        placed = placed.where(F.substring("word", 1, 1).isin(sorted({s[0] for s in stems})))
+    useful = placed.withColumn("lexeme", F.pandas_udf(_lexemes, "string")("word"))
+    if stems is not None:
+        useful = useful.where(F.col("lexeme").isin(sorted(stems)))
+    return useful.groupBy(id_col, "lexeme").agg(F.array_sort(F.collect_set(F.col("at") + 1)).alias("positions"))
 
 
 @dataclass(frozen=True)
 class Term:
-    """Stems at stated distances from the first; one stem alone, or a phrase."""
+    """Stems at stated distances from the first; one stem alone, or a phrase. A negated one must not occur."""
 
     stems: tuple[str, ...]
     offsets: tuple[int, ...] = (0,)
     negated: bool = False
 
 
-def parse(query: str) -> list[list[Term]]:
-    """Alternatives of terms that must hold together: bare words, "phrases", ``or``, and a leading ``-`` for not.
+def term(words: str, *, negated: bool = False) -> Term | None:
+    """A word, or several as a phrase; stop words vanish but count for the distance, and nothing else is no term."""
+    found = [(i, s) for i, s in enumerate(map(lexeme, re.findall(r"[^\W_]+", words.lower()))) if s]
+    return Term(tuple(s for _, s in found), tuple(i - found[0][0] for i, _ in found), negated) if found else None
 
-    Malformed input never fails; stop words vanish (in phrases they count for the distance).
-    """
-    found: list[list[Term]] = [[]]
-    for minus, phrase, bare in re.findall(r'(-?)(?:"([^"]*)"?|([^\s"]+))', query.lower()):
-        if bare == "or" and not minus:
-            found.append([])
-            continue
-        words = [lexeme(w) for w in re.findall(r"[^\W_]+", phrase or bare.lstrip("-"))]
-        kept = [(i, w) for i, w in enumerate(words) if w]
-        if kept:
-            offsets = tuple(i - kept[0][0] for i, _ in kept)
-            found[-1].append(Term(tuple(w for _, w in kept), offsets, bool(minus) or bare.startswith("-")))
-    return [terms for terms in found if terms]
-
-
-def _spans(term: Term, places: dict[str, list[int]]) -> list[tuple[int, int]]:
-    """First and last position of each occurrence of a term."""
-    rest = [(set(places.get(s, ())), o) for s, o in zip(term.stems[1:], term.offsets[1:], strict=True)]
-    return [(p, p + term.offsets[-1]) for p in places.get(term.stems[0], ()) if all(p + o in at for at, o in rest)]
-
-
-def cover_density(places: dict[str, list[int]], query: list[list[Term]]) -> float | None:
-    """The rank of a text whose stems have these positions, or none if it does not match.
-
-    A minimal cover is a shortest stretch in which an alternative holds; it counts by the words in it that are no
-    terms. Terms that must not occur decide the match and take no part in the rank.
+
+def _rank(events: Column, alternatives: list[tuple[Column, list[int]]], n_terms: int) -> Column:
+    """The cover density of ``events``, occurrences of terms by their last position.
+
+    A minimal cover is a shortest stretch in which an alternative (whether it counts, its terms) holds; it counts by
+    the words in it that are no terms.
     """
-    alternatives, spans = [], {}
-    for terms in query:
-        for term in terms:
-            if term not in spans:
-                spans[term] = _spans(term, places)
-        if all(bool(spans[t]) != t.negated for t in terms):
-            alternatives.append([t for t in terms if not t.negated])
-    if not alternatives:
-        return None
-    used = {t for terms in alternatives for t in terms}
-    events = sorted((last, first, t.stems, t) for t in used for first, last in spans[t])
-    latest: dict[Term, int] = {}
-    rank, begun = 0.0, -1
-    for at, (last, _, _, term) in enumerate(events):
-        latest[term] = at
-        ready = [min(latest[t] for t in terms) for terms in alternatives if terms and all(t in latest for t in terms)]
-        start = max(ready, default=-1)
-        if start > begun:
-            inside = events[start : at + 1]
-            stretch = last - min(first for _, first, _, _ in inside)
-            stems = sum(len(t.stems) for *_, t in inside)
-            rank += WEIGHT / (1 + max(stretch - (stems - 1), 0))
-            begun = start
-    return rank
-
-
-def fulltext_scores(df: DataFrame, query: str, *, id_col: str, text: str) -> DataFrame:
-    """``id_col, score`` of the rows that match a web-style query; a query of stop words matches none.
-
-    One pass without an exchange: words that cannot have a stem of the query are dropped by built-in
-    functions (a stem starts as its word does); only the rest go to Python.
+
+    def step(s: Column, x: Column) -> Column:
+        latest = F.transform(s["latest"], lambda at, i: F.when(i == x["term"], s["at"]).otherwise(at))
+        ready = [F.when(holds, F.array_min(F.array(*(F.get(latest, i) for i in terms)))).otherwise(F.lit(-1)) for holds, terms in alternatives]
+        start = F.array_max(F.array(F.lit(-1), *ready))
+        inside = F.slice(events, start + 1, s["at"] - start + 1)
+        stretch = x["last"] - F.array_min(F.transform(inside, lambda e: e["first"]))
+        stems = F.aggregate(inside, F.lit(0), lambda n, e: n + e["stems"])
+        gain = F.when(start > s["begun"], WEIGHT / (1 + F.greatest(stretch - (stems - 1), F.lit(0)))).otherwise(F.lit(0.0))
+        return F.struct(latest.alias("latest"), F.greatest(start, s["begun"]).alias("begun"), (s["at"] + 1).alias("at"), (s["rank"] + gain).alias("rank"))
+
+    begin = F.struct(F.array_repeat(F.lit(-1), n_terms).alias("latest"), F.lit(-1).alias("begun"), F.lit(0).alias("at"), F.lit(0.0).alias("rank"))
+    return F.aggregate(events, begin, step, lambda s: s["rank"])
+
+
+def fulltext_scores(df: DataFrame, query: Sequence[Sequence[Term | None]], *, id_col: str, text: str) -> DataFrame:
+    """``id_col, score`` of the texts in which an alternative of ``query`` holds: all its terms occur, and none of the negated ones.
+
+    The rank is the cover density of the alternatives that hold. It comes from the postings of the query's stems,
+    gathered by ``id_col``, which names a text; negated terms decide the match and take no part in the rank. A query without terms matches none,
+    one of negated terms alone has rank 0; a null text never matches.
     """
-    plan = parse(query)
+    plan = [kept for terms in query if (kept := [t for t in terms if t])]
     if not plan:
         return df.select(id_col, F.lit(0.0).alias("score")).where("false")
-    wanted = frozenset(s for terms in plan for t in terms for s in t.stems)
-    initials = [F.lit(x) for x in sorted({s[0] for s in wanted})]
-    placed = F.transform(_words(F.col(text)), lambda w, i: F.struct(w.alias("w"), (i + 1).alias("at")))
-    near = F.filter(placed, lambda x: F.array_contains(F.array(*initials), F.substring(x["w"], 1, 1)))
-    lean = df.where(F.col(text).isNotNull()).select(id_col, near["w"].alias("words"), near["at"].alias("at"))
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ranks = []
-            for words, at in zip(pdf["words"], pdf["at"], strict=True):
-                places: dict[str, list[int]] = {}
-                for word, position in zip(words, at, strict=True):
-                    found = lexeme(word)
-                    if found in wanted:
-                        seen = places.setdefault(found, [])
-                        position = min(int(position), LAST_POSITION)
-                        if not seen or seen[-1] != position:
-                            seen.append(position)
-                ranks.append(cover_density(places, plan))
-            out = pdf[[id_col]].assign(score=pd.array(ranks, dtype="Float64"))
-            yield out[out["score"].notna()]
-
-    key = df.schema[id_col].dataType.simpleString()
-    return lean.mapInPandas(score, f"`{id_col}` {key}, score double")
+    terms = sorted({(t.stems, t.offsets) for alternative in plan for t in alternative})
+    index = {t: i for i, t in enumerate(terms)}
+    stems = sorted({s for names, _ in terms for s in names})
+    found = postings(df, id_col=id_col, text=text, stems=stems).groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("lexeme", "positions"))).alias("_at"))
+    if any(all(t.negated for t in alternative) for alternative in plan):
+        found = df.where(F.col(text).isNotNull()).select(id_col).join(found, id_col, "left")
+    at = lambda stem: F.coalesce(F.try_element_at("_at", F.lit(stem)), F.array().cast("array<int>"))
+
+    def spans(names: tuple[str, ...], offsets: tuple[int, ...]) -> Column:
+        follows = lambda p: reduce(and_, (F.array_contains(at(s), p + o) for s, o in zip(names[1:], offsets[1:], strict=True)), F.lit(True))
+        return F.filter(at(names[0]), follows)
+
+    placed = found.select(id_col, *(spans(*t).alias(f"_s{i}") for i, t in enumerate(terms)))
+    occurs = [F.size(f"_s{i}") > 0 for i in range(len(terms))]
+    number = lambda t: index[t.stems, t.offsets]
+    holds = [reduce(and_, (~occurs[number(t)] if t.negated else occurs[number(t)] for t in alternative)) for alternative in plan]
+    wanted = [[number(t) for t in alternative if not t.negated] for alternative in plan]
+    events = [
+        F.when(reduce(or_, (h for h, mine in zip(holds, wanted, strict=True) if i in mine), F.lit(False)), F.transform(
+            f"_s{i}", lambda p: F.struct((p + offsets[-1]).alias("last"), p.alias("first"), F.lit(i).alias("term"), F.lit(len(names)).alias("stems"))  # noqa: B023
+        )).otherwise(F.array().cast(_EVENT))
+        for i, (names, offsets) in enumerate(terms)
+    ]
+    matched = placed.where(reduce(or_, holds)).select(id_col, *(h.alias(f"_h{i}") for i, h in enumerate(holds)), F.array_sort(F.flatten(F.array(*events))).alias("_events"))
+    ranked = [(F.col(f"_h{i}"), mine) for i, mine in enumerate(wanted) if mine]
+    return matched.select(id_col, _rank(F.col("_events"), ranked, len(terms)).alias("score"))

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import datetime
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.fulltext import fulltext_scores
+from tessera.operators.fulltext import Term, fulltext_scores
 
 MISSING_RANK = 201
 
@@ -64,8 +65,8 @@ def keyword_channel(df: DataFrame, terms: list[str], *, id_col: str, text: str,
     return _ranked(scored.select(id_col, total.cast("double").alias("score")), id_col, limit)
 
 
-def fulltext_channel(df: DataFrame, query: str, *, id_col: str, text: str, limit: int) -> DataFrame:
-    """Rows that match a web-style query over English stems, by cover density."""
+def fulltext_channel(df: DataFrame, query: Sequence[Sequence[Term | None]], *, id_col: str, text: str, limit: int) -> DataFrame:
+    """Rows in which an alternative of a query over English stems holds, by cover density."""
     return _ranked(fulltext_scores(df, query, id_col=id_col, text=text), id_col, limit)
 
 

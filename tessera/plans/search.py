@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from tessera.functions.embedding import hashed_embedding
 from tessera.operators import documents, fulltext, retrieval, store
+from tessera.operators.fulltext import term
 from tessera.plans import registry
 from tessera.plans.registry import query
 from tessera.sources.adapters import Domain
 
 fixed = registry.fixed
 
-#: A phrase, two words that must occur together, a word that must not.
-TEXT_QUERY = '"th ing" or thing ther -ble'
+#: A question and its terms: a phrase, or two words that must occur together without a third.
+QUESTION = '"th ing" or thing ther -ble'
+TEXT_QUERY = [[term("th ing")], [term("thing"), term("ther"), term("ble", negated=True)]]
 #: Chunks that one backfill run embeds at most.
 RUN_LIMIT = 10_000
 
@@ -32,7 +34,7 @@ def _english(d: Domain) -> tuple[DataFrame, DataFrame]:
 
 @query()
 def keyword_rank(d: Domain) -> DataFrame:
-    """Filtered sections that match a web-style query, by cover density."""
+    """Filtered sections that match a structured query, by cover density."""
     return _english(d)[0].select("doc_id", "rank", fixed(F.col("score")).alias("score"))
 
 
@@ -62,7 +64,7 @@ def generation_envelope(d: Domain) -> DataFrame:
     fact = F.struct("n", F.concat(F.lit("F"), F.col("n").cast("string")).alias("id"), "concept", F.col("value").cast("string").alias("value"), F.date_format("end_date", "yyyy-MM-dd").alias("end_date"), "accession_number")
     facts = latest.withColumn("n", F.row_number().over(order)).groupBy("cik").agg(F.array_sort(F.collect_list(fact)).alias("f"))
     both = facts.join(F.broadcast(evidence), "cik", "right")
-    body = F.struct(F.lit(TEXT_QUERY).alias("question"), F.transform("e", lambda x: x.dropFields("n")).alias("evidence"), F.transform(F.coalesce("f", F.array()), lambda x: x.dropFields("n")).alias("facts"))
+    body = F.struct(F.lit(QUESTION).alias("question"), F.transform("e", lambda x: x.dropFields("n")).alias("evidence"), F.transform(F.coalesce("f", F.array()), lambda x: x.dropFields("n")).alias("facts"))
     return both.select("cik", F.to_json(body).alias("envelope"))
 
 

@@ -182,29 +182,47 @@ def _covers(places, query):
     return rank
 
 
-def test_cover_density_equals_all_stretches():
+def _query(*alternatives):
+    return [[fulltext.term(w.lstrip("-"), negated=w.startswith("-")) for w in words] for words in alternatives]
+
+
+def test_cover_density_equals_all_stretches(spark):
     random = Random(5)
+    texts, at = [], []
     for _ in range(200):
         slots = random.sample(range(1, 30), 9)
         places = {s: sorted(slots[i * 3 : i * 3 + random.randint(1, 3)]) for i, s in enumerate(("cat", "dog", "owl"))}
-        for text in ("cat", "cat dog", "cat dog or owl", "cat dog owl", "cat or dog"):
-            assert fulltext.cover_density(places, fulltext.parse(text)) == pytest.approx(_covers(places, fulltext.parse(text)))
+        words = {p: s for s, found in places.items() for p in found}
+        at.append(places)
+        texts.append((len(texts), " ".join(words.get(p, "zzz") for p in range(1, 31))))
+    df = spark.createDataFrame(texts, "id long, body string")
+    for query in (_query(["cat"]), _query(["cat", "dog"]), _query(["cat", "dog"], ["owl"]), _query(["cat", "dog", "owl"]), _query(["cat"], ["dog"])):
+        found = {r.id: r.score for r in fulltext.fulltext_scores(df, query, id_col="id", text="body").collect()}
+        assert found == pytest.approx({i: _covers(places, query) for i, places in enumerate(at)})
 
 
-def test_web_queries(spark):
+def test_structured_queries(spark):
     rows = [(1, "Supply constraints hit the supplies"), (2, "constraints of supply"), (3, "supply"), (4, None), (5, ""), (6, "risk of the suppliers constraint")]
     df = spark.createDataFrame(rows, "id long, body string")
-    find = lambda query: {r.id: r.score for r in fulltext.fulltext_scores(df, query, id_col="id", text="body").collect()}
-    assert find("supply") == pytest.approx({1: 0.2, 2: 0.1, 3: 0.1})
-    assert find('"supply constraints"') == pytest.approx({1: 0.1})
-    assert find('"constraints of supply"') == pytest.approx({2: 0.05}) and find('"constraints supply') == {}
-    assert find("supply -constraints") == pytest.approx({3: 0.1}) and set(find("risk or supply")) == {1, 2, 3, 6}
-    assert find("the of") == {} and find("") == {} and set(find("-supply")) == {5, 6}
-    assert find("supply constraints")[1] == pytest.approx(0.1 + 0.1 / 3)
+    find = lambda *query: {r.id: r.score for r in fulltext.fulltext_scores(df, _query(*query), id_col="id", text="body").collect()}
+    assert find(["supply"]) == pytest.approx({1: 0.2, 2: 0.1, 3: 0.1})
+    assert find(["supply constraints"]) == pytest.approx({1: 0.1})
+    assert find(["constraints of supply"]) == pytest.approx({2: 0.05}) and find(["constraints supply"]) == {}
+    assert find(["supply", "-constraints"]) == pytest.approx({3: 0.1}) and set(find(["risk"], ["supply"])) == {1, 2, 3, 6}
+    assert find(["the", "of"]) == {} and find() == {} and find([""]) == {} and find(["-supply"]) == {5: 0.0, 6: 0.0}
+    assert find(["supply", "constraints"])[1] == pytest.approx(0.1 + 0.1 / 3)
+    assert find(["supply", "-risk"], ["risk", "-supply", "constraint"]).keys() == {1, 2, 3, 6}
     at = {(r.id, r.lexeme): list(r.positions) for r in fulltext.postings(df, id_col="id", text="body").collect()}
     assert at[1, "suppli"] == [1, 5] and at[2, "suppli"] == [3] and (2, "of") not in at
 
 
+def test_positions_of_long_texts_have_no_bound(spark):
+    text = "filler " * 40_000 + "cat dog " + "filler " * 50 + "dog cat"
+    df = spark.createDataFrame([(1, text)], "id long, body string")
+    assert fulltext.fulltext_scores(df, _query(["cat dog"]), id_col="id", text="body").first().score == pytest.approx(0.1)
+    assert max(r.positions[-1] for r in fulltext.postings(df, id_col="id", text="body", stems=["cat"]).collect()) == 40_054
+
+
 # --- lifecycle and streams
 
 
