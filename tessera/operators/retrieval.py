@@ -5,6 +5,8 @@ from __future__ import annotations
 import datetime
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,6 +58,8 @@ def _occurrences(words: Column, term: str) -> Column:
 
 def keyword_channel(df: DataFrame, terms: list[str], *, id_col: str, text: str, limit: int) -> DataFrame:
     """Rows that hold all terms (lower case, whole words), by number of occurrences."""
+    # A plain search of the text drops most rows before their words are split.
+    df = df.where(reduce(and_, (F.contains(F.lower(text), F.lit(t)) for t in terms), F.lit(True)))
     words = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
     counts = [_occurrences(F.col("_w"), t) for t in terms]
     scored = df.withColumn("_w", words).select(id_col, *(c.alias(f"_c{i}") for i, c in enumerate(counts)))
