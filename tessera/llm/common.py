@@ -84,6 +84,12 @@ def map_arrow(df: DataFrame, function: Callable, schema: StructType) -> DataFram
     return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(function, schema)
 
 
+def only_columns(df: DataFrame, drop: tuple[str, ...]) -> list[str]:
+    """The columns of ``df`` without those of the given names, in any case."""
+    gone = {name.lower() for name in drop}
+    return [c for c in df.columns if c.lower() not in gone]
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not have, so that callers' own columns never clash with ours."""
     taken = {c.lower() for c in df.columns}

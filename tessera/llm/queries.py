@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import table, words
+from tessera.llm.infill import fill_in_middle, restored
 from tessera.llm.langid import identify_languages
 from tessera.llm.lines import dedup_lines
 from tessera.llm.mixing import mix_sources
@@ -82,11 +83,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"), seed=42, rate=50, spm=80)
+    return cut.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("text", 256).alias("output_sha256"),
+        F.sha2(restored(F.col("text"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_histogram_sort, op2_token_counts, op3_simhash_groups, op4_line_dedup, op5_language_profiles,
-        op6_page_text, op7_source_mix, op8_quality_rules, op9_exact_top_k, op10_packing,
+        op6_page_text, op7_source_mix, op8_quality_rules, op9_exact_top_k, op10_packing, op12_fill_in_middle,
     )
 }
 
@@ -105,6 +114,15 @@ kept as (select k.doc_id, string_agg(line, chr(10) order by k.n) as text, count(
   where len(k.w) = 0 or stay.n is not null group by k.doc_id)
 select d.doc_id, coalesce(kept.text, '') as text, len(string_split(d.text, chr(10))) as n_lines, len(string_split(d.text, chr(10))) - coalesce(c, 0) as n_dropped
 from documents d left join kept on d.doc_id = kept.doc_id""",
+    "op12_fill_in_middle": r"""with t as (select doc_id, coalesce(text, '') as text, sha256('42:' || doc_id::varchar) as h,
+  regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as u from documents),
+d as (select *, len(u) as n, ('0x' || h[1:8])::bigint % (len(u) + 1) as a, ('0x' || h[9:16])::bigint % (len(u) + 1) as b,
+  case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or ('0x' || h[17:24])::bigint % 100 >= 50 then 'plain'
+    when ('0x' || h[25:32])::bigint % 100 < 80 then 'spm' else 'psm' end as form from t),
+c as (select *, array_to_string(u[1:least(a, b)], '') as p, array_to_string(u[least(a, b)+1:greatest(a, b)], '') as m, array_to_string(u[greatest(a, b)+1:], '') as s from d)
+select doc_id, n::bigint as n, form, case when form <> 'plain' then length(p)::bigint end as prefix_chars, case when form <> 'plain' then length(m)::bigint end as middle_chars,
+  sha256(case form when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m when 'spm' then '<S>' || s || '<P>' || p || '<M>' || m else text end) as output_sha256,
+  sha256(text) as restored_sha256 from c""",
     "op9_exact_top_k": """with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
   where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 p as (select q.vec_id as query_id, c.vec_id, list_dot_product(q.e, c.e)::bigint as score from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0)
