@@ -110,7 +110,7 @@ def _near_by_fingerprint(nodes: DataFrame, radius: int) -> DataFrame:
     return same.unionByName(bits.join(left, "x").join(right, "y").select("a", "b"))
 
 
-def _compared(pairs: DataFrame, nodes: DataFrame, lean: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def compared(pairs: DataFrame, nodes: DataFrame, lean: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Those of ``pairs(a, b)`` whose whole sets are alike."""
     pairs = materialise(pairs)
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
@@ -119,16 +119,16 @@ def _compared(pairs: DataFrame, nodes: DataFrame, lean: DataFrame, shingle: int,
     return materialise(_verified(pairs, materialise(_sets(texts, shingle).dropDuplicates(["node"])), similarity))
 
 
-def _labels(links: DataFrame) -> DataFrame:
+def labels(links: DataFrame) -> DataFrame:
     return broadcast_if_small(materialise(connected_components(links)), F.lit(16))
 
 
 def similar_pairs(prints: DataFrame, lean: DataFrame, shingle: int, similarity: float, radius: int) -> DataFrame:
     """``a, b``: pairs that connect all distinct sets whose common shingles are ``similarity`` of their union or more."""
     nodes = materialise(prints.groupBy("node").agg(F.min("uid").alias("uid"), *(F.first(c).alias(c) for c in ("n", "fp", "sketch"))))
-    links = _compared(_near_by_fingerprint(nodes, radius), nodes, lean, shingle, similarity)
+    links = compared(_near_by_fingerprint(nodes, radius), nodes, lean, shingle, similarity)
     # What SimHash has joined is one group; from here on only pairs of different groups are looked for.
-    groups = _labels(links).withColumnRenamed("component", "group")
+    groups = labels(links).withColumnRenamed("component", "group")
     keyed = prints.select("node", "n", "prefix").join(groups, "node", "left").select("node", "n", F.coalesce("group", "node").alias("group"), F.explode("prefix").alias("key"))
     mixed = materialise(keyed.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key"))
     held = materialise(keyed.join(broadcast_if_small(mixed, F.lit(8)), "key").distinct())
@@ -149,12 +149,12 @@ def similar_pairs(prints: DataFrame, lean: DataFrame, shingle: int, similarity:
     # Each set with the nearest by sketch first; then only pairs that these links leave unconnected.
     closest = F.min(F.struct("apart", "a", "b")).alias("p")
     first = pairs.groupBy("a").agg(closest).select("p.a", "p.b").union(pairs.groupBy("b").agg(closest).select("p.a", "p.b")).distinct()
-    links = links.unionByName(_compared(first, nodes, lean, shingle, similarity))
-    heads = _labels(links)
+    links = links.unionByName(compared(first, nodes, lean, shingle, similarity))
+    heads = labels(links)
     left, right = (heads.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}")) for x in "ab")
     apart = F.coalesce("c_a", "a") != F.coalesce("c_b", "b")
     rest = pairs.join(left, "a", "left").join(right, "b", "left").where(apart).select("a", "b")
-    return links.unionByName(_compared(rest, nodes, lean, shingle, similarity))
+    return links.unionByName(compared(rest, nodes, lean, shingle, similarity))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
