@@ -147,37 +147,56 @@ def assignment_requests(requests: DataFrame, *, unit: str, at: str, order: list[
     return rows.join(first, unit, "left").select(*requests.columns, named.alias("verdict"))
 
 
+def event_faults(kinds: dict[str, str]) -> Column:
+    """Why an event is unsound whatever came before it, or null: it precedes its assignment, or its metric is not registered, or not binary though it must be."""
+    outcome = F.col("event_type") != "exposure"
+    kind = F.create_map(*(F.lit(x) for pair in kinds.items() for x in pair))[F.col("metric_name")]
+    return (
+        F.when(F.col("occurred_at") < F.col("assigned_at"), "before_assignment")
+        .when(outcome & kind.isNull(), "unknown_metric").when(outcome & (kind == "binary") & ~F.col("metric_value").isin(0.0, 1.0), "not_binary")
+    )
+
+
+def event_body(events: DataFrame) -> Column:
+    """A digest of all that makes two events of one key the same event; ``metadata``, a map, counts if there is such a column."""
+    more = [F.to_json(F.array_sort(F.map_entries("metadata")))] if "metadata" in events.columns else []
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("\x00"))
+    parts = [*(text(F.col(c)) for c in ("event_type", "metric_name", "metric_value", "occurred_at")), *map(text, more)]
+    return F.sha2(F.concat_ws("\x01", *parts), 256)
+
+
 def accepted_events(events: DataFrame, kinds: dict[str, str], *, order: list[str]) -> DataFrame:
     """``events`` with a ``verdict`` on each, in the order of their arrival within an assignment.
 
-    ``events`` has ``assignment_id, assigned_at, event_key, event_type`` (exposure or outcome), ``metric_name, metric_value, occurred_at``.
-    An event key that was accepted before is a ``duplicate`` if all of its event is the same, else a ``conflict``; an event that was refused
-    leaves its key free. Then an event must not precede its assignment, an outcome needs a registered metric
-    (``kinds`` by name), 0 or 1 if that is binary, an accepted exposure before it and none of its metric before; one exposure counts.
+    ``events`` has ``assignment_id, assigned_at, event_key, event_type`` (exposure or outcome), ``metric_name, metric_value, occurred_at`` and
+    perhaps ``metadata`` (a map). An event key that was accepted before is a ``duplicate`` if all of its event is the same, else a ``conflict``. Then an
+    event must not precede its assignment, an outcome needs a registered metric (``kinds`` by name), 0 or 1 if that is binary, an accepted
+    exposure before it and none of its metric before; one exposure counts. An event that is refused leaves its key and its metric free.
+
+    What is accepted is settled in order from few candidates: an assignment's first sound exposure, and of each metric the first sound event after it
+    for each key, of which as many keys as there are metrics are enough, since each other metric takes one key at most. So an
+    assignment may hold any share of all events: minima are taken before the exchange, and the fold runs over a bounded list.
     """
     exposure = F.col("event_type") == "exposure"
-    kind = F.create_map(*(F.lit(x) for pair in kinds.items() for x in pair))[F.col("metric_name")]
-    wrong = (
-        F.when(F.col("occurred_at") < F.col("assigned_at"), "before_assignment")
-        .when(~exposure & kind.isNull(), "unknown_metric").when(~exposure & (kind == "binary") & ~F.col("metric_value").isin(0.0, 1.0), "not_binary")
-    )
-    body = F.xxhash64("event_type", "metric_name", "metric_value", "occurred_at")
-    rows = events.withColumn("_at", F.struct(*order)).withColumn("_wrong", wrong).withColumn("_body", body)
-    # What is accepted: of an assignment, its first sound exposure, and each metric's first sound outcome after that one whose key is not taken.
-    first = rows.where(exposure & F.col("_wrong").isNull()).groupBy("assignment_id").agg(F.min("_at").alias("_seen"), F.min_by("event_key", "_at").alias("_seen_key"))
+    rows = events.withColumns({"_at": F.struct(*order), "_wrong": event_faults(kinds), "_body": event_body(events)})
+    first = rows.where(exposure & F.col("_wrong").isNull()).groupBy("assignment_id").agg(
+        F.min("_at").alias("_seen"), F.min_by(F.struct(F.col("event_key").alias("key"), F.col("_body").alias("body")), "_at").alias("_exposure")
+    )
     rows = rows.join(first, "assignment_id", "left")
     after = F.coalesce(F.col("_at") > F.col("_seen"), F.lit(False))
-    able = ~exposure & F.col("_wrong").isNull() & after & (F.col("event_key") != F.col("_seen_key"))
-    # A key that several metrics bring first belongs to the earliest of them; keys are unique to a metric unless senders break the rule.
-    best = rows.where(able).groupBy("assignment_id", "metric_name").agg(F.min("_at").alias("_best"))
-    rows = rows.join(best, ["assignment_id", "metric_name"], "left")
-    taken = F.coalesce((F.col("_at") == F.col("_seen")) | (able & (F.col("_at") == F.col("_best"))), F.lit(False))
-    rows = rows.withColumn("_taken", taken)
-    keys = rows.where("_taken").groupBy("assignment_id", "event_key").agg(F.min("_at").alias("_key_at"), F.min_by("_body", "_at").alias("_key_body"))
+    able = rows.where(~exposure & F.col("_wrong").isNull() & after & (F.col("event_key") != F.col("_exposure.key")))
+    each = able.groupBy("assignment_id", "metric_name", "event_key").agg(F.min("_at").alias("at"), F.min_by("_body", "_at").alias("body"))
+    place = F.row_number().over(Window.partitionBy("assignment_id", "metric_name").orderBy("at"))
+    few = each.withColumn("_place", place).where(F.col("_place") <= len(kinds))
+    candidates = few.groupBy("assignment_id").agg(F.array_sort(F.collect_list(F.struct("at", F.col("metric_name").alias("metric"), F.col("event_key").alias("key"), "body"))).alias("c"))
+    clash = lambda taken, x: F.exists(taken, lambda t: (t["metric"] == x["metric"]) | (t["key"] == x["key"]))
+    taken = F.aggregate("c", F.slice("c", 1, 0), lambda taken, x: F.when(clash(taken, x), taken).otherwise(F.array_append(taken, x)))
+    outcomes = candidates.select("assignment_id", F.explode(taken).alias("t")).select("assignment_id", F.col("t.key").alias("event_key"), F.col("t.at").alias("_key_at"), F.col("t.body").alias("_key_body"))
+    keys = outcomes.unionByName(first.select("assignment_id", F.col("_exposure.key").alias("event_key"), F.col("_seen").alias("_key_at"), F.col("_exposure.body").alias("_key_body")))
     late = F.coalesce(F.col("_at") > F.col("_key_at"), F.lit(False))
     verdict = (
         F.when(late, F.when(F.col("_body") == F.col("_key_body"), "duplicate").otherwise("conflict"))
-        .when(F.col("_wrong").isNotNull(), F.col("_wrong")).when(F.col("_taken"), "accepted")
+        .when(F.col("_wrong").isNotNull(), F.col("_wrong")).when(F.coalesce(F.col("_at") == F.col("_key_at"), F.lit(False)), "accepted")
         .when(exposure, "repeated_exposure").when(~after, "before_exposure").otherwise("repeated_outcome")
     )
     return rows.join(keys, ["assignment_id", "event_key"], "left").select(*events.columns, verdict.alias("verdict"))

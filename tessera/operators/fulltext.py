@@ -28,18 +28,25 @@ def _lexemes(words: pd.Series) -> pd.Series:
     return words.map(lexeme, na_action="ignore")
 
 
-def postings(df: DataFrame, *, id_col: str, text: str, stems: Sequence[str] | None = None) -> DataFrame:
+def postings(df: DataFrame, *, id_col: str, text: str, stems: Sequence[str] | None = None, english: bool = True) -> DataFrame:
     """``id_col, lexeme, positions``: the stems of each text with their word positions from 1; all, or those of ``stems``.
 
-    Stop words are left out but count for positions, which have no bound. A null or empty text has no rows. Words that
-    cannot have one of ``stems`` are dropped by built-in functions (a stem starts as its word does); only the rest are stemmed.
+    Stop words are left out but count for positions, which have no bound. A null or empty text has no rows. Distinct words are
+    stemmed once and joined; with ``stems``, only those that can have one of them (a stem starts as its word does). Without
+    ``english``, every word is kept as it is, in lower case.
     """
-    placed = df.select(id_col, F.posexplode(_words(F.col(text))).alias("at", "word")).where(~F.col("word").isin(sorted(STOP_WORDS)))
-    if stems is not None:
-        placed = placed.where(F.substring("word", 1, 1).isin(sorted({s[0] for s in stems})))
-    useful = placed.withColumn("lexeme", F.pandas_udf(_lexemes, "string")("word"))
-    if stems is not None:
-        useful = useful.where(F.col("lexeme").isin(sorted(stems)))
+    placed = df.select(id_col, F.posexplode(_words(F.col(text))).alias("at", "word"))
+    if english:
+        placed = placed.where(~F.col("word").isin(sorted(STOP_WORDS)))
+        if stems is not None:
+            placed = placed.where(F.substring("word", 1, 1).isin(sorted({s[0] for s in stems})))
+        known = placed.select("word").distinct().withColumn("lexeme", F.pandas_udf(_lexemes, "string")("word")).where("lexeme is not null")
+        if stems is not None:
+            known = known.where(F.col("lexeme").isin(sorted(stems)))
+        useful = placed.join(known, "word")
+    else:
+        useful = placed.withColumnRenamed("word", "lexeme")
+        useful = useful if stems is None else useful.where(F.col("lexeme").isin(sorted(stems)))
     return useful.groupBy(id_col, "lexeme").agg(F.array_sort(F.collect_set(F.col("at") + 1)).alias("positions"))
 
 
@@ -80,21 +87,28 @@ def _rank(events: Column, alternatives: list[tuple[Column, list[int]]], n_terms:
 
 
 def fulltext_scores(df: DataFrame, query: Sequence[Sequence[Term | None]], *, id_col: str, text: str) -> DataFrame:
+    """``scores_of`` the texts of ``df``, without an index: every text is read, and the postings of the query's stems are made."""
+    stems = sorted({s for terms in query for t in terms if t for s in t.stems})
+    if not stems:
+        return df.select(id_col, F.lit(0.0).alias("score")).where("false")
+    return scores_of(postings(df, id_col=id_col, text=text, stems=stems), query, id_col=id_col, every=df.where(F.col(text).isNotNull()).select(id_col))
+
+
+def scores_of(found: DataFrame, query: Sequence[Sequence[Term | None]], *, id_col: str, every: DataFrame | None = None) -> DataFrame:
     """``id_col, score`` of the texts in which an alternative of ``query`` holds: all its terms occur, and none of the negated ones.
 
-    The rank is the cover density of the alternatives that hold. It comes from the postings of the query's stems,
-    gathered by ``id_col``, which names a text; negated terms decide the match and take no part in the rank. A query without terms matches none,
-    one of negated terms alone has rank 0; a null text never matches.
+    ``found(id_col, lexeme, positions)`` holds the postings of the query's stems, gathered by ``id_col``, which names a text. The rank is the cover
+    density of the alternatives that hold; negated terms decide the match and take no part in it. A query without terms matches none,
+    one of negated terms alone has rank 0 and needs ``every`` id; a null text never matches.
     """
     plan = [kept for terms in query if (kept := [t for t in terms if t])]
     if not plan:
-        return df.select(id_col, F.lit(0.0).alias("score")).where("false")
+        return found.select(id_col, F.lit(0.0).alias("score")).where("false")
     terms = sorted({(t.stems, t.offsets) for alternative in plan for t in alternative})
     index = {t: i for i, t in enumerate(terms)}
-    stems = sorted({s for names, _ in terms for s in names})
-    found = postings(df, id_col=id_col, text=text, stems=stems).groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("lexeme", "positions"))).alias("_at"))
+    found = found.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("lexeme", "positions"))).alias("_at"))
     if any(all(t.negated for t in alternative) for alternative in plan):
-        found = df.where(F.col(text).isNotNull()).select(id_col).join(found, id_col, "left")
+        found = every.join(found, id_col, "left")
     at = lambda stem: F.coalesce(F.try_element_at("_at", F.lit(stem)), F.array().cast("array<int>"))
 
     def spans(names: tuple[str, ...], offsets: tuple[int, ...]) -> Column:

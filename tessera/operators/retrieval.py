@@ -5,13 +5,12 @@ from __future__ import annotations
 import datetime
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.fulltext import Term, fulltext_scores
+from tessera.operators.fulltext import Term
+from tessera.operators.textindex import TextIndex, ranked
 
 MISSING_RANK = 201
 
@@ -52,26 +51,17 @@ def _ranked(df: DataFrame, id_col: str, limit: int) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), id_col)))
 
 
-def _occurrences(words: Column, term: str) -> Column:
-    return F.size(F.filter(words, lambda w: w == term))
+def keyword_channel(index: TextIndex, terms: list[str], *, allowed: DataFrame, id_col: str, limit: int) -> DataFrame:
+    """Documents of ``allowed(id)`` that hold all terms (lower case, whole words), by number of occurrences."""
+    if index.english:
+        raise ValueError("whole words need an index of whole words")
+    found = index.search([[Term((t,)) for t in terms]], limit=limit, allowed=allowed, count=True)
+    return ranked(found, id_col)
 
 
-def keyword_channel(df: DataFrame, terms: list[str], *, id_col: str, text: str, limit: int) -> DataFrame:
-    """Rows that hold all terms (lower case, whole words), by number of occurrences."""
-    # A plain search of the text drops most rows before their words are split.
-    df = df.where(reduce(and_, (F.contains(F.lower(text), F.lit(t)) for t in terms), F.lit(True)))
-    words = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
-    counts = [_occurrences(F.col("_w"), t) for t in terms]
-    scored = df.withColumn("_w", words).select(id_col, *(c.alias(f"_c{i}") for i, c in enumerate(counts)))
-    for i in range(len(terms)):
-        scored = scored.where(F.col(f"_c{i}") > 0)
-    total = sum((F.col(f"_c{i}") for i in range(len(terms))), F.lit(0))
-    return _ranked(scored.select(id_col, total.cast("double").alias("score")), id_col, limit)
-
-
-def fulltext_channel(df: DataFrame, query: Sequence[Sequence[Term | None]], *, id_col: str, text: str, limit: int) -> DataFrame:
-    """Rows in which an alternative of a query over English stems holds, by cover density."""
-    return _ranked(fulltext_scores(df, query, id_col=id_col, text=text), id_col, limit)
+def fulltext_channel(index: TextIndex, query: Sequence[Sequence[Term | None]], *, allowed: DataFrame, id_col: str, limit: int) -> DataFrame:
+    """Documents of ``allowed(id)`` in which an alternative of a query over English stems holds, by cover density."""
+    return ranked(index.search(query, limit=limit, allowed=allowed), id_col)
 
 
 def semantic_channel(df: DataFrame, query: DataFrame, *, id_col: str, model: str, limit: int) -> DataFrame:

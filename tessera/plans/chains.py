@@ -220,19 +220,19 @@ def assignment_requests(d: Domain) -> DataFrame:
 
 _SENT = """select user_id as assignment_id, event_id, ts, delivery, case event_type when 'view' then 'exposure' else 'outcome' end as kind, case event_type when 'purchase' then 'converted' when 'error' then 'failed' when 'click' then 'click_value' when 'signup' then 'signed' end as metric,
     case event_type when 'purchase' then case when event_id % 10 = 0 then 0.5 else 1.0 end when 'error' then 1.0 when 'view' then null else value end::double as metric_value,
-    event_type || ':' || (event_id % 4)::varchar as event_key, first_ts + case when user_id % 3 = 0 then interval 6 hour else interval 0 hour end as assigned_at
+    case when event_id % 5 = 0 then 'any' else event_type end || ':' || (event_id % 4)::varchar as event_key, first_ts + case when user_id % 3 = 0 then interval 6 hour else interval 0 hour end as assigned_at
     from events join (select user_id, min(ts) as first_ts from events group by user_id) using (user_id), (select unnest([0, 1]) as delivery) where delivery = 0 or event_id % 6 = 0"""
 
 
-@query(f"""with sent as ({_SENT}), w as (select *, case when ts < assigned_at then 'before_assignment' when kind = 'outcome' and metric = 'signed' then 'unknown_metric' when metric in ('converted', 'failed') and metric_value not in (0, 1) then 'not_binary' end as wrong,
-      row_number() over (partition by assignment_id order by ts, event_id, delivery) as o from sent),
-    x as (select *, min(case when kind = 'exposure' and wrong is null then o end) over (partition by assignment_id) as seen from w),
-    y as (select *, min(case when kind = 'outcome' and wrong is null and o > seen then o end) over (partition by assignment_id, metric) as best from x),
-    z as (select *, coalesce(o = seen or (kind = 'outcome' and wrong is null and o = best), false) as taken from y),
-    k as (select *, min(case when taken then o end) over (partition by assignment_id, event_key) as owner from z)
-    select k.event_id, k.delivery, case when k.o > k.owner then case when t.kind = k.kind and t.metric is not distinct from k.metric and t.metric_value is not distinct from k.metric_value and t.ts = k.ts then 'duplicate' else 'conflict' end
-      when k.wrong is not null then k.wrong when k.taken then 'accepted' when k.kind = 'exposure' then 'repeated_exposure' when k.seen is null or k.o < k.seen then 'before_exposure' else 'repeated_outcome' end as verdict
-    from k left join z t on t.assignment_id = k.assignment_id and t.o = k.owner""")
+@query(f"""with recursive sent as ({_SENT}), w as (select *, case when ts < assigned_at then 'before_assignment' when kind = 'outcome' and metric = 'signed' then 'unknown_metric' when metric in ('converted', 'failed') and metric_value not in (0, 1) then 'not_binary' end as wrong,
+      concat_ws('|', kind, coalesce(metric, '-'), coalesce(metric_value::varchar, '-'), ts::varchar) as body, row_number() over (partition by assignment_id order by ts, event_id, delivery) as o from sent),
+    f as (select distinct assignment_id, 0::bigint as o, null::bigint as event_id, null::int as delivery, ''::varchar as verdict, []::varchar[] as keys, []::varchar[] as bodies, []::varchar[] as metrics from w
+      union all select assignment_id, o, event_id, delivery, verdict, case when verdict = 'accepted' then list_append(keys, event_key) else keys end, case when verdict = 'accepted' then list_append(bodies, body) else bodies end,
+        case when verdict = 'accepted' then list_append(metrics, coalesce(metric, 'exposure')) else metrics end from (
+        select w.*, keys, bodies, metrics, case when list_contains(keys, event_key) then case when bodies[list_position(keys, event_key)] = body then 'duplicate' else 'conflict' end when wrong is not null then wrong
+          when kind = 'exposure' then case when list_contains(metrics, 'exposure') then 'repeated_exposure' else 'accepted' end when not list_contains(metrics, 'exposure') then 'before_exposure'
+          when list_contains(metrics, metric) then 'repeated_outcome' else 'accepted' end as verdict from f join w on w.assignment_id = f.assignment_id and w.o = f.o + 1))
+    select event_id, delivery, verdict from f where o > 0""")
 def event_ingest(d: Domain) -> DataFrame:
     """Telemetry as it arrives, some of it twice: accepted, duplicate, conflict, or why it is refused."""
     events = d.raw("events")
@@ -244,7 +244,7 @@ def event_ingest(d: Domain) -> DataFrame:
     sent = events.join(first, "user_id").select(
         F.col("user_id").alias("assignment_id"), "event_id", F.col("ts").alias("occurred_at"), F.explode(F.when(n % 6 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("delivery"),
         F.when(kind == "view", "exposure").otherwise("outcome").alias("event_type"), F.create_map(*(F.lit(x) for p in names.items() for x in p))[kind].alias("metric_name"),
-        value.alias("metric_value"), F.concat(kind, F.lit(":"), (n % 4).cast("string")).alias("event_key"), (F.col("first_ts") + wait).alias("assigned_at"),
+        value.alias("metric_value"), F.concat(F.when(n % 5 == 0, "any").otherwise(kind), F.lit(":"), (n % 4).cast("string")).alias("event_key"), (F.col("first_ts") + wait).alias("assigned_at"),
     )
     found = experiments.accepted_events(sent, registry.METRICS, order=["occurred_at", "event_id", "delivery"])
     return found.select("event_id", "delivery", "verdict")

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import identity
-from tessera.operators import answers, documents, evaluation, experiments, retrieval, store
+from tessera.functions.storage import kept
+from tessera.operators import answers, documents, evaluation, experiments, retrieval, store, textindex
 from tessera.plans.views import retrieval_sql, with_views
 from tessera.sources.adapters import Domain
 
@@ -283,12 +284,21 @@ _SEMANTIC = """select doc_id, score, row_number() over (order by score desc, doc
     from vectors v join filtered using (doc_id) where embedding_model = 'model-0') order by score desc, doc_id limit 50"""
 
 
-def _channels(d: Domain) -> tuple[DataFrame, DataFrame]:
-    base = FILTERS.apply(d.sections())
+def text_index(d: Domain, *, english: bool) -> textindex.TextIndex:
+    """The stored index of all documents, built by the first query that needs it."""
+    build = lambda folder: textindex.build(d.raw("documents"), folder, id_col="doc_id", text="text", english=english)
+    return textindex.TextIndex(d.spark, kept(d.spark, "stems" if english else "words", f"{d.folder}/documents.parquet", build))
+
+
+def _words(d: Domain) -> DataFrame:
+    allowed = FILTERS.apply(d.sections()).select(F.col("doc_id").alias("id"))
+    return retrieval.keyword_channel(text_index(d, english=False), TERMS, allowed=allowed, id_col="doc_id", limit=50)
+
+
+def near_filtered(d: Domain) -> DataFrame:
     probe = d.vectors().where("doc_id = 0").select(F.col("embedding").alias("q"))
-    words = retrieval.keyword_channel(base, TERMS, id_col="doc_id", text="content", limit=50)
-    near = retrieval.semantic_channel(base.join(d.vectors(), "doc_id"), probe, id_col="doc_id", model="model-0", limit=50)
-    return words, near
+    filtered = FILTERS.apply(d.sections()).select("doc_id")
+    return retrieval.semantic_channel(filtered.join(d.vectors(), "doc_id"), probe, id_col="doc_id", model="model-0", limit=50)
 
 
 @query(with_views("select doc_id, accession_number, form_type, filing_date, section_name from filtered", "sections", filtered=_FILTERED))
@@ -298,12 +308,12 @@ def filing_metadata_filter(d: Domain) -> DataFrame:
 
 @query(with_views(f"select doc_id, rank, {sql_fixed('score')} as score from ({_KEYWORD})", "sections", filtered=_FILTERED))
 def keyword_search(d: Domain) -> DataFrame:
-    return _channels(d)[0].select("doc_id", "rank", fixed(F.col("score")).alias("score"))
+    return _words(d).select("doc_id", "rank", fixed(F.col("score")).alias("score"))
 
 
 @query(with_views(f"select doc_id, rank, {sql_fixed('score')} as score from ({_SEMANTIC})", "sections", "vectors", filtered=_FILTERED))
 def semantic_search(d: Domain) -> DataFrame:
-    return _channels(d)[1].select("doc_id", "rank", fixed(F.col("score")).alias("score"))
+    return near_filtered(d).select("doc_id", "rank", fixed(F.col("score")).alias("score"))
 
 
 _FUSED = """select doc_id, coalesce(1.0::double / (60 + k.rank), 0) + coalesce(1.0::double / (60 + s.rank), 0) as score, k.rank as keyword_rank, s.rank as semantic_rank,
@@ -313,14 +323,14 @@ _FUSED = """select doc_id, coalesce(1.0::double / (60 + k.rank), 0) + coalesce(1
 
 @query(with_views(f"select doc_id, {sql_fixed('score', 9)} as score, keyword_rank, semantic_rank, matched_by from ({_FUSED})", "sections", "vectors", filtered=_FILTERED, keyword=_KEYWORD, semantic=_SEMANTIC))
 def rrf_fusion(d: Domain) -> DataFrame:
-    fused = retrieval.fuse(*_channels(d), id_col="doc_id")
+    fused = retrieval.fuse(_words(d), near_filtered(d), id_col="doc_id")
     return fused.select("doc_id", fixed(F.col("score"), 9).alias("score"), "keyword_rank", "semantic_rank", "matched_by")
 
 
 @query(with_views(f"select f.doc_id, {sql_fixed('f.score', 9)} as score, matched_by, accession_number, form_type, filing_date, section_name, sha256(content) as content_hash from ({_FUSED}) f join sections using (doc_id)", "sections", "vectors", filtered=_FILTERED, keyword=_KEYWORD, semantic=_SEMANTIC))
 def hybrid_search(d: Domain) -> DataFrame:
     """Both channels under shared filters, fused, with the citation of each result."""
-    fused = retrieval.fuse(*_channels(d), id_col="doc_id")
+    fused = retrieval.fuse(_words(d), near_filtered(d), id_col="doc_id")
     cited = d.sections().join(F.broadcast(fused), "doc_id")
     return cited.select("doc_id", fixed(F.col("score"), 9).alias("score"), "matched_by", "accession_number", "form_type", "filing_date", "section_name", F.sha2("content", 256).alias("content_hash"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.embedding import hashed_embedding
-from tessera.operators import documents, fulltext, retrieval, store
+from tessera.operators import documents, retrieval, store
 from tessera.operators.fulltext import term
 from tessera.plans import registry
 from tessera.plans.registry import query
@@ -23,13 +23,23 @@ RUN_LIMIT = 10_000
 
 @query()
 def fulltext_postings(d: Domain) -> DataFrame:
-    """Stems of all documents with their positions."""
-    return fulltext.postings(d.raw("documents"), id_col="doc_id", text="text")
+    """Stems of all documents with their positions, from the stored index."""
+    rows = registry.text_index(d, english=True).postings()
+    return rows.select("lexeme", F.explode("entries").alias("e")).select(F.col("e.id").alias("doc_id"), "lexeme", "e.positions")
+
+
+@query("""select word as lexeme, count(*) as n_docs, sum(n)::bigint as n_occurrences, max(n)::int as most from (select doc_id, word, count(*) as n
+    from (select doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as word from documents) group by all) group by word""")
+def word_index_counts(d: Domain) -> DataFrame:
+    """For each word of the stored index: the documents that hold it, its occurrences, and the most in one document, from the rows of its blocks."""
+    rows = registry.text_index(d, english=False).postings()
+    occurrences = F.aggregate("entries", F.lit(0), lambda n, e: n + F.size(e["positions"]))
+    return rows.groupBy("lexeme").agg(F.sum("n_docs").alias("n_docs"), F.sum(occurrences).alias("n_occurrences"), F.max("most").alias("most"))
 
 
 def _english(d: Domain) -> tuple[DataFrame, DataFrame]:
-    base = registry.FILTERS.apply(d.sections())
-    return retrieval.fulltext_channel(base, TEXT_QUERY, id_col="doc_id", text="content", limit=50), registry._channels(d)[1]
+    allowed = registry.FILTERS.apply(d.sections()).select(F.col("doc_id").alias("id"))
+    return retrieval.fulltext_channel(registry.text_index(d, english=True), TEXT_QUERY, allowed=allowed, id_col="doc_id", limit=50), registry.near_filtered(d)
 
 
 @query()

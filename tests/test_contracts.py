@@ -3,6 +3,7 @@
 import datetime
 import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,6 +95,66 @@ def test_events_as_they_arrive(spark):
     assert [r.verdict for r in found] == [r.wanted for r in found]
 
 
+def test_a_key_in_conflict_leaves_its_metric_free(spark):
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(1, "e", "exposure", None, None), (2, "K", "outcome", "a", 1.0), (3, "K", "outcome", "b", 1.0), (4, "K2", "outcome", "b", 1.0)]
+    df = spark.createDataFrame([(1, at, n, k, t, m, v, at) for n, k, t, m, v in rows], "assignment_id long, assigned_at timestamp, n int, event_key string, event_type string, metric_name string, metric_value double, occurred_at timestamp")
+    found = experiments.accepted_events(df, {"a": "binary", "b": "binary"}, order=["n"]).orderBy("n").collect()
+    assert [r.verdict for r in found] == ["accepted", "accepted", "conflict", "accepted"]
+
+
+def looped(rows, kinds):
+    """Verdicts on (assignment, n, key, type, metric, value, occurred, assigned, metadata), one by one."""
+    taken, out = {}, {}
+    for r in sorted(rows, key=lambda r: (r[0], r[1])):
+        a, n, key, kind, metric, value, occurred, assigned, more = r
+        have = taken.setdefault(a, {})
+        what, metrics = (kind, metric, value, occurred, tuple(sorted(more.items()))), {x[1] for x in have.values()}
+        if key in have:
+            out[a, n] = "duplicate" if have[key] == what else "conflict"
+        elif occurred < assigned:
+            out[a, n] = "before_assignment"
+        elif kind == "outcome" and metric not in kinds:
+            out[a, n] = "unknown_metric"
+        elif kind == "outcome" and kinds[metric] == "binary" and value not in (0.0, 1.0):
+            out[a, n] = "not_binary"
+        elif kind == "exposure" and None in metrics:
+            out[a, n] = "repeated_exposure"
+        elif kind == "outcome" and None not in metrics:
+            out[a, n] = "before_exposure"
+        elif metric in metrics:
+            out[a, n] = "repeated_outcome"
+        else:
+            have[key], out[a, n] = what, "accepted"
+    return out
+
+
+KINDS = {"a": "binary", "b": "binary", "c": "continuous"}
+EVENTS = "assignment_id long, n long, event_key string, event_type string, metric_name string, metric_value double, occurred_at timestamp, assigned_at timestamp, metadata map<string,string>"
+
+
+def event_log(rng, n):
+    """Events whose keys are often used again, for the same or for another metric, and are often sent twice."""
+    rows = []
+    for i in range(n):
+        if rows and rng.random() < 0.2:
+            old = rng.choice(rows)
+            rows.append((old[0], i, *old[2:]))
+            continue
+        kind, metric = ("exposure", None) if rng.random() < 0.25 else ("outcome", rng.choice("abcz"))
+        value = None if metric is None else rng.choice([0.0, 1.0, 0.5])
+        day = datetime.datetime(2024, 1, rng.randint(1, 5))
+        rows.append((rng.randint(1, n // 25), i, f"k{rng.randint(0, 6)}", kind, metric, value, day, datetime.datetime(2024, 1, 2), {"m": str(rng.randint(0, 1))}))
+    return rows
+
+
+def test_verdicts_are_those_of_a_plain_loop(spark):
+    rows = event_log(random.Random(6), 3000)
+    found = experiments.accepted_events(spark.createDataFrame(rows, EVENTS), KINDS, order=["n"]).collect()
+    wanted = looped(rows, KINDS)
+    assert {(r.assignment_id, r.n): r.verdict for r in found} == wanted and len(found) == len(rows) and len(set(wanted.values())) == 9
+
+
 def test_effects_follow_directions(spark):
     rows = spark.createDataFrame([("a", 0.3), ("b", 0.3), ("c", -0.3)], "metric string, delta double")
     ways = {"a": "higher_is_better", "b": "lower_is_better", "c": "lower_is_better"}
