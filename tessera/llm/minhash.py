@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import broadcast_if_small, col, materialise
 from tessera.llm.graph import connected_components
-from tessera.llm.shingles import compared, labels, shingle_set
+from tessera.llm.shingles import compared, labels, shingle_set, sketch
 
 #: Shingles hashed at a time, members compared at a time.
 _PIECE, _ROWS = 1024, 64
@@ -54,25 +54,26 @@ def least_matches(n: int, similarity: float, deviations: float = 5.1) -> int:
 
 
 def _signatures(lean: DataFrame, shingle: int, bands: int, rows: int, seed: int) -> DataFrame:
-    """``doc_id, uid, node, n, sig, bands``: a text's set by digest, its size, its signature and band keys (none without words)."""
+    """``doc_id, uid, node, n, sig, sketch, bands``: a text's set by digest, its size, its signature, its sketch and band keys (none without words)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = MinHasher(bands, rows, seed)
         for batch in batches:
-            nodes, sizes, signatures, keys = [], [], [], [np.zeros(0, "int64")]
+            nodes, sizes, signatures, sketches, keys = [], [], [], [], [np.zeros(0, "int64")]
             for raw in batch.column(2):
                 found = shingle_set(raw.as_py() or b"", shingle)
                 signature = hasher.signature(found)
                 nodes.append(xxhash.xxh64_intdigest(found.tobytes(), len(found)))
                 sizes.append(len(found))
                 signatures.append(signature.tobytes())
+                sketches.append(sketch(found).tobytes())
                 keys.append(hasher.keys(signature) if len(found) else keys[0])
             ends = np.cumsum([len(x) for x in keys]).astype("int32")
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))
-            columns = [batch.column(0), batch.column(1), pa.array(np.array(nodes, "uint64").view("int64")), pa.array(sizes, pa.int64()), pa.array(signatures, pa.binary()), lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "uid", "node", "n", "sig", "bands"])
+            columns = [pa.array(np.array(nodes, "uint64").view("int64")), pa.array(sizes, pa.int64()), pa.array(signatures, pa.binary()), pa.array(sketches, pa.binary()), lists]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["doc_id", "uid", "node", "n", "sig", "sketch", "bands"])
 
-    return lean.mapInArrow(read, "doc_id long, uid long, node long, n long, sig binary, bands array<long>")
+    return lean.mapInArrow(read, "doc_id long, uid long, node long, n long, sig binary, sketch binary, bands array<long>")
 
 
 def _promising(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
@@ -90,38 +91,46 @@ def _promising(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
 
 
 def _to_heads(held: DataFrame) -> DataFrame:
-    """``a, b``: each member of a bucket with the bucket's least one, each pair once."""
-    heads = held.groupBy("key").agg(F.min("node").alias("head"))
-    return held.join(heads, "key").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    """``a, b``: each member of a bucket with the bucket's head, each pair once.
 
-
-def _mixed(members: DataFrame) -> DataFrame:
-    """``members(key, node, group)`` of buckets in which two groups meet, with ``size``, the members of the bucket."""
-    found = members.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count(F.lit(1)).alias("size"))
-    found = materialise(found.where("low < high").select("key", "size"))
-    return members.join(broadcast_if_small(found, F.lit(8)), "key")
+    The head is the member that meets most others over all its buckets. The text that others were copied from shares more bands with its copies than
+    they do with each other, so it is the head wherever it is.
+    """
+    met = held.groupBy("node").agg(F.sum("size").alias("met"))
+    heads = held.join(met, "node").groupBy("key").agg(F.max(F.struct("met", "node"))["node"].alias("head"))
+    pairs = held.join(heads, "key").where("node <> head")
+    return pairs.select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct()
 
 
-def _across(held: DataFrame, nodes: DataFrame, groups: DataFrame, least: int, unit: int, nearest: bool) -> DataFrame:
-    """``a, b``: pairs of different groups that share a bucket and agree in ``least`` places; of each member the nearest alone, if asked.
+def _units(held: DataFrame, groups: DataFrame, unit: int) -> DataFrame:
+    """``key, i, j, left, right, stray, node, group``: members of buckets in which groups meet, dealt for comparison.
 
-    A bucket of more than ``unit`` members is split by the members' further bands: two sets of the similarity sought
-    that share one band share a second (all but about one pair in a billion). What is still larger is cut
-    into chunks by hash, and the chunks meet in pairs, so that a task holds two chunks at most.
+    Members outside a bucket's largest group are its strays; every pair of groups has a stray. Strays and members are cut by hash into chunks of about ``unit``, and
+    each chunk of strays (left) meets each chunk of members (right), so pairs inside the largest group cost nothing.
     """
     named = held.join(groups.withColumnRenamed("component", "group"), "node", "left").select("key", "node", F.coalesce("group", "node").alias("group"))
-    members = materialise(_mixed(named))
-    hot = members.where(F.col("size") > unit)
-    if not hot.isEmpty():
-        finer = hot.join(nodes.select("node", "bands"), "node").select("key", "node", "group", F.explode("bands").alias("other")).where("other <> key")
-        finer = _mixed(finer.select(F.xxhash64("key", "other").alias("key"), "node", "group"))
-        members = materialise(members.where(F.col("size") <= unit).unionByName(finer))
-    chunks = F.ceil(F.col("size") / unit).cast("int")
-    own = F.pmod(F.xxhash64("node"), chunks).cast("int")
-    units = members.select("key", "node", "group", own.alias("own"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
-    units = units.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "group")
+    sizes = named.groupBy("key", "group").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
+        F.sum("n").alias("all"), F.max(F.struct("n", "group")).alias("largest"), F.count(F.lit(1)).alias("groups")
+    )
+    mixed = sizes.where("groups > 1").select("key", F.col("largest.group").alias("major"), F.ceil(F.col("all") / unit).cast("int").alias("rights"), F.ceil((F.col("all") - F.col("largest.n")) / unit).cast("int").alias("lefts"))
+    members = named.join(broadcast_if_small(materialise(mixed), F.lit(24)), "key").withColumn("stray", F.col("group") != F.col("major"))
+    piece = lambda i, j, left, right: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), left.alias("left"), right.alias("right"))
+    yes, no, zero = F.lit(True), F.lit(False), F.lit(0)
+    own = lambda chunks: F.pmod(F.xxhash64("node"), F.col(chunks))
+    as_right = F.transform(F.sequence(zero, F.col("lefts") - 1), lambda i: piece(i, own("rights"), no, yes))
+    as_left = F.transform(F.sequence(zero, F.col("rights") - 1), lambda j: piece(own("lefts"), j, yes, no))
+    pieces = F.when((F.col("rights") == 1), F.array(piece(zero, zero, F.col("stray"), yes))).when(F.col("stray"), F.concat(as_right, as_left)).otherwise(as_right)
+    return members.select("key", F.explode(pieces).alias("p"), "stray", "node", "group").select("key", "p.*", "stray", "node", "group")
+
+
+def _across(held: DataFrame, nodes: DataFrame, groups: DataFrame, least: int, similarity: float, unit: int, nearest: bool) -> DataFrame:
+    """``a, b``: pairs of different groups that share a bucket and whose signatures, sizes and sketches allow the similarity.
+
+    Of each stray the nearest alone, if asked. A task holds one chunk of strays and one of members.
+    """
     by = ["key", "i", "j"]
-    dealt = units.join(nodes.select("node", "sig"), "node").select(*by, "own", "node", "group", "sig").repartition(*by).sortWithinPartitions(*by, "own", "node")
+    units = _units(held, groups, unit).join(nodes.select("node", "n", "sig", "sketch"), "node")
+    dealt = units.select(*by, "left", "right", "stray", "node", "group", "n", "sig", "sketch").repartition(*by).sortWithinPartitions(*by, "node")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pd.DataFrame | None = None
@@ -129,41 +138,48 @@ def _across(held: DataFrame, nodes: DataFrame, groups: DataFrame, least: int, un
             pdf = batch.to_pandas()
             pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
             cuts = np.flatnonzero(np.logical_or.reduce([pdf[c].to_numpy()[1:] != pdf[c].to_numpy()[:-1] for c in by])) + 1
+            a, b = [], []
             for start, end in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=False):
-                yield _unit_pairs(pdf.iloc[start:end], least, nearest)
+                _unit_pairs(pdf.iloc[start:end], least, similarity, nearest, a, b)
             rest = pdf.iloc[cuts[-1] :] if len(cuts) else pdf
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        a, b = [], []
         if rest is not None and len(rest):
-            yield _unit_pairs(rest, least, nearest)
+            _unit_pairs(rest, least, similarity, nearest, a, b)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return dealt.mapInArrow(search, "a long, b long").distinct()
 
 
-def _unit_pairs(pdf: pd.DataFrame, least: int, nearest: bool) -> pa.RecordBatch:
+def _apart(x: bytes, y: bytes) -> int:
+    """Bits in which two sketches differ: no more than there are shingles in one set alone."""
+    a, b = np.frombuffer(x, "uint64"), np.frombuffer(y, "uint64")
+    while len(a) != len(b):
+        a, b = (a, b) if len(a) > len(b) else (b, a)
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def _unit_pairs(pdf: pd.DataFrame, least: int, similarity: float, nearest: bool, a: list[int], b: list[int]) -> None:
     sig = np.frombuffer(b"".join(pdf["sig"]), "uint32").reshape(len(pdf), -1)
-    node, group, own = (pdf[c].to_numpy() for c in ("node", "group", "own"))
-    first, second = np.flatnonzero(own == pdf["i"].iloc[0]), np.flatnonzero(own == pdf["j"].iloc[0])
-    best, of = np.zeros(len(pdf), "int64"), np.zeros(len(pdf), "int64")
-    a, b = [np.zeros(0, "int64")], [np.zeros(0, "int64")]
-    for at in range(0, len(first), _ROWS):
-        x = first[at : at + _ROWS]
-        same = (sig[x][:, None, :] == sig[second][None, :, :]).sum(axis=2)
-        same[(group[x][:, None] == group[second][None, :]) | (same < least)] = 0
-        if nearest:
-            for i, row in enumerate(same):  # both ends of a pair may have it as their nearest
-                better = row > best[second]
-                best[second[better]], of[second[better]] = row[better], x[i]
-                j = int(row.argmax()) if len(row) else 0
-                if len(row) and row[j] > best[x[i]]:
-                    best[x[i]], of[x[i]] = row[j], second[j]
-        else:
-            i, j = np.nonzero(same)
-            a.append(node[x[i]])
-            b.append(node[second[j]])
-    if nearest:
-        has = np.flatnonzero(best)
-        a, b = [node[has]], [node[of[has]]]
-    a, b = np.concatenate(a), np.concatenate(b)
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+    node, group, n, stray, drawn = (pdf[c].to_numpy() for c in ("node", "group", "n", "stray", "sketch"))
+    left, right = np.flatnonzero(pdf["left"].to_numpy()), np.flatnonzero(pdf["right"].to_numpy())
+    for at in range(0, len(left), _ROWS):
+        x = left[at : at + _ROWS]
+        same = (sig[x][:, None, :] == sig[right][None, :, :]).sum(axis=2)
+        able = (same >= least) & (group[x][:, None] != group[right][None, :])
+        able &= np.minimum(n[x][:, None], n[right][None, :]) >= np.maximum(n[x][:, None], n[right][None, :]) * (similarity - 1e-9)
+        if not nearest:  # two strays meet both ways round
+            able &= ~stray[right][None, :] | (node[x][:, None] < node[right][None, :])
+        for i, p in enumerate(x):
+            found = np.flatnonzero(able[i])
+            for j in found[np.argsort(-same[i, found], kind="stable")] if nearest else found:
+                q = right[j]
+                if _apart(drawn[p], drawn[q]) <= (n[p] + n[q]) * (1 - similarity) / (1 + similarity) + 1e-6:
+                    a.append(int(min(node[p], node[q])))
+                    b.append(int(max(node[p], node[q])))
+                    if nearest:
+                        break
 
 
 def minhash_groups(
@@ -177,10 +193,10 @@ def minhash_groups(
     and ``kept`` tells whether it is the row's own.
 
     Sets become signatures of ``bands * rows`` universal hash minima; sets whose signatures agree in a whole band meet in a bucket. With 32 bands
-    of 4, a pair of similarity 0.85 shares no band once in 10^10. First each member is compared with its bucket's least one; where groups
-    still meet in a bucket, each member with the nearest of another group by signature; then all pairs of groups still apart. What signatures allow is
-    confirmed on whole sets, and links join to components by large-star and small-star between the steps, so that no pairs are written
-    out inside a group that is joined.
+    of 4, a pair of similarity 0.85 shares no band once in 10^10. First each member is compared with its bucket's head; where groups
+    still meet in a bucket, each member outside the largest with the nearest of another group by signature; then all pairs of groups still apart. What signatures
+    (but for one pair in a million) and parity sketches (always) allow is confirmed on whole sets, and links join to components by large-star and small-star
+    between the steps, so that no pairs are written out inside a group that is joined.
 
     Documents of equal sets are one node. A text without words has no shingle, is linked with nothing, not even its like, and is its own component.
     Repeated rows give repeated rows. Rows with a null ``doc_id`` keep it, are not kept, and lend no id to their component unless it has none
@@ -190,14 +206,14 @@ def minhash_groups(
         raise ValueError("similarity must be above 0.5 and at most 1")
     lean = df.select(col(doc_id).cast("long").alias("doc_id"), F.xxhash64(col(doc_id), col(text)).alias("uid"), col(text).cast("binary").alias("raw"))
     prints = materialise(_signatures(lean, shingle, bands, rows, seed))
-    nodes = materialise(prints.where("n > 0").groupBy("node").agg(F.min("uid").alias("uid"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
+    nodes = materialise(prints.where("n > 0").groupBy("node").agg(F.min("uid").alias("uid"), *(F.first(c).alias(c) for c in ("n", "sig", "sketch", "bands"))))
     least = least_matches(bands * rows, similarity)
     keyed = nodes.select("node", F.explode("bands").alias("key"))
-    shared = materialise(keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key"))
-    held = materialise(keyed.join(broadcast_if_small(shared, F.lit(8)), "key"))
+    shared = materialise(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    held = materialise(keyed.join(broadcast_if_small(shared, F.lit(16)), "key"))
     links = compared(_promising(_to_heads(held), nodes, least), nodes, lean, shingle, similarity)
     for nearest in (True, False):
-        pairs = materialise(_across(held, nodes, labels(links), least, unit, nearest))
+        pairs = materialise(_across(held, nodes, labels(links), least, similarity, unit, nearest))
         if pairs.isEmpty():
             break
         links = links.unionByName(compared(pairs, nodes, lean, shingle, similarity))
