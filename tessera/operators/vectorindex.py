@@ -39,7 +39,7 @@ def _cells(df: DataFrame, centroids: np.ndarray) -> DataFrame:
                 flat = flat / np.linalg.norm(flat, axis=1, keepdims=True)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((flat @ centroids.T).argmax(axis=1).astype("int32"))], names=["id", "vector", "cell"])
 
-    return df.mapInArrow(place, df.select("id", "vector").schema.add("cell", "int"))
+    return df.mapInArrow(place, df.select("id", "vector").schema.add("cell", "integer"))
 
 
 def build(df: DataFrame, folder: str, *, id_col: str, vector: str, cells: int | None = None, recall: float = 0.95, k: int = 50, seed: int = 7) -> None:
@@ -48,11 +48,14 @@ def build(df: DataFrame, folder: str, *, id_col: str, vector: str, cells: int |
     Centroids are fitted by spherical k-means on about ``FIT`` vectors, by hash of their ids; every vector is placed, in the cell of the centroid
     nearest by angle. There are about as many cells as the root of the vectors, 4,096 at most (the centroids are held by each task), or ``cells``.
     Then recall is measured: ``TRIALS`` or so vectors are searched exactly and in ever more of their nearest cells, and ``about`` gets the number of cells that
-    finds ``recall`` of their ``k`` nearest, with what it has found. Vectors without a direction are left out.
+    finds ``recall`` of their ``k`` nearest, with what it has found. Vectors without a direction are left out; if there are
+    no others, that is a ``ValueError``.
     """
     spark = df.sparkSession
     good = df.select(F.col(id_col).alias("id"), F.col(vector).alias("vector")).where(usable(F.col("vector")))
     n = good.count()
+    if not n:
+        raise ValueError("no vector has a direction")
     cells = cells or max(1, min(4096, round(math.sqrt(n))))
     sample = _sampled(good, FIT, 1).select(array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
     fitted = KMeans(k=cells, seed=seed, maxIter=10, distanceMeasure="cosine", initMode="random").fit(sample).clusterCenters() if n > cells > 1 else [r["vector"] for r in good.orderBy("id").limit(1).collect()]

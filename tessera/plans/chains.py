@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -104,30 +103,35 @@ def eval_operations(d: Domain) -> DataFrame:
 @query("""select conv_id, sha256('{"case_id":' || conv_id::varchar || ',"roles":[' || string_agg('"' || role || '"', ',' order by turn) || '],"turns":' || count(*)::varchar || '}') as fingerprint from conversations group by conv_id""")
 def case_fingerprints(d: Domain) -> DataFrame:
     """Fingerprints of cases by their canonical JSON text: sorted keys, no spaces, ASCII only."""
-    def of(case: pd.Series, roles: pd.Series) -> pd.Series:
-        return pd.Series([contracts.fingerprint({"turns": len(r), "roles": list(r), "case_id": int(c)}) for c, r in zip(case, roles, strict=True)])
-
     held = d.raw("conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("r"))
-    return held.select("conv_id", F.pandas_udf(of, "string")("conv_id", "r").alias("fingerprint"))
+    # The fields stand in the order of their names, and are ASCII, so Spark's JSON text is the canonical one.
+    text = F.to_json(F.struct(F.col("conv_id").alias("case_id"), F.col("r").alias("roles"), F.size("r").alias("turns")))
+    return held.select("conv_id", F.sha2(text, 256).alias("fingerprint"))
 
 
 # --- requests
 
 
-@query("""select event_id, concat_ws(',', case when trim(text) = '' then 'text' end, case when top_k not between 1 and 50 then 'top_k' end, case when candidate_k < top_k or candidate_k > 200 then 'candidate_k' end,
-    case when filed_from > filed_to then 'filed_from' end, case when len(list_distinct(list_filter(list_transform(forms, lambda x: upper(trim(x))), lambda x: x <> ''))) <> len(forms) then 'form_types' end) as violated from (
-    select event_id, case when event_id % 13 = 0 then '  ' else event_type end as text, event_id % 60 as top_k, event_id % 260 as candidate_k, ts as filed_from, case when event_id % 5 > 0 then ts + to_days(2 - (event_id % 4)::int) end as filed_to,
-    case event_id % 3 when 0 then ['10-k', ' 10-K '] when 1 then ['10-K', '10-q'] else ['8-K', ' '] end as forms from events)""")
+@query("""with asked as (select event_id, case when event_id % 13 = 0 then '  ' else ' ' || event_type end as text, event_id % 60 as top_k, event_id % 260 as candidate_k, ts as filed_from, case when event_id % 5 > 0 then ts + to_days(2 - (event_id % 4)::int) end as filed_to,
+    case event_id % 3 when 0 then ['10-k', ' 10-K '] when 1 then ['10-q', '10-K'] else ['8-K', ' '] end as forms, case event_id % 7 when 0 then ['web', 'web '] when 1 then []::varchar[] else ['web', ' news'] end as sections,
+    case event_id % 11 when 0 then null when 1 then 'x' || event_id::varchar else ' ' || user_id::varchar end as cik from events),
+    tidy as (select *, list_sort(list_distinct(list_filter(list_transform(forms, lambda x: upper(trim(x))), lambda x: x <> ''))) as f, list_sort(list_distinct(list_filter(list_transform(sections, lambda x: trim(x)), lambda x: x <> ''))) as s from asked)
+    select event_id, trim(text) as text, array_to_string(f, ',') as forms, array_to_string(s, ',') as sections, case when regexp_full_match(trim(cik), '[0-9]{1,10}') then lpad(trim(cik), 10, '0') end as cik,
+    concat_ws(',', case when trim(text) = '' then 'text' end, case when top_k not between 1 and 50 then 'top_k' end, case when candidate_k < top_k or candidate_k > 200 then 'candidate_k' end, case when filed_from > filed_to then 'filed_from' end,
+      case when len(f) <> len(forms) then 'form_types' end, case when len(s) <> len(sections) then 'section_names' end, case when not regexp_full_match(trim(cik), '[0-9]{1,10}') then 'cik' end) as violated from tidy""")
 def search_request_violations(d: Domain) -> DataFrame:
-    """Bounds that a search request breaks."""
+    """Search requests in their normal form, and the bounds that each breaks."""
     n = F.col("event_id")
-    forms = F.when(n % 3 == 0, F.array(F.lit("10-k"), F.lit(" 10-K "))).when(n % 3 == 1, F.array(F.lit("10-K"), F.lit("10-q"))).otherwise(F.array(F.lit("8-K"), F.lit(" ")))
+    pair = lambda a, b: F.array(F.lit(a), F.lit(b))
+    forms = F.when(n % 3 == 0, pair("10-k", " 10-K ")).when(n % 3 == 1, pair("10-q", "10-K")).otherwise(pair("8-K", " "))
+    sections = F.when(n % 7 == 0, pair("web", "web ")).when(n % 7 == 1, F.array().cast("array<string>")).otherwise(pair("web", " news"))
     until = F.when(n % 5 > 0, F.col("ts") + F.make_interval(days=(2 - n % 4).cast("int")))
+    cik = F.when(n % 11 == 1, F.concat(F.lit("x"), n.cast("string"))).when(n % 11 > 1, F.concat(F.lit(" "), F.col("user_id").cast("string")))
     asked = d.raw("events").select(
-        "event_id", F.when(n % 13 == 0, "  ").otherwise(F.col("event_type")).alias("text"), (n % 60).alias("top_k"), (n % 260).alias("candidate_k"),
-        F.col("ts").alias("filed_from"), until.alias("filed_to"), forms.alias("forms"),
+        "event_id", F.when(n % 13 == 0, "  ").otherwise(F.concat(F.lit(" "), "event_type")).alias("text"), (n % 60).alias("top_k"), (n % 260).alias("candidate_k"),
+        F.col("ts").alias("filed_from"), until.alias("filed_to"), forms.alias("forms"), sections.alias("sections"), cik.alias("cik"),
     )
-    return asked.select("event_id", store.violations(contracts.request_rules()).alias("violated"))
+    return contracts.normal_requests(asked).select("event_id", "text", F.array_join("forms", ",").alias("forms"), F.array_join("sections", ",").alias("sections"), "cik", "violated")
 
 
 # --- sources in their JSON forms
@@ -224,7 +228,7 @@ _SENT = """select user_id as assignment_id, event_id, ts, delivery, case event_t
     from events join (select user_id, min(ts) as first_ts from events group by user_id) using (user_id), (select unnest([0, 1]) as delivery) where delivery = 0 or event_id % 6 = 0"""
 
 
-@query(f"""with recursive sent as ({_SENT}), w as (select *, case when ts < assigned_at then 'before_assignment' when kind = 'outcome' and metric = 'signed' then 'unknown_metric' when metric in ('converted', 'failed') and metric_value not in (0, 1) then 'not_binary' end as wrong,
+EVENT_INGEST_SQL = f"""with recursive sent as ({_SENT}), w as (select *, case when ts < assigned_at then 'before_assignment' when kind = 'outcome' and metric = 'signed' then 'unknown_metric' when metric in ('converted', 'failed') and metric_value not in (0, 1) then 'not_binary' end as wrong,
       concat_ws('|', kind, coalesce(metric, '-'), coalesce(metric_value::varchar, '-'), ts::varchar) as body, row_number() over (partition by assignment_id order by ts, event_id, delivery) as o from sent),
     f as (select distinct assignment_id, 0::bigint as o, null::bigint as event_id, null::int as delivery, ''::varchar as verdict, []::varchar[] as keys, []::varchar[] as bodies, []::varchar[] as metrics from w
       union all select assignment_id, o, event_id, delivery, verdict, case when verdict = 'accepted' then list_append(keys, event_key) else keys end, case when verdict = 'accepted' then list_append(bodies, body) else bodies end,
@@ -232,21 +236,28 @@ _SENT = """select user_id as assignment_id, event_id, ts, delivery, case event_t
         select w.*, keys, bodies, metrics, case when list_contains(keys, event_key) then case when bodies[list_position(keys, event_key)] = body then 'duplicate' else 'conflict' end when wrong is not null then wrong
           when kind = 'exposure' then case when list_contains(metrics, 'exposure') then 'repeated_exposure' else 'accepted' end when not list_contains(metrics, 'exposure') then 'before_exposure'
           when list_contains(metrics, metric) then 'repeated_outcome' else 'accepted' end as verdict from f join w on w.assignment_id = f.assignment_id and w.o = f.o + 1))
-    select event_id, delivery, verdict from f where o > 0""")
-def event_ingest(d: Domain) -> DataFrame:
-    """Telemetry as it arrives, some of it twice: accepted, duplicate, conflict, or why it is refused."""
+    select event_id, delivery, verdict from f where o > 0"""
+
+
+def sent_events(d: Domain) -> DataFrame:
+    """Telemetry as its senders give it: some of it twice, some under keys that another event has."""
     events = d.raw("events")
     kind, n = F.col("event_type"), F.col("event_id")
     first = events.groupBy("user_id").agg(F.min("ts").alias("first_ts"))
     wait = F.make_interval(hours=F.when(F.col("user_id") % 3 == 0, 6).otherwise(0))
     value = F.when(kind == "purchase", F.when(n % 10 == 0, 0.5).otherwise(1.0)).when(kind == "error", 1.0).when(kind != "view", F.col("value"))
     names = {"purchase": "converted", "error": "failed", "click": "click_value", "signup": "signed"}
-    sent = events.join(first, "user_id").select(
+    return events.join(first, "user_id").select(
         F.col("user_id").alias("assignment_id"), "event_id", F.col("ts").alias("occurred_at"), F.explode(F.when(n % 6 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("delivery"),
         F.when(kind == "view", "exposure").otherwise("outcome").alias("event_type"), F.create_map(*(F.lit(x) for p in names.items() for x in p))[kind].alias("metric_name"),
         value.alias("metric_value"), F.concat(F.when(n % 5 == 0, "any").otherwise(kind), F.lit(":"), (n % 4).cast("string")).alias("event_key"), (F.col("first_ts") + wait).alias("assigned_at"),
     )
-    found = experiments.accepted_events(sent, registry.METRICS, order=["occurred_at", "event_id", "delivery"])
+
+
+@query(EVENT_INGEST_SQL)
+def event_ingest(d: Domain) -> DataFrame:
+    """Telemetry as it arrives: accepted, duplicate, conflict, or why it is refused."""
+    found = experiments.accepted_events(sent_events(d), registry.METRICS, order=["occurred_at", "event_id", "delivery"])
     return found.select("event_id", "delivery", "verdict")
 
 

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import experiments, store
-from tessera.plans.registry import query
+from tessera.plans import chains, registry
+from tessera.plans.registry import query, sql_fixed
 from tessera.plans.views import with_views
 from tessera.sources.adapters import Domain
-from tessera.streaming.telemetry import accept_available
+from tessera.streaming import telemetry
 
 EFFECT = 0.05
 
@@ -51,5 +52,30 @@ def experiment_lifecycle(d: Domain) -> DataFrame:
     when event_type = 'purchase' and n > 1 then 'repeated_outcome' else 'accepted' end as verdict from (
     select *, row_number() over (partition by unit_id, event_type, coalesce(ts >= exposed_at, false) order by ts, event_id) as n from user_events join (select unit_id, min(case when event_type = 'view' then ts end) as exposed_at from user_events group by unit_id) using (unit_id))""", "user_events"))
 def event_acceptance_stream(d: Domain) -> DataFrame:
-    """The acceptance of events by a stream over the stored table, one micro-batch for all that is there."""
-    return accept_available(d.spark, f"{d.folder}/events.parquet")
+    """The acceptance of events by keyed state, in four runs of a stream over what has arrived by then."""
+    return _judged(d)[0].select("event_id", "verdict")
+
+
+def _judged(d: Domain) -> tuple[DataFrame, str]:
+    base, events = telemetry.new_folder(d.spark), d.user_events()
+    telemetry.replayed(events, "ts", f"{base}/in", lambda: telemetry.exposure_stream(d.spark, f"{base}/in", events.schema, f"{base}/judged"))
+    return d.spark.read.parquet(f"{base}/judged/rows"), base
+
+
+@query(chains.EVENT_INGEST_SQL)
+def event_ingest_stream(d: Domain) -> DataFrame:
+    """The verdicts of ``event_ingest`` from a stream with keyed state, in four runs over what has arrived by then."""
+    base, sent = telemetry.new_folder(d.spark), chains.sent_events(d)
+    arrival = F.struct("occurred_at", "event_id", "delivery")
+    step = lambda: telemetry.accept_stream(d.spark, f"{base}/in", sent.schema, registry.METRICS, f"{base}/judged", arrival=arrival, closes_after_days=400)
+    telemetry.replayed(sent, "occurred_at", f"{base}/in", step)
+    return d.spark.read.parquet(f"{base}/judged/rows").select("arrival.event_id", "arrival.delivery", "verdict")
+
+
+@query(with_views(f"select unit_id, exposed, converted, failed, {sql_fixed('click_value')} as click_value from observed", "observed"))
+def experiment_observations_stream(d: Domain) -> DataFrame:
+    """The rows of ``experiment_observations`` from streams: exposures by keyed state, outcomes joined to them within a day."""
+    judged, base = _judged(d)
+    telemetry.outcomes_in_window(d.spark, f"{base}/judged/rows", f"{base}/joined")
+    found = telemetry.observed(d.user_events(), judged, d.spark.read.parquet(f"{base}/joined/rows"))
+    return found.select("unit_id", "exposed", "converted", "failed", registry.fixed(F.col("click_value")).alias("click_value"))

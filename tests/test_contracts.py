@@ -12,34 +12,33 @@ from tessera.operators import contracts, experiments, investigations
 from tessera.sources import company_json
 
 
-def test_search_requests_are_normal_or_refused():
-    asked = contracts.SearchRequest(" sales ", cik="320193", form_types=(" 10-q", "10-K"), section_names=("b", " a"))
-    found = asked.normal()
-    assert (found.text, found.cik, found.form_types, found.section_names) == ("sales", "0000320193", ("10-K", "10-Q"), ("a", "b"))
+def test_search_requests_are_normal_or_refused(spark):
     day = datetime.date(2024, 1, 2)
+    plain = {"text": " sales ", "top_k": 10, "candidate_k": 50, "cik": " 320193", "forms": [" 10-q", "10-K"], "sections": ["b", " a"], "filed_from": None, "filed_to": day, "wanted": ""}
     wrong = [
         ("text", {"text": " "}), ("top_k", {"top_k": 0}), ("top_k", {"top_k": 51, "candidate_k": 60}), ("candidate_k", {"top_k": 20, "candidate_k": 10}), ("candidate_k", {"candidate_k": 201}),
-        ("form_types", {"form_types": ("10-K", "10-k ")}), ("form_types", {"form_types": (" ",)}), ("filed_from", {"filed_from": day, "filed_to": day - datetime.timedelta(1)}), ("cik", {"cik": "12x"}),
-        ("section_names", {"section_names": ("a", "a")}),
+        ("form_types", {"forms": ["10-K", "10-k "]}), ("form_types", {"forms": [" "]}), ("filed_from", {"filed_from": day + datetime.timedelta(1)}), ("cik", {"cik": "12x"}),
+        ("section_names", {"sections": ["a", "a"]}), ("", {"cik": None, "forms": [], "sections": []}), ("top_k,form_types", {"top_k": -1, "forms": ["8-K", ""]}),
     ]
-    for name, change in wrong:
-        with pytest.raises(ValueError, match=f": {name}$"):
-            contracts.SearchRequest(**({"text": "x"} | change)).normal()
-    assert contracts.concepts([" b", "a "]) == ["a", "b"]
-    for bad in (["a", "a "], [" "]):
-        with pytest.raises(ValueError):
-            contracts.concepts(bad)
+    rows = [plain, *(plain | change | {"wanted": name} for name, change in wrong)]
+    schema = "text string, top_k int, candidate_k int, cik string, forms array<string>, sections array<string>, filed_from date, filed_to date, wanted string"
+    found = contracts.normal_requests(spark.createDataFrame(rows, schema)).collect()
+    assert [r.violated for r in found] == [r["wanted"] for r in rows]
+    assert (found[0].text, found[0].cik, found[0].forms, found[0].sections) == ("sales", "0000320193", ["10-K", "10-Q"], ["a", "b"])
 
 
-def test_vectors_of_a_provider():
-    assert contracts.query_vector([[1.0, 2.0]], 2) == [1.0, 2.0]
-    for bad in ([], [[1.0]], [[1.0, 2.0], [1.0, 2.0]], [[1.0, float("nan")]]):
-        with pytest.raises(ValueError):
-            contracts.query_vector(bad, 2)
-    assert contracts.restored_vectors(["a", "b"], [(1, [2.0]), (0, [1.0])], 1) == [[1.0], [2.0]]
-    for texts, found in ((["a", " "], [(0, [1.0]), (1, [1.0])]), (["a"], [(1, [1.0])]), (["a", "b"], [(0, [1.0]), (0, [1.0])]), (["a"], [(0, [1.0, 2.0])])):
+def test_vectors_of_a_provider(spark):
+    one = lambda rows: spark.createDataFrame([(r,) for r in rows], "v array<double>")
+    assert contracts.query_vector(one([[1.0, 2.0]]), 2) == [1.0, 2.0]
+    for bad in ([], [[1.0]], [[1.0, 2.0], [1.0, 2.0]], [[1.0, float("nan")]], [None], [[1.0, None]]):
         with pytest.raises(ValueError):
-            contracts.restored_vectors(texts, found, 1)
+            contracts.query_vector(one(bad), 2)
+    texts = [(1, 0, "a"), (1, 1, "b"), (2, 0, "a"), (2, 1, " "), (3, 0, "a"), (4, 0, "a"), (4, 1, "b"), (5, 0, "a"), (6, 0, "a"), (7, 0, "a")]
+    found = [(1, 1, [2.0]), (1, 0, [1.0]), (2, 0, [1.0]), (2, 1, [1.0]), (3, 1, [1.0]), (4, 0, [1.0]), (4, 0, [2.0]), (5, 0, [1.0, 2.0]), (6, 0, [float("inf")])]
+    rows = contracts.provided_vectors(spark.createDataFrame(texts, "batch int, place int, text string"), spark.createDataFrame(found, "batch int, index int, vector array<double>"), 1).collect()
+    assert {(r.batch, r.place): r.vector for r in rows if r.fault is None} == {(1, 0): [1.0], (1, 1): [2.0]}
+    assert {r.batch: r.fault for r in rows if r.fault} == {2: "blank_text", 3: "indexes", 4: "indexes", 5: "dimensions", 6: "not_finite", 7: "indexes"}
+    assert all(r.vector is None for r in rows if r.fault) and len(rows) == len(texts)
 
 
 def test_fingerprints_are_of_canonical_text():

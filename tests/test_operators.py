@@ -13,7 +13,6 @@ from tessera.functions import identity
 from tessera.functions.embedding import hashed_embedding
 from tessera.functions.english import lexeme, stem
 from tessera.operators import answers, documents, evaluation, experiments, filings, fulltext, retrieval, store
-from tessera.streaming import telemetry
 
 
 def test_fusion_orders_by_score_then_ranks(spark):
@@ -246,22 +245,3 @@ def test_registrations_and_upserts(spark):
     old = spark.createDataFrame([(1, "x", "y")], "k int, a string, b string")
     new = spark.createDataFrame([(1, None, "z")], "k int, a string, b string")
     assert [tuple(r) for r in store.upsert(old, new, "k", ["a", "b"]).collect()] == [(1, None, "z")]
-
-
-def test_events_are_judged_across_batches(spark, tmp_path):
-    day = lambda n: datetime.datetime(2024, 1, n)
-    schema = "unit_id string, event_id long, ts timestamp_ntz, event_type string"
-    batches = [
-        [("u", 1, day(1), "purchase"), ("u", 2, day(2), "view"), ("u", 3, day(3), "purchase"), (None, 4, day(1), "view")],
-        [("u", 5, day(1), "view"), ("u", 6, day(4), "purchase"), ("u", 7, day(4), "view"), ("v", 8, day(5), "view")],
-        [("v", 9, day(6), "purchase"), ("v", 10, day(6), "purchase"), ("u", 11, day(9), "error")],
-    ]
-    for n, rows in enumerate(batches):
-        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
-        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*")
-        out = telemetry.accept_stream(stream, f"{tmp_path}/run")
-    found = {r.event_id: r.verdict for r in spark.read.parquet(out).collect()}
-    assert found == {
-        1: "before_exposure", 2: "accepted", 3: "accepted", 4: "before_exposure", 5: "before_exposure", 6: "repeated_outcome", 7: "repeated_exposure",
-        8: "accepted", 9: "accepted", 10: "repeated_outcome", 11: "accepted",
-    }
