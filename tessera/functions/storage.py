@@ -24,6 +24,12 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read from there, so that later steps neither repeat it nor hang on an executor."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def state_of(spark: SparkSession, path: str) -> str:
     """A digest of a stored table's files by name, length and time of change; their contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")

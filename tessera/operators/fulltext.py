@@ -47,7 +47,7 @@ def postings(df: DataFrame, *, id_col: str, text: str, stems: Sequence[str] | No
     else:
         useful = placed.withColumnRenamed("word", "lexeme")
         useful = useful if stems is None else useful.where(F.col("lexeme").isin(sorted(stems)))
-    return useful.groupBy(id_col, "lexeme").agg(F.array_sort(F.collect_set(F.col("at") + 1)).alias("positions"))
+    return useful.groupBy(id_col, "lexeme").agg(F.array_sort(F.collect_list(F.col("at") + 1)).alias("positions"))
 
 
 @dataclass(frozen=True)

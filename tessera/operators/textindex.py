@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,39 +23,68 @@ def _bucket(lexeme: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(lexeme), F.lit(buckets)).cast("int")
 
 
+def _kind(of_id: str) -> str:
+    return f"lexeme string, block bigint, n_docs int, most int, entries array<struct<id: {of_id}, positions: array<int>>>"
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows ``bucket, lexeme, block, id, positions`` as one row for each term and block; a task holds a batch and a block."""
+    rest = None
+    for batch in _then_none(batches):
+        table = rest if batch is None else pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        if table is None or not table.num_rows:
+            continue
+        whole = table.combine_chunks()
+        bucket, lexeme, block, ids, positions = (c.chunk(0) for c in whole.columns)
+        changes = pc.or_(pc.not_equal(lexeme[1:], lexeme[:-1]), pc.not_equal(block[1:], block[:-1]))
+        starts = np.concatenate(([0], np.flatnonzero(changes.to_numpy(zero_copy_only=False)) + 1))
+        ends = np.append(starts[1:], whole.num_rows)
+        if batch is not None:  # the last block may go on
+            rest, starts, ends = whole.slice(int(starts[-1])), starts[:-1], ends[:-1]
+        if len(starts):
+            n = int(ends[-1])
+            entries = pa.ListArray.from_arrays(pa.array(np.append(starts, n).astype("int32")), pa.StructArray.from_arrays([ids[:n], positions[:n]], ["id", "positions"]))
+            most = np.maximum.reduceat(pc.list_value_length(positions[:n]).to_numpy(zero_copy_only=False), starts).astype("int32")
+            at = pa.array(starts)
+            columns = [lexeme.take(at), block.take(at), pa.array((ends - starts).astype("int32")), pa.array(most), entries, bucket.take(at)]
+            yield pa.RecordBatch.from_arrays(columns, names=["lexeme", "block", "n_docs", "most", "entries", "bucket"])
+
+
+def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
 def build(df: DataFrame, folder: str, *, id_col: str, text: str, english: bool = True, buckets: int = 64, block: int = 128) -> None:
     """Write the index of ``df``'s texts to ``folder``: its terms are English stems, or whole lower-case words.
 
-    Documents are put in order of their number of words, and each ``block`` of them is one block: documents of like length are alike in
-    what a term can give them, which keeps a block's maximum close to its members. ``documents`` has ``id, n_words, block``; ``postings``,
+    Documents are put in order of their length, and each ``block`` of them is one block: documents of like length are alike in
+    what a term can give them, which keeps a block's maximum close to its members. ``documents`` has ``id, n_bytes, block``; ``postings``,
     partitioned by a hash of the term, has a row for each term and block: ``lexeme, block, n_docs, most`` (occurrences in a document,
     at most) and ``entries`` (id and positions), which bounds every row, however frequent the term. A document of no words has no postings.
     """
     spark = df.sparkSession
     texts = df.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    words = F.size(F.filter(F.split("text", r"[^\p{L}\p{N}]+"), lambda w: w != "")).alias("n_words")
-    ordered = texts.select("id", words).repartitionByRange("n_words", "id").sortWithinPartitions("n_words", "id")
+    ordered = texts.select("id", F.octet_length("text").alias("n_bytes")).repartitionByRange("n_bytes", "id").sortWithinPartitions("n_bytes", "id")
     # A partition's rows are numbered from a multiple of 2^33, so that no block spans two partitions.
     ordered.withColumn("block", F.floor(F.monotonically_increasing_id() / block)).write.parquet(f"{folder}/documents")
     blocks = spark.read.parquet(f"{folder}/documents").select("id", "block")
+    # Dealt by id, so that a document's words are gathered where it is.
     found = fulltext.postings(texts.repartition("id"), id_col="id", text="text", english=english).join(broadcast_if_small(blocks, 24), "id")
-    tf = F.size("positions")
-    grouped = found.groupBy("lexeme", "block").agg(
-        F.count(F.lit(1)).cast("int").alias("n_docs"), F.max(tf).alias("most"), F.array_sort(F.collect_list(F.struct("id", "positions"))).alias("entries")
-    )
-    keyed = grouped.withColumn("bucket", _bucket(F.col("lexeme"), buckets))
-    dealt = keyed.repartitionByRange("bucket", "lexeme", "block").sortWithinPartitions("bucket", "lexeme", "block")
-    dealt.write.partitionBy("bucket").parquet(f"{folder}/postings")
+    # A term's blocks go to several tasks, so that a frequent one is not one task's work; a block of a term to one.
+    keyed = found.select(_bucket(F.col("lexeme"), buckets).alias("bucket"), "lexeme", "block", "id", "positions").repartition("bucket", F.pmod(F.xxhash64("block"), F.lit(16)))
+    rows = keyed.sortWithinPartitions("bucket", "lexeme", "block", "id").mapInArrow(_packed, f"{_kind(found.schema['id'].dataType.simpleString())}, bucket int")
+    rows.write.partitionBy("bucket").parquet(f"{folder}/postings")
     spark.createDataFrame([(buckets, block, english)], "buckets int, block int, english boolean").coalesce(1).write.json(f"{folder}/about")
 
 
 @dataclass(frozen=True)
 class Found:
-    """A search's rows ``id, score``, and how many of the blocks that hold its terms were read."""
+    """A search's rows ``id, score``, and of the blocks that can hold a match (``block, bound``) those that were read."""
 
     rows: DataFrame
-    blocks: int
-    read: int
+    blocks: DataFrame | None = None
+    read: DataFrame | None = None
 
 
 class TextIndex:
@@ -69,8 +101,7 @@ class TextIndex:
     def postings(self, stems: Sequence[str] | None = None) -> DataFrame:
         """All postings, or those of ``stems``, of which only the buckets are listed and read."""
         id_type = self.documents().schema["id"].dataType.simpleString()
-        kind = f"lexeme string, block bigint, n_docs int, most int, entries array<struct<id: {id_type}, positions: array<int>>>, bucket int"
-        rows = self.spark.read.schema(kind).parquet(f"{self.folder}/postings")
+        rows = self.spark.read.schema(f"{_kind(id_type)}, bucket int").parquet(f"{self.folder}/postings")
         if stems is None:
             return rows
         # The hash of ``_bucket``, taken here so that the filter is a list of partitions.
@@ -93,7 +124,7 @@ class TextIndex:
         """
         plan = [kept for terms in query if (kept := [t for t in terms if t])]
         if not plan:
-            return Found(self.documents().select("id", F.lit(0.0).alias("score")).where("false"), 0, 0)
+            return Found(self.documents().select("id", F.lit(0.0).alias("score")).where("false"))
         stems = sorted({s for terms in plan for t in terms for s in t.stems})
         rows = self.postings(stems)
         score = (lambda found: _occurrences(found, plan)) if count else (lambda found: fulltext.scores_of(found, query, id_col="id"))
@@ -101,18 +132,17 @@ class TextIndex:
             every = self.documents().select("id")
             every = every if allowed is None else every.join(allowed, "id", "left_semi")
             held = self._entries(rows, allowed)
-            return Found(fulltext.scores_of(held, query, id_col="id", every=every).orderBy(F.desc("score"), "id").limit(limit), -1, -1)
+            return Found(fulltext.scores_of(held, query, id_col="id", every=every).orderBy(F.desc("score"), "id").limit(limit))
         bounds = rows.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("lexeme", "most"))).alias("most"))
         bounds = bounds.select("block", _bound(plan, 1.0 if count else WEIGHT).alias("bound")).where("bound > 0")
-        total = bounds.count()
         top = [r["block"] for r in bounds.orderBy(F.desc("bound"), "block").limit(first).collect()]
         begun = score(self._entries(rows.where(F.col("block").isin(top)), allowed)).orderBy(F.desc("score"), "id").limit(limit)
         bar = [r["score"] for r in begun.select("score").collect()]  # ``limit`` numbers at most
-        least = min(bar) if len(bar) == limit else 0.0
-        wanted = bounds.where((F.col("bound") >= least) | F.col("block").isin(top)).select("block")
-        read = wanted.count()
-        kept = rows if read == total else rows.join(broadcast_if_small(wanted, 16), "block", "left_semi")
-        return Found(score(self._entries(kept, allowed)).orderBy(F.desc("score"), "id").limit(limit), total, read)
+        if len(top) < first:
+            return Found(begun, bounds, bounds)
+        read = bounds if len(bar) < limit else bounds.where((F.col("bound") >= min(bar)) | F.col("block").isin(top))
+        kept = rows if len(bar) < limit else rows.join(read.select("block"), "block", "left_semi")
+        return Found(score(self._entries(kept, allowed)).orderBy(F.desc("score"), "id").limit(limit), bounds, read)
 
 
 def _bound(plan: list[list[Term]], weight: float) -> Column:

@@ -59,7 +59,7 @@ def test_blocks_of_low_bounds_are_skipped(spark, tmp_path):
     textindex.build(df, str(tmp_path / "b"), id_col="id", text="body", buckets=4, block=16)
     index = textindex.TextIndex(spark, str(tmp_path / "b"))
     found = index.search([[term("word")]], limit=10, first=2)
-    assert found.read <= 3 < 30 < found.blocks
+    assert found.read.count() <= 3 < 30 < found.blocks.count()
     assert [r.id for r in found.rows.collect()] == list(range(1019, 1009, -1))
     assert index.documents().groupBy("block").count().agg(F.max("count")).first()[0] <= 16
 
