@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import col, free_name, hash_sample, map_arrow
+from tessera.llm.common import col, free_name, hash_sample, map_arrow, only_columns
 
 _PIECE = 1 << 21  #: letters of the texts whose n-grams a task holds at a time
 _BITS = 21  #: of a code point; three letters fit a 64-bit code
@@ -26,23 +26,22 @@ class Profiles:
     ranks: tuple[np.ndarray, ...]  #: for each language, its n-gram codes, most frequent first
 
 
-def _is_letter(point: int) -> bool:
-    return unicodedata.category(chr(point)).startswith("L")
-
-
 @cache
-def _letters() -> np.ndarray:
-    """For each code point itself if it is a letter, else 0 (the gap between words)."""
-    return np.fromiter((p if _is_letter(p) else 0 for p in range(0x110000)), "int32", 0x110000)
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point itself if it is a letter or a mark on one (vowel signs of many scripts), else 0, the gap between words; and whether it is a letter."""
+    kinds = [unicodedata.category(chr(p))[0] for p in range(0x110000)]
+    return np.fromiter((p if k in "LM" else 0 for p, k in enumerate(kinds)), "int32", 0x110000), np.fromiter((k == "L" for k in kinds), "bool", 0x110000)
 
 
 def _codes(text: str) -> np.ndarray:
-    """Letters with one gap before each word and after the last; empty if there is no letter."""
-    ids = _letters()[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")]
-    ids = np.concatenate(([0], ids, [0])).astype("int32")
+    """Letters and their marks with one gap before each word and after the last; empty if there is no letter."""
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
+    parts, letters = _letters()
+    if not letters[points].any():
+        return np.zeros(0, "int32")
+    ids = np.concatenate(([0], parts[points], [0])).astype("int32")
     keep = (ids != 0) | np.concatenate(([True], ids[:-1] != 0))
-    ids = ids[keep]
-    return ids if len(ids) > 1 else ids[:0]
+    return ids[keep]
 
 
 def _grams(ids: np.ndarray) -> np.ndarray:
@@ -167,7 +166,7 @@ def identify_languages(
         raise ValueError(f"more than {max_languages} languages; profiles are held by one process")
     profiles = learn(drawn, size)
     raw = free_name(df, "raw")
-    rest = [c for c in df.columns if c not in (text, lang, "lang_pred", "score")]
+    rest = only_columns(df, drop=(text, lang, "lang_pred", "score"))
     lean = df.select(*map(col, rest), col(text).alias(raw))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

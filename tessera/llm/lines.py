@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import broadcast_if_small, col, free_name, map_arrow, materialise
+from tessera.llm.common import broadcast_if_small, col, free_name, map_arrow, materialise, only_columns
 
 _MIX = 0x9E3779B97F4A7C15  #: odd, so powers of it never vanish modulo 2^64
 
@@ -199,7 +199,8 @@ def dedup_lines(
     keyed = df.withColumn(uid, F.xxhash64(col(doc_id), col(text)))
     joined = keyed.join(lists, keyed[uid] == lists[mine], "left").select(*map(col, df.columns), keep)
     place = df.columns.index(text)
-    names = [c for c in df.columns if not counts or c not in counts] + list(counts or ())
+    given = only_columns(df, drop=counts or ())
+    names = given + list(counts or ())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,6 +219,6 @@ def dedup_lines(
             yield pa.RecordBatch.from_arrays([found[c] for c in names], names=names).filter(pa.array(stays, pa.bool_()))
 
     df_columns = df.columns
-    fields = [df.schema[c] for c in names if not counts or c not in counts]
+    fields = [df.schema[c] for c in given]
     schema = T.StructType([*fields, *(T.StructField(c, T.LongType()) for c in counts or ())])
     return map_arrow(joined, read, schema)

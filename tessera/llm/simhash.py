@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import col, free_name, map_arrow, materialise
+from tessera.llm.common import col, free_name, map_arrow, materialise, only_columns
 from tessera.llm.graph import connected_components
 
 #: Shingle hashes that a task holds at a time.
@@ -62,7 +62,7 @@ def fingerprints(df: DataFrame, text: str = "text", out: str = "fp", shingle: in
     A null text counts as empty. ``out`` replaces a column of that name.
     """
     raw = free_name(df, "raw")
-    rest = [c for c in df.columns if c not in (text, out)]
+    rest = only_columns(df, drop=(text, out))
     lean = df.select(*(col(c) for c in rest), col(text).cast("binary").alias(raw))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import col, free_name, map_arrow
+from tessera.llm.common import col, free_name, map_arrow, only_columns
 
 _NORMAL = 1  #: type of the model's ordinary pieces
 
@@ -87,7 +87,7 @@ def token_counts(df: DataFrame, *, model: str, text: str = "text", out: str = "n
     kept as they are (``out`` replaces one of that name); an empty table gives an empty result.
     """
     raw = free_name(df, "raw")
-    rest = [c for c in df.columns if c not in (text, out)]
+    rest = only_columns(df, drop=(text, out))
     lean = df.select(*(col(c) for c in rest), F.coalesce(col(text), F.lit("")).alias(raw))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import broadcast_if_small, col, free_name, hash_sample, map_arrow, materialise
+from tessera.llm.common import broadcast_if_small, col, free_name, hash_sample, map_arrow, materialise, only_columns
 
 # Element names by their role in HTML.
 _RAW = ("script", "style", "noscript", "template", "iframe", "svg", "textarea", "title")
@@ -29,12 +29,18 @@ _MAIN = frozenset("article main".split())
 #: Words of a class or id that mark a region beside the main text.
 _BESIDE = re.compile(r"(?i)(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|cookies?|disqus|footer|masthead|menu|modal|nav\w*|newsletter|notices?|popup|promo\w*|related|replies|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])")
 
+#: Those of them that are also words of texts: inside a main region, or on it, they leave the verdict to what stands there.
+_VAGUE = re.compile(r"(?i)(?:^|[\s_-])(?:banner|breadcrumbs?|masthead|menu|nav\w*|notices?|related|share|sharing|social|toolbar|widget)(?:$|[\s_-])")
+
 #: Words of a class or id that mark a page's header, which is beside the main text unless it lies in it.
 _TOP = re.compile(r"(?i)(?:^|[\s_-])(?:header|topbar|top-bar)(?:$|[\s_-])")
 
+# A drawing may close itself; of elements that nothing closes, only scripts, styles and plain texts reach to the end of the page.
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>" + "|".join(_RAW) + r")\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<svg\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*+(?<=/)>"
+    r"|<(?P<raw>" + "|".join(_RAW) + r")\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*+>.*?</(?P=raw)\s*>"
+    r"|<(?:script|style|title|textarea)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*+>.*\Z"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][\w:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>"
     r"|<[!?/][^>]*>|<[a-zA-Z/!?][^<>]*\Z",
     re.S | re.I,
@@ -92,26 +98,39 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, int]]:
 
 
 @functools.lru_cache(maxsize=10_000)
-def _marks(step: str) -> tuple[bool, bool, bool]:
-    """Whether a container's name, class or id speaks of a region beside the main text, of a header, of the main text."""
+def _marks(step: str) -> tuple[bool, bool, bool, bool]:
+    """Whether a container's name, class or id speaks of a region beside the main text (vaguely, if by words of texts alone), of a header, of the main text."""
     name, *marks = step.split(".")
-    beside = name in _ASIDE or any(_BESIDE.search(m) for m in marks)
-    return beside, name == "header" or any(_TOP.search(m) for m in marks), name in _MAIN or "main" in marks
+    spoken = [m for m in marks if _BESIDE.search(m)]
+    vague = bool(spoken) and name not in _ASIDE and all(_VAGUE.search(m) for m in spoken)
+    return name in _ASIDE or bool(spoken), vague, name == "header" or any(_TOP.search(m) for m in marks), name in _MAIN or "main" in marks
 
 
 def _role(path: tuple[str, ...], whole: frozenset[tuple[str, ...]] = frozenset()) -> str:
-    """What a container path says: ``beside``, ``main`` or ``open``; marks of the containers in ``whole`` do not count."""
-    main = False
+    """What a container path says: ``beside``, ``main``, ``open``, or ``doubt`` in a main region; marks of the containers in ``whole`` do not count."""
+    main = doubt = False
     for i, step in enumerate(path):
-        beside, top, inner = _marks(step)
-        if (beside or (top and not main)) and path[: i + 1] not in whole:
-            return "beside"
+        beside, vague, top, inner = _marks(step)
+        if path[: i + 1] not in whole:
+            if vague and (main or inner):
+                doubt = True
+            elif beside or (top and not main):
+                return "beside"
         main = main or inner
-    return "main" if main else "open"
+    return ("doubt" if doubt else "main") if main else "open"
+
 
+def _blamed(path: tuple[str, ...], whole: frozenset[tuple[str, ...]]) -> tuple[str, ...] | None:
+    """The outermost container that puts a path beside the main text by its class or id, not by what the element is."""
+    for i in range(len(path)):
+        if _role(path[: i + 1], whole) == "beside":
+            return None if path[i].split(".")[0] in _ASIDE | {"header"} else path[: i + 1]
+    return None
 
-#: Parts of a group, at most.
-_LONGEST = 12
+
+def _reads_on(text: str, link: int) -> bool:
+    """Whether a text in doubt reads as one, not as a row of buttons."""
+    return 2 * link <= len(text) and len(text) >= 40
 
 
 @dataclass
@@ -158,21 +177,34 @@ def _joined(a: Node, b: Node, same_page: bool) -> Node:
     )
 
 
-def fold(nodes: list[Node], known: frozenset[tuple] = frozenset(), longest: int = _LONGEST) -> list[Node]:
+def fold(nodes: list[Node], known: frozenset[tuple] = frozenset()) -> list[Node]:
     """``nodes`` with parts that follow each other again folded into one repeated part, innermost first.
 
-    A stretch of up to ``longest`` nodes that repeats at once becomes a group; one whose keys are those of
-    a ``known`` group becomes that group even where it stands once.
+    A stretch of nodes that repeats at once becomes a group; one whose keys are those of a ``known`` group becomes
+    that group even where it stands once. Only lengths at which some node's key comes again, or that a known group has, are tried.
     """
-    for width in range(1, longest + 1):
+    width, lengths = 0, {len(k) - 1 for k in known}
+    while True:
+        number: dict[tuple, int] = {}
+        ids = [number.setdefault(x.key, len(number)) for x in nodes]
+        last: dict[int, int] = {}
+        gaps = set(lengths)
+        for at, i in enumerate(ids):
+            gaps.add(at - last.get(i, at))
+            last[i] = at
+        width = min((g for g in gaps if g > width), default=0)
+        if not width or width > len(nodes):
+            return nodes
+        asked = {tuple(number.get(k, -1) for k in key[1:]) for key in known if len(key) - 1 == width}
         out: list[Node] = []
         at = 0
         while at + width <= len(nodes):
-            keys = [x.key for x in nodes[at : at + width]]
             end = at + width
-            while [x.key for x in nodes[end : end + width]] == keys:
-                end += width
-            if end == at + width and (width == 1 or ("group", *keys) not in known):
+            if end < len(ids) and ids[at] == ids[end]:
+                stretch = ids[at:end]
+                while ids[end : end + width] == stretch:
+                    end += width
+            if end == at + width and (width == 1 or tuple(ids[at:end]) not in asked):
                 out.append(nodes[at])
                 at += 1
                 continue
@@ -186,7 +218,6 @@ def fold(nodes: list[Node], known: frozenset[tuple] = frozenset(), longest: int
                 out.append(Node(parts=parts, plus=end > at + width, n=max(x.n for x in parts)))
             at = end
         nodes = out + nodes[at:]
-    return nodes
 
 
 def _groups(nodes: list[Node]) -> frozenset[tuple]:
@@ -231,25 +262,36 @@ class Wrapper:
             at_i, at_j = i + 1, j + 1
         self.nodes, self.pages = out, self.pages + 1
 
-    def settle(self, least_pages: int = 3, region_share: float = 0.8, whole_share: float = 0.95) -> None:
+    def settle(self, least_pages: int = 3, region_share: float = 0.8, whole_share: float = 0.95, rescue_share: float = 0.25) -> None:
         """Label every slot ``main`` (in the host's main region), ``open`` (main where a page has no such region) or
         ``beside``, and keep as its ``common`` the template's texts alone.
 
         The slots' texts decide first: what stands in a slot on each of ``least_pages`` pages or more is template, and an
-        open slot that is mostly links is beside. Names of containers tell what is left apart, but a container that
-        holds ``whole_share`` of all varying text is no region beside it, whatever it is called. Texts of a main region are
-        template only in a slot that stands on every page, one page more than that at least, while slots with
+        open slot that is mostly links is beside, as is one in doubt that is mostly links or has one text. Names of containers tell what is left apart, but a
+        container that holds ``whole_share`` of all varying text is no region beside it, whatever it is called, and where names leave
+        less than ``rescue_share`` of the varying text, the container of most such text loses its mark, and the next, until they leave that much. Texts of a main
+        region are template only in a slot that stands on every page, one page more than that at least, while slots with
         differing texts hold ``region_share`` of the region: so articles that a host repeats do not pass for a template.
         """
         slots = [s for node in self.nodes for s in node.slots()]
+        varying = [s for s in slots if not s.fixed and 2 * s.link <= s.chars]
         mass: dict[tuple[str, ...], int] = {}
-        for s in slots:
-            if not s.fixed and 2 * s.link <= s.chars:
-                for i in range(len(s.path) + 1):
-                    mass[s.path[:i]] = mass.get(s.path[:i], 0) + s.chars
+        for s in varying:
+            for i in range(len(s.path) + 1):
+                mass[s.path[:i]] = mass.get(s.path[:i], 0) + s.chars
         if self.pages >= least_pages:
             self.whole = frozenset(x for x, n in mass.items() if x and n >= whole_share * mass[()])
+            while sum(s.chars for s in varying if _role(s.path, self.whole) != "beside") < rescue_share * mass.get((), 0):
+                blamed: dict[tuple[str, ...], int] = {}
+                for s in varying:
+                    if at := _blamed(s.path, self.whole):
+                        blamed[at] = blamed.get(at, 0) + s.chars
+                if not blamed:
+                    break
+                self.whole |= {max(blamed, key=lambda x: (blamed[x], x))}
         roles = [_role(s.path, self.whole) for s in slots]
+        if self.pages >= least_pages:
+            roles = [role if role != "doubt" else "beside" if 2 * s.link > s.chars or (s.fixed and s.n >= least_pages) else "main" for s, role in zip(slots, roles, strict=True)]
         region = sum(s.chars for s, role in zip(slots, roles, strict=True) if role == "main")
         varied = sum(s.chars for s, role in zip(slots, roles, strict=True) if role == "main" and not s.fixed)
         for s, role in zip(slots, roles, strict=True):
@@ -259,7 +301,10 @@ class Wrapper:
             s.label = "beside" if role == "open" and 2 * s.link > s.chars else role
 
     def read(self, page: list[tuple[tuple[str, ...], str, int]]) -> list[str]:
-        """A label for each block of a page: that of the slot it matches, else what its containers say."""
+        """A label for each block of a page: that of the slot it matches, else what its containers say.
+
+        An open block that is mostly a link, and that no slot is known for, stays between two blocks of its container that do.
+        """
         nodes = _slots(page)
         digests = [x.common for x in nodes]
         labels = [""] * len(page)
@@ -270,10 +315,19 @@ class Wrapper:
                     for at in found.blocks:
                         labels[at] = "beside" if digests[at] & slot.common else slot.label
         template = frozenset().union(*(s.common for node in self.nodes for s in node.slots()))
+        linked = []
         for at, (path, text, link) in enumerate(page):
             if not labels[at]:
                 role = _role(path, self.whole)
+                if role == "open" and 2 * link > len(text):
+                    linked.append(at)
                 labels[at] = "beside" if role == "open" and (2 * link > len(text) or digests[at] & template) else role
+            if labels[at] == "doubt":
+                labels[at] = "main" if _reads_on(text, link) else "beside"
+        for at in linked:
+            near = [i for i in (at - 1, at + 1) if 0 <= i < len(page) and page[i][0] == page[at][0] and labels[i] == "open"]
+            if len(near) == 2 and not digests[at] & template:
+                labels[at] = "open"
         return labels
 
     def to_json(self) -> str:
@@ -290,7 +344,7 @@ class Wrapper:
 def _optional(run: list[Node]) -> list[Node]:
     """A run of parts that the other side lacks, as one optional part."""
     fresh = [x for x in run if not x.optional]
-    if not 1 < len(run) <= _LONGEST or len(fresh) < len(run):
+    if len(run) < 2 or len(fresh) < len(run):
         for node in run:
             node.optional = True
         return run
@@ -307,9 +361,20 @@ def infer(pages: list[str]) -> Wrapper:
 
 
 def main_text(page: str, wrapper: Wrapper) -> str:
-    """The main text of a page: its blocks that the host's wrapper labels main; if there are none, its open blocks."""
+    """The main text of a page: its blocks that the host's wrapper labels main; if there are none, its open blocks.
+
+    Where that leaves nothing, the container loses its mark that its class or id alone puts beside the text and that holds most text which reads as one.
+    """
     found = list(blocks(page))
     labels = wrapper.read(found)
+    if not {"main", "open"} & set(labels):
+        blamed: dict[tuple[str, ...], int] = {}
+        for path, text, link in found:
+            if (at := _blamed(path, wrapper.whole)) and _reads_on(text, link):
+                blamed[at] = blamed.get(at, 0) + len(text)
+        if blamed:
+            whole = wrapper.whole | {max(blamed, key=lambda x: (blamed[x], x))}
+            labels = Wrapper(whole=whole).read(found)
     wanted = "main" if "main" in labels else "open"
     return "\n\n".join(text for (_, text, _), label in zip(found, labels, strict=True) if label == wanted)
 
@@ -341,7 +406,7 @@ def extract_main_text(df: DataFrame, *, url: str = "url", html: str = "html", ou
     wrappers = materialise(sample.groupBy("host").applyInPandas(learn, "host string, plan string"))
     wrappers = broadcast_if_small(wrappers, F.octet_length("plan") + F.octet_length("host"))
     joined = keyed.join(wrappers.select(F.col("host").alias(name), F.col("plan").alias(plan)), keyed[host] == F.col(name), "left")
-    rest = [c for c in df.columns if c not in (html, out)]
+    rest = only_columns(df, drop=(html, out))
     lean = joined.select(*map(col, rest), col(html).alias(mark), F.col(plan).alias(plan))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
