@@ -5,9 +5,11 @@ from __future__ import annotations
 from decimal import Decimal, InvalidOperation, localcontext
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import identity
+
 # Tolerances of a reported value.
 ABSOLUTE = Decimal("0.01")
 RELATIVE = Decimal("0.0001")
@@ -93,3 +95,19 @@ def validated(calculations: DataFrame, facts: DataFrame) -> DataFrame:
     same = F.coalesce(F.lower("reported_unit") == F.lower(unit), F.lit(False))
     passed = F.col("failure").isNull() & same & F.pandas_udf(close, "boolean")("expected", "reported")
     return priced.select("calc_id", "operation", "failure", "expected", passed.alias("passed"))
+
+
+def fact_evidence(asked: DataFrame, facts: DataFrame) -> DataFrame:
+    """``request_id, violated, n, fact_id, observation_key``: the facts that each request gets, latest first, numbered F1 and on.
+
+    ``asked(request_id, cik, concepts, limit)``: without an issuer, or with a limit of 0, no facts are asked for; blank or repeated concepts (once trimmed)
+    are refused (``violated``). A request without facts has one row, null from ``n`` on.
+    """
+    tidy = F.array_sort(F.transform("concepts", lambda x: F.trim(x)))
+    sound = ~F.exists(tidy, lambda c: c == "") & (F.size(F.array_distinct(tidy)) == F.size(tidy))
+    rows = asked.select("request_id", identity.normalized_cik(F.col("cik")).alias("cik"), tidy.alias("concepts"), "limit", F.when(sound, "").otherwise("concepts").alias("violated"))
+    wanted = rows.where("violated = '' and cik is not null and limit > 0").select("request_id", "cik", "limit", F.explode("concepts").alias("concept"))
+    held = wanted.join(facts.select("cik", "concept", "filed_date", "end_date", "observation_key"), ["cik", "concept"])
+    n = F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("filed_date"), F.desc("end_date"), "concept", "observation_key"))
+    first = held.withColumn("n", n).where("n <= limit").select("request_id", "n", F.concat(F.lit("F"), F.col("n").cast("string")).alias("fact_id"), "observation_key")
+    return rows.select("request_id", "violated").join(first, "request_id", "left")

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Fields of a filing that a later delivery must not change.
+FILING_FIELDS = ["cik", "form_type", "filing_date", "report_date", "primary_document", "source_url", "content_hash"]
+
+
 def upsert(existing: DataFrame, incoming: DataFrame, key: str, attributes: list[str]) -> DataFrame:
     """All keys of both; an incoming row replaces the attributes of an existing one."""
     both = existing.alias("e").join(incoming.withColumn("_new", F.lit(True)).alias("i"), key, "full_outer")
@@ -52,6 +56,20 @@ def optimistic_update(target: DataFrame, updates: DataFrame, keys: list[str], co
     return joined.select(*keys, *(F.col(f"t.{c}") for c in kept), *(F.when(new, F.col(f"u.{c}")).otherwise(F.col(f"t.{c}")).alias(c) for c in columns), new.alias("updated"))
 
 
+def checked_updates(sent: DataFrame, *, batch: str, key: str, fault: Column) -> DataFrame:
+    """``sent`` with the ``fault`` of each update (``repeated`` where its batch names the key twice, else what ``fault`` says) and whether its batch is ``refused``: one fault is enough."""
+    times = sent.groupBy(batch, key).agg((F.count(F.lit(1)) > 1).alias("_twice"))
+    judged = sent.join(times, [batch, key]).withColumn("fault", F.when(F.col("_twice"), "repeated").otherwise(fault)).drop("_twice")
+    return judged.join(judged.groupBy(batch).agg((F.count("fault") > 0).alias("refused")), batch)
+
+
+def applied(target: DataFrame, judged: DataFrame, keys: list[str]) -> DataFrame:
+    """``judged`` updates with a ``verdict``: ``refused``, ``updated`` where ``target`` has the same keys, else ``stale``."""
+    hit = target.select(*keys).distinct().withColumn("_hit", F.lit(True))
+    verdict = F.when(F.col("refused"), "refused").when(F.col("_hit"), "updated").otherwise("stale")
+    return judged.join(hit, keys, "left").withColumn("verdict", verdict).drop("_hit")
+
+
 def violations(rules: dict) -> Column:
     """Names of the violated rules, in the stated order, joined by commas; a null verdict is a violation."""
     return F.array_join(F.array_compact(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()))), ",")

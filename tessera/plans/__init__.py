@@ -1,5 +1,5 @@
 """plans."""
 
-from tessera.plans import chains, guardrails, lifecycle, registry, search
+from tessera.plans import chains, guardrails, lifecycle, registry, rules, search
 
-__all__ = ["chains", "guardrails", "lifecycle", "registry", "search"]
+__all__ = ["chains", "guardrails", "lifecycle", "registry", "rules", "search"]

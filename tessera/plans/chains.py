@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.storage import shared_folder
 from tessera.operators import contracts, experiments, filings, investigations, store
 from tessera.plans import registry
 from tessera.plans.registry import query, sql_fixed
 from tessera.plans.views import with_views
-from tessera.sources import company_json
+from tessera.sources import company_folder, company_json
 from tessera.sources.adapters import Domain
 
 fixed = registry.fixed
@@ -137,10 +140,26 @@ def search_request_violations(d: Domain) -> DataFrame:
 # --- sources in their JSON forms
 
 
-@query(with_views("""select cik, (row_number() over (partition by cik order by accession_number) - 1)::int as ordinal, accession_number, form_type, filing_date,
-    case when filing_id % 3 > 0 then filing_date end as report_date, primary_document from filings""", "filings"))
+SUBMISSIONS_SQL = with_views("""select cik, (row_number() over (partition by cik order by accession_number) - 1)::int as ordinal, accession_number, form_type, filing_date,
+    case when filing_id % 3 > 0 then filing_date end as report_date, primary_document from filings""", "filings")
+
+
+@query(SUBMISSIONS_SQL)
 def submissions_read(d: Domain) -> DataFrame:
     """Companies' submission documents, parallel arrays in JSON, as rows; a blank report date is none."""
+    return company_json.submissions(_submissions(d), cik="cik", body="body")
+
+
+@query(SUBMISSIONS_SQL)
+def submissions_folder_read(d: Domain) -> DataFrame:
+    """The same rows from a folder of documents, one file for each company, by a data source of its own."""
+    folder = f"{shared_folder(d.spark)}/companies-{uuid.uuid4().hex}"
+    company_folder.write_documents(_submissions(d), folder, cik="cik", body="body")
+    company_folder.register(d.spark)
+    return d.spark.read.format("company_submissions").load(folder)
+
+
+def _submissions(d: Domain) -> DataFrame:
     day = F.date_format("filing_date", "yyyy-MM-dd")
     row = F.struct("accession_number", "form_type", day.alias("day"), F.when(F.col("filing_id") % 3 > 0, day).otherwise("").alias("report"), "primary_document")
     recent = d.filings().groupBy("cik").agg(F.array_sort(F.collect_list(row)).alias("r"))
@@ -148,8 +167,7 @@ def submissions_read(d: Domain) -> DataFrame:
         F.col("r.accession_number").alias("accessionNumber"), F.col("r.form_type").alias("form"), F.col("r.day").alias("filingDate"),
         F.col("r.report").alias("reportDate"), F.col("r.primary_document").alias("primaryDocument"),
     )
-    texts = recent.select("cik", F.to_json(F.struct("cik", F.struct(arrays.alias("recent")).alias("filings"))).alias("body"))
-    return company_json.submissions(texts, cik="cik", body="body")
+    return recent.select("cik", F.to_json(F.struct("cik", F.struct(arrays.alias("recent")).alias("filings"))).alias("body"))
 
 
 _PICKED = "select * from facts_raw where taxonomy = 'us-gaap'"

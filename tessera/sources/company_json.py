@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 # The documents' fields, the taxonomies of old, and the most facts that one document may select.
 SUBMISSIONS = "cik string, filings struct<recent: struct<accessionNumber: array<string>, form: array<string>, filingDate: array<string>, reportDate: array<string>, primaryDocument: array<string>>>"
-FACTS = "cik string, facts map<string, map<string, struct<units: map<string, array<struct<val: decimal(38,10), accn: string, fy: int, form: string, filed: date, end: date>>>>>>"
 TAXONOMIES = ("dei", "us-gaap")
 MAX_FACTS = 100_000
 
@@ -36,23 +35,31 @@ def submissions(texts: DataFrame, *, cik: str, body: str) -> DataFrame:
 
 
 def company_facts(texts: DataFrame, *, cik: str, body: str, taxonomies: list[str] | tuple[str, ...] = TAXONOMIES, limit: int = MAX_FACTS) -> DataFrame:
-    """``cik, taxonomy, concept, unit, value, accession_number, fiscal_year, form_type, filed_date, end_date``: the observations of some taxonomies.
+    """``cik, taxonomy, concept, unit, value, accession_number, fiscal_year, form_type, filed_date, end_date, other``: the observations of some taxonomies.
 
-    Names of taxonomies are trimmed and lower-cased; none is an error, and one that a document lacks gives nothing. A document that
-    selects more than ``limit`` observations is an error.
+    Documents are variants: each level is exploded to rows of its own, which spread over tasks before the next, so that a large document is no task's work, and a
+    field that is not named here stays in ``other`` (a variant object of the whole observation). A value may be a number or the text of one. Names of taxonomies are trimmed and
+    lower-cased; none is an error, and one that a document lacks gives nothing. A document that selects more than ``limit`` observations is an error, as is one that
+    is no JSON object or of another company.
     """
     wanted = sorted({x.strip().lower() for x in taxonomies} - {""})
     if not wanted:
         raise ValueError("at least one taxonomy is needed")
-    mine = F.map_filter("x.facts", lambda name, _: F.lower(name).isin(*wanted))
-    picked = _own(texts, cik, body, FACTS).select("cik", mine.alias("facts"))
-    lengths = lambda units: F.aggregate(F.map_values(units), F.lit(0), lambda n, rows: n + F.size(rows))
-    concepts = lambda found: F.aggregate(F.map_values(found), F.lit(0), lambda n, c: n + lengths(c["units"]))
-    total = F.aggregate(F.map_values("facts"), F.lit(0), lambda n, found: n + concepts(found))
-    ok = F.when(total > limit, F.raise_error(F.concat(F.lit("too many facts of company "), F.col("cik")))).otherwise(F.lit(True))
-    rows = picked.where(ok.cast("boolean")).select("cik", F.explode("facts").alias("taxonomy", "a")).select("cik", "taxonomy", F.explode("a").alias("concept", "b"))
-    rows = rows.select("cik", "taxonomy", "concept", F.explode("b.units").alias("unit", "c")).select("cik", "taxonomy", "concept", "unit", F.explode("c").alias("o"))
-    return rows.select(
-        "cik", "taxonomy", "concept", "unit", F.col("o.val").cast("decimal(18,2)").alias("value"), F.col("o.accn").alias("accession_number"), F.col("o.fy").alias("fiscal_year"),
-        F.col("o.form").alias("form_type"), F.col("o.filed").alias("filed_date"), F.col("o.end").alias("end_date"),
+    parsed = texts.select(F.col(cik).alias("cik"), F.xxhash64(cik, body).alias("document"), F.expr(f"try_parse_json(`{body}`)").alias("x"))
+    same = F.lpad(F.try_variant_get("x", "$.cik", "string"), 10, "0") == F.lpad(F.col("cik"), 10, "0")
+    own = F.when(F.coalesce(same, F.lit(False)), F.col("x")).otherwise(F.raise_error(F.concat(F.lit("no document of company "), F.col("cik"))).cast("variant"))
+    documents = parsed.select("cik", "document", F.try_variant_get(own, "$.facts", "variant").alias("v"))
+    explode = lambda rows, *kept: rows.lateralJoin(rows.sparkSession.tvf.variant_explode(F.col("v").outer())).select(*kept, F.col("key"), F.col("value").alias("v"))
+    by_taxonomy = explode(documents, "cik", "document").withColumnRenamed("key", "taxonomy").where(F.lower("taxonomy").isin(*wanted))
+    by_concept = explode(by_taxonomy, "cik", "document", "taxonomy").withColumnRenamed("key", "concept")
+    units = by_concept.withColumn("v", F.try_variant_get("v", "$.units", "variant"))
+    by_unit = explode(units.repartition("document", "taxonomy", "concept"), "cik", "document", "taxonomy", "concept").withColumnRenamed("key", "unit")
+    rows = explode(by_unit, "cik", "document", "taxonomy", "concept", "unit").withColumnRenamed("v", "o")
+    over = rows.groupBy(F.col("document").alias("_d")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
+    checked = rows.join(over, rows["document"] == over["_d"], "left")
+    ok = F.when(F.col("n").isNotNull(), F.raise_error(F.concat(F.lit("too many facts of company "), F.col("cik"))).cast("boolean")).otherwise(F.lit(True))
+    get = lambda name, kind: F.try_variant_get("o", f"$.{name}", kind)
+    return checked.where(ok).select(
+        "cik", "taxonomy", "concept", "unit", get("val", "decimal(38,10)").cast("decimal(18,2)").alias("value"), get("accn", "string").alias("accession_number"), get("fy", "int").alias("fiscal_year"),
+        get("form", "string").alias("form_type"), get("filed", "date").alias("filed_date"), get("end", "date").alias("end_date"), F.col("o").alias("other"),
     )
