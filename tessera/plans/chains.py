@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.storage import shared_folder
-from tessera.operators import contracts, experiments, filings, investigations, store
+from tessera.operators import contracts, experiments, filings, investigations, store, subwords
 from tessera.plans import registry
 from tessera.plans.registry import query, sql_fixed
 from tessera.plans.views import with_views
-from tessera.sources import company_folder, company_json
+from tessera.sources import company_folder, company_json, files
 from tessera.sources.adapters import Domain
 
 fixed = registry.fixed
@@ -154,7 +155,7 @@ def submissions_read(d: Domain) -> DataFrame:
 def submissions_folder_read(d: Domain) -> DataFrame:
     """The same rows from a folder of documents, one file for each company, by a data source of its own."""
     folder = f"{shared_folder(d.spark)}/companies-{uuid.uuid4().hex}"
-    company_folder.write_documents(_submissions(d), folder, cik="cik", body="body")
+    files.write_documents(_submissions(d), folder, name="cik", body="body")
     company_folder.register(d.spark)
     return d.spark.read.format("company_submissions").load(folder)
 
@@ -170,6 +171,25 @@ def _submissions(d: Domain) -> DataFrame:
     return recent.select("cik", F.to_json(F.struct("cik", F.struct(arrays.alias("recent")).alias("filings"))).alias("body"))
 
 
+@query("""select page_id::varchar || '.htm' as name, octet_length(encode(html)) as length, 'ok' as status, sha256(html) as content_hash, 0::bigint as read_again
+    from pages where html <> ''""")
+def filing_bytes(d: Domain) -> DataFrame:
+    """Hashes of the bytes of filings' files, by a stream that takes each file once; a second run over the same files reads none."""
+    base = f"{shared_folder(d.spark)}/filings-{uuid.uuid4().hex}"
+    files.write_documents(d.raw("pages").where("html is not null"), f"{base}/in", name="page_id", body="html", suffix=".htm")
+    files.ingest_bytes(d.spark, f"{base}/in", f"{base}/out")
+    again = files.ingest_bytes(d.spark, f"{base}/in", f"{base}/out")
+    rows = files.ingested_files(d.spark, f"{base}/out")
+    return rows.select(F.substring_index("path", "/", -1).alias("name"), "length", "status", "content_hash", F.lit(again.new).cast("long").alias("read_again"))
+
+
+@query()
+def subword_chunks(d: Domain) -> DataFrame:
+    """Overlapping windows over the byte-pair tokens of documents, with their places in tokens and bytes."""
+    rows = subwords.subword_windows(d.raw("documents"), doc="doc_id", text="text", ranks=public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
+    return rows.select("doc_id", "chunk_index", "token_start", "token_end", "byte_start", "byte_end", F.sha2("content", 256).alias("content_hash"))
+
+
 _PICKED = "select * from facts_raw where taxonomy = 'us-gaap'"
 
 

@@ -8,15 +8,15 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, In, InputPartition
 
 SCHEMA = "cik string, ordinal int, accession_number string, form_type string, filing_date date, report_date date, primary_document string"
 _FIELDS = ("accessionNumber", "form", "filingDate", "reportDate", "primaryDocument")
 
+from tessera.sources.files import store_of
+
 
 @dataclass
 class Issuers(InputPartition):
@@ -37,10 +37,6 @@ def rows_of(path: str, text: str) -> Iterator[tuple]:
         yield cik, i, accession, form, day(filed), day(reported), document
 
 
-def _store(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-
-
 class _Folder:
     """Files ``<ten digits>.json`` of a folder, in any store that the libraries of driver and executors reach."""
 
@@ -49,7 +45,7 @@ class _Folder:
 
     def files(self) -> list[tuple[str, int]]:
         """Names and times of change; an issuer has one file, so names alone are held."""
-        store, path = _store(self.path)
+        store, path = store_of(self.path)
         found = store.get_file_info(fs.FileSelector(path))
         return sorted((x.base_name, x.mtime_ns or 0) for x in found if x.base_name.endswith(".json") and len(x.base_name) == 15)
 
@@ -62,7 +58,7 @@ class _Folder:
     @staticmethod
     def read(partition: Issuers) -> Iterator[tuple]:
         for whole in partition.paths:
-            store, path = _store(whole)
+            store, path = store_of(whole)
             with store.open_input_stream(path) as file:
                 yield from rows_of(whole, file.readall().decode())
 
@@ -131,18 +127,3 @@ def register(spark: SparkSession) -> None:
     """Make the format known to a session, and let it take filters."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(CompanySubmissions)
-
-
-def write_documents(texts: DataFrame, folder: str, *, cik: str, body: str) -> int:
-    """Write each text as its issuer's file in ``folder``, from the tasks that hold it; a task that runs again writes the same. Their number is returned."""
-
-    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = _store(folder)
-        store.create_dir(base, recursive=True)
-        for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                with store.open_output_stream(f"{base}/{name}.json") as out:
-                    out.write(text.encode())
-            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
-
-    return texts.select(cik, body).mapInArrow(put, "n long").agg(F.sum("n")).first()[0] or 0
