@@ -102,7 +102,7 @@ def _to_heads(held: DataFrame) -> DataFrame:
     return pairs.select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct()
 
 
-def _units(held: DataFrame, groups: DataFrame, unit: int) -> DataFrame:
+def stray_units(held: DataFrame, groups: DataFrame, unit: int) -> DataFrame:
     """``key, i, j, left, right, stray, node, group``: members of buckets in which groups meet, dealt for comparison.
 
     Members outside a bucket's largest group are its strays; every pair of groups has a stray. Strays and members are cut by hash into chunks of about ``unit``, and
@@ -129,7 +129,7 @@ def _across(held: DataFrame, nodes: DataFrame, groups: DataFrame, least: int, si
     Of each stray the nearest alone, if asked. A task holds one chunk of strays and one of members.
     """
     by = ["key", "i", "j"]
-    units = _units(held, groups, unit).join(nodes.select("node", "n", "sig", "sketch"), "node")
+    units = stray_units(held, groups, unit).join(nodes.select("node", "n", "sig", "sketch"), "node")
     dealt = units.select(*by, "left", "right", "stray", "node", "group", "n", "sig", "sketch").repartition(*by).sortWithinPartitions(*by, "node")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -123,6 +124,69 @@ def labels(links: DataFrame) -> DataFrame:
     return broadcast_if_small(materialise(connected_components(links)), F.lit(16))
 
 
+#: Holders of a shingle beyond which its pairs are compared where they meet, and holders of a chunk.
+HOT, CHUNK = 128, 1024
+
+
+def _hot_pairs(held: DataFrame, nodes: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: pairs of different groups that share a key of many holders ``held(key, node)``, and whose sizes and sketches allow the similarity.
+
+    Holders are cut into chunks that meet in tasks, and only pairs that may be links leave these: a passage that very many documents share is
+    compared, by sketches of some bytes, but its pairs are never written out.
+    """
+    from tessera.llm.minhash import stray_units  # which builds on this module
+
+    units = stray_units(held.select("key", "node"), groups.withColumnRenamed("group", "component"), CHUNK)
+    by = ["key", "i", "j"]
+    dealt = units.join(nodes.select("node", "n", "sketch"), "node").select(*by, "left", "right", "stray", "node", "group", "n", "sketch")
+    dealt = dealt.repartition(*by).sortWithinPartitions(*by, "node")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pd.DataFrame | None = None
+        for batch in _then_none(batches):
+            pdf = rest if batch is None else batch.to_pandas() if rest is None else pd.concat([rest, batch.to_pandas()], ignore_index=True)
+            if pdf is None or not len(pdf):
+                continue
+            cuts = np.flatnonzero(np.logical_or.reduce([pdf[c].to_numpy()[1:] != pdf[c].to_numpy()[:-1] for c in by])) + 1
+            cuts = [0, *cuts.tolist(), *([len(pdf)] if batch is None else [])]
+            for start, end in zip(cuts, cuts[1:], strict=False):
+                yield _alike(pdf.iloc[start:end], similarity)
+            rest = pdf.iloc[cuts[-1] :]
+
+    return dealt.mapInArrow(search, "a long, b long")
+
+
+def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def _alike(pdf: pd.DataFrame, similarity: float) -> pa.RecordBatch:
+    """The pairs of a unit, a left and a right member, whose sizes and sketches allow the similarity."""
+    node, group, n, stray, left, right = (pdf[c].to_numpy() for c in ("node", "group", "n", "stray", "left", "right"))
+    drawn = [np.asarray(x, "int64").view("uint64") for x in pdf["sketch"]]
+    width = np.array([len(x) for x in drawn])
+    a, b = [np.zeros(0, "int64")], [np.zeros(0, "int64")]
+    folded = lambda rows, to: rows if rows.shape[1] == to else folded(rows[:, : rows.shape[1] // 2] ^ rows[:, rows.shape[1] // 2 :], to)
+    rights = {w: np.flatnonzero(right & (width == w)) for w in np.unique(width[right])}
+    tables = {w: np.stack([drawn[i] for i in at]) for w, at in rights.items()}
+    for w, at in rights.items():
+        for v in (w // 2, w, 2 * w):  # sets alike in size have sketches of one length, or one twice the other's
+            to = min(v, w)
+            lefts = np.flatnonzero(left & (width == v))
+            if not len(lefts):
+                continue
+            table, own = folded(tables[w], to), folded(np.stack([drawn[i] for i in lefts]), to)
+            for x, bits in zip(lefts, own, strict=True):
+                able = (group[at] != group[x]) & (np.minimum(n[at], n[x]) >= np.maximum(n[at], n[x]) * (similarity - 1e-9)) & (~stray[at] | (node[x] < node[at]))
+                y = np.flatnonzero(able)
+                apart = np.bitwise_count(table[y] ^ bits).sum(axis=1)
+                y = at[y[apart <= (n[at[y]] + n[x]) * (1 - similarity) / (1 + similarity) + 1e-6]]
+                a.append(np.minimum(node[x], node[y]))
+                b.append(np.maximum(node[x], node[y]))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+
 def similar_pairs(prints: DataFrame, lean: DataFrame, shingle: int, similarity: float, radius: int) -> DataFrame:
     """``a, b``: pairs that connect all distinct sets whose common shingles are ``similarity`` of their union or more."""
     nodes = materialise(prints.groupBy("node").agg(F.min("uid").alias("uid"), *(F.first(c).alias(c) for c in ("n", "fp", "sketch"))))
@@ -130,13 +194,16 @@ def similar_pairs(prints: DataFrame, lean: DataFrame, shingle: int, similarity:
     # What SimHash has joined is one group; from here on only pairs of different groups are looked for.
     groups = labels(links).withColumnRenamed("component", "group")
     keyed = prints.select("node", "n", "prefix").join(groups, "node", "left").select("node", "n", F.coalesce("group", "node").alias("group"), F.explode("prefix").alias("key"))
-    mixed = materialise(keyed.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key"))
-    held = materialise(keyed.join(broadcast_if_small(mixed, F.lit(8)), "key").distinct())
-    a, b = held.alias("a"), held.alias("b")
+    mixed = keyed.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count(F.lit(1)).alias("holders"))
+    mixed = materialise(mixed.where("low < high").select("key", "holders"))
+    held = materialise(keyed.join(broadcast_if_small(mixed, F.lit(16)), "key").distinct())
+    few = held.where(F.col("holders") <= HOT)
+    a, b = few.alias("a"), few.alias("b")
     near = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.group") != F.col("b.group"))
     # Sets of that similarity are also alike in size.
     near &= F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * F.lit(similarity - 1e-9)
-    pairs = materialise(a.join(b, near).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct())
+    pairs = a.join(b, near).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+    pairs = materialise(pairs.unionByName(_hot_pairs(held.where(F.col("holders") > HOT), nodes, groups, similarity)).distinct())
     # And their sketches are, which spares most others the comparison of whole sets.
     left, right = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")) for x in "ab")
     half = lambda s: F.zip_with(F.slice(s, 1, (F.size(s) / 2).cast("int")), F.slice(s, (F.size(s) / 2).cast("int") + 1, F.size(s)), lambda x, y: x.bitwiseXOR(y))
@@ -176,7 +243,8 @@ def similar_groups(
     compared as whole sets, which joins most copies without pairs inside their groups. 64 bits cannot tell all sets of a similarity of 0.8
     apart from others, so an exact way takes the rest, and no link is missed: of two such sets, ordered alike, the first
     n - ceil(similarity n) + 1 shingles of each have one in common. Sets of different groups that meet there, and
-    whose sizes and sketches allow that similarity, are compared whole.
+    whose sizes and sketches allow that similarity, are compared whole. The pairs of a shingle that many sets hold there are never
+    written out: its holders meet in chunks, in tasks, and only pairs that sketches allow leave these.
     The order puts shingles last that a sample of documents repeats; it bears on time, not on the result.
 
     Documents of equal sets are one node. Null and blank texts have the empty set and are one node. Repeated rows give

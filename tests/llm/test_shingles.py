@@ -1,6 +1,7 @@
 """The pipeline's near-duplicates stage against brute force on copies that share 0.8 of their shingles."""
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from tessera.llm.shingles import shingle_set, similar_groups
@@ -58,6 +59,16 @@ def test_groups_match_brute_force(spark):
     assert similar_groups(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("hot, chunk", [(1, 7), (2, 1000)])
+def test_hot_shingles_lose_no_link(spark, monkeypatch, hot, chunk):
+    monkeypatch.setattr("tessera.llm.shingles.HOT", hot)
+    monkeypatch.setattr("tessera.llm.shingles.CHUNK", chunk)
+    rows = copies(np.random.default_rng(18))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((r.doc_id or -1, r.component_id or -1) for r in similar_groups(df, sample=1).collect())
+    assert found == sorted((d or -1, c or -1) for (d, _), c in zip(rows, brute_components(rows), strict=True))
+
+
 def test_stage_drops_copies_of_similarity_eight_tenths(spark):
     rng = np.random.default_rng(9)
     rows = []
