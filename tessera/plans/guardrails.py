@@ -95,26 +95,26 @@ def draft_contract_violations(d: Domain) -> DataFrame:
 
 _OBSERVED = """select conv_id as case_id, bool_or(role = 'assistant') as completed, not bool_or(role = 'assistant') as abstained, conv_id % 5 = 0 as expected_abstain,
     sum((role = 'system' and turn % 2 = 1)::int) as findings,
-    count(*) filter (role = 'assistant') as n_claims, coalesce(bool_and(case when turn % 7 = 5 then false else length(text) % 4 <> 0 end) filter (role = 'assistant'), true) as supported,
+    count(*) filter (role = 'assistant') as n_claims, coalesce(bool_and(case when turn % 7 = 5 then false else length(text) % 4 <> 0 end and turn % 6 <> 3) filter (role = 'assistant'), true) as supported,
     count(*) filter (role = 'user') as n_checks, coalesce(avg((length(text) % 6 <> 0)::int) filter (role = 'user'), 1) as passed
     from conversations group by conv_id"""
 
 
 def _observed(d: Domain) -> DataFrame:
-    """One row for each conversation: assistant turns are claims, user turns checks, odd system turns findings."""
+    """One row for each conversation: assistant turns are claims, user turns checks, odd system turns findings; some citations are not valid, some reviewers are against it."""
     role, n = F.col("role"), F.length("text")
-    claim = F.struct(F.when(F.col("turn") % 7 != 5, n % 4 != 0).alias("supported"), F.lit(True).alias("valid"))
+    claim = F.struct(F.when(F.col("turn") % 7 != 5, n % 4 != 0).alias("supported"), (F.col("turn") % 6 != 3).alias("valid"))
     answered = F.max(role == "assistant")
     return d.raw("conversations").groupBy(F.col("conv_id").alias("case_id")).agg(
         answered.alias("completed"), (~answered).alias("abstained"), (F.first("conv_id") % 5 == 0).alias("expected_abstain"),
         F.sum(((role == "system") & (F.col("turn") % 2 == 1)).cast("int")).alias("findings"),
         F.collect_list(F.when(role == "assistant", claim)).alias("claims"), F.collect_list(F.when(role == "user", n % 6 != 0)).alias("checks"),
-        F.lit(None).cast("boolean").alias("approved"),
+        F.when(F.first("conv_id") % 9 < 2, F.first("conv_id") % 9 == 1).alias("approved"),
     )
 
 
 @query(f"""select case_id, completed, completed and abstained = expected_abstain and (case when expected_abstain then abstained else n_claims > 0 or n_checks > 0 end)
-    and findings = 0 and supported and passed = 1 as verified from ({_OBSERVED})""")
+    and findings = 0 and supported and passed = 1 and case_id % 9 <> 0 as verified from ({_OBSERVED})""")
 def eval_verified_completion(d: Domain) -> DataFrame:
     """Cases that meet every condition of a verified completion."""
     return evaluation.verified_completion(_observed(d))
@@ -174,6 +174,7 @@ def event_contract_violations(d: Domain) -> DataFrame:
     key = F.concat(F.when(F.col("event_id") % 7 == 0, "!").otherwise(F.col("event_type")), F.lit(":"), F.col("event_id").cast("string"))
     value = F.when(F.col("event_id") % 3 != 0, F.col("value"))
     exposure = F.col("event_type") == "view"
+    # Fixed value: the pattern of an event's key.
     rules = {"event_key": key.rlike(r"^[A-Za-z0-9][A-Za-z0-9._:-]{2,199}$"), "exposure_metric": ~exposure | value.isNull(), "outcome_metric": exposure | value.isNotNull()}
     return d.raw("events").select("event_id", store.violations(rules).alias("violated"))
 
