@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACES, broadcast_if_small, col, free_name, hash_sample, materialise
+from tessera.llm.common import SPACES, broadcast_if_small, col, free_name, materialise
 
 _BLANK = r"[\x20\x09-\x0D]"
 #: Character classes of the histogram besides blanks and lower-case ASCII, as patterns; the rest is the last class.
@@ -22,8 +22,7 @@ class Rules:
     min_words: int = 20  #: fewer fail
     max_repeat_percent: int = 30  #: more words than this in repeated windows fail
     window: int = 8  #: words
-    sample_per_language: int = 2000  #: labelled documents that a language's reference is fitted on, about
-    common_words: int = 40  #: of a language's sample
+    common_words: int = 40  #: of a language
     guard_chars: int = 200  #: shorter documents are not judged by character classes
     guard_words: int = 50  #: nor by common words, if they have fewer words than this
     max_class_distance: float = 0.25
@@ -41,7 +40,7 @@ def _let(value: Column, body) -> Column:
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(text, SPACES), lambda w: w != "")
+    return F.array_remove(F.split(text, SPACES), "")
 
 
 def _repeat_words(words: Column, window: int) -> Column:
@@ -123,38 +122,38 @@ def _classes(chars: Column, joined: Column, rest: Column) -> Column:
     return F.array(chars - F.char_length(joined), F.char_length(joined) - F.char_length(rest), *counts, left)
 
 
-def references(df: DataFrame, text: str, lang: str, doc_id: str, rules: Rules) -> DataFrame:
+def references(df: DataFrame, text: str, lang: str, rules: Rules) -> DataFrame:
     """``lang, classes array<double>, common map<hash, share>, slots array<array<hash>>, reach``: a row for each language.
 
     Common words are held by hash, in a table of ``_SLOTS`` places that the hash addresses, so that a
     document's word is looked up in one step; a place holds all words that it is the place of. ``reach`` is
     the word distance of a document with none of them.
 
-    Fitted on a bounded sample, which the rules state: about ``sample_per_language`` documents of each
-    language, by a hash of their id.
+    Fitted on every labelled document: words are counted by language, and character classes come from those
+    counts, by what words have beside lower-case ASCII.
     """
-    labelled = df.select(col(lang).alias("lang"), col(doc_id).alias("id"), F.coalesce(col(text), F.lit("")).alias("t"))
-    sample = materialise(hash_sample(labelled, F.col("lang"), F.col("id"), rules.sample_per_language).select("lang", "t"))
-    counted = (
-        sample.withColumn("j", F.regexp_replace("t", _BLANK, ""))
-        .withColumn("r", F.regexp_replace("j", "[a-z]+", ""))
-        .select("lang", _classes(F.char_length("t"), F.col("j"), F.col("r")).alias("c"), F.char_length("t").alias("n"))
-    )
-    sums = [F.coalesce(F.try_divide(F.sum(F.col("c")[i]), F.sum("n")).cast("double"), F.lit(0.0)) for i in range(len(CLASSES) + 3)]
-    classes = counted.groupBy("lang").agg(F.array(*sums).alias("classes"))
-    words = sample.select("lang", F.explode(_words(F.col("t"))).alias("w")).groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
-    total = words.groupBy("lang").agg(F.sum("n").alias("total"))
+    labelled = df.select(col(lang).alias("lang"), F.coalesce(col(text), F.lit("")).alias("t")).where("lang is not null")
+    words = labelled.select("lang", F.explode(F.split("t", SPACES)).alias("w")).where("w <> ''").groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
+    chars = labelled.groupBy("lang").agg(F.sum(F.char_length("t").cast("long")).alias("chars"))
+    rests = words.withColumn("r", F.regexp_replace("w", "[a-z]+", "")).groupBy("lang", "r").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.char_length("w")).alias("joined"))
+    rests = rests.withColumn("c", _classes(F.char_length("r"), F.col("r"), F.col("r")))
+    counts = F.array(*(F.sum(F.col("n") * F.col("c")[i]) for i in range(2, len(CLASSES) + 3)))
+    total = rests.groupBy("lang").agg(F.sum("n").alias("total"), F.sum("joined").alias("joined"), F.sum(F.col("n") * F.char_length("r")).alias("rest"), counts.alias("counts"))
+    of = lambda x: F.coalesce(x, F.lit(0))  # noqa: E731  # a language without words
+    sums = [F.col("chars") - of(F.col("joined")), of(F.col("joined") - F.col("rest")), *(of(F.col("counts")[i]) for i in range(len(CLASSES) + 1))]
+    classes = F.array(*(F.coalesce(F.try_divide(x, "chars").cast("double"), F.lit(0.0)) for x in sums))
+    classes = chars.join(total, "lang", "left").select("lang", classes.alias("classes"))
     by_rank = Window.partitionBy("lang").orderBy(F.desc("n"), "w")
     top = words.withColumn("r", F.row_number().over(by_rank)).where(F.col("r") <= rules.common_words)
     share = F.struct(F.xxhash64("w").alias("h"), (F.col("n") / F.col("total")).cast("double").alias("p"))
-    pairs = top.join(total, "lang").groupBy("lang").agg(F.map_from_entries(F.array_sort(F.collect_list(share))).alias("common"))
+    pairs = top.join(total.select("lang", "total"), "lang").groupBy("lang").agg(F.map_from_entries(F.array_sort(F.collect_list(share))).alias("common"))
     place = lambda h: F.pmod(h, F.lit(_SLOTS)).cast("int")
     keys = F.map_keys("common")
     by_slot = F.map_from_entries(F.transform(F.array_distinct(F.transform(keys, place)), lambda i: F.struct(i, F.filter(keys, lambda h: place(h) == i))))
     common = pairs.select("lang", "common", by_slot.alias("by_slot"))
     common = common.select("lang", "common", F.transform(F.sequence(F.lit(0), F.lit(_SLOTS - 1)), lambda i: F.try_element_at("by_slot", i)).alias("slots"))
-    held = _sum(F.map_values("common"))
-    return classes.join(common, "lang", "left").withColumn("reach", F.sqrt(held / 2 + _half(F.lit(1.0), F.lit(1.0) - held)))
+    known = _sum(F.map_values("common"))
+    return classes.join(common, "lang", "left").withColumn("reach", F.sqrt(known / 2 + _half(F.lit(1.0), F.lit(1.0) - known)))
 
 
 def _half(p: Column, q: Column) -> Column:
@@ -193,7 +192,7 @@ def _word_distance(words: Column, n: Column, common: Column, slots: Column) -> C
     return _let(F.filter(words, lambda w: F.array_contains(F.get(slots, F.pmod(w, F.lit(_SLOTS)).cast("int")), w)), of)
 
 
-def quality_verdicts(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rules: Rules = Rules()) -> DataFrame:
+def quality_verdicts(df: DataFrame, *, text: str = "text", lang: str = "lang", rules: Rules = Rules()) -> DataFrame:
     """``df`` plus ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, word_distance, kept``.
 
     A document is kept if it passes the base rules and, where it is long enough to be judged, its
@@ -209,7 +208,7 @@ def quality_verdicts(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     given = [c for c in df.columns if c.lower() not in made]
     # Callers' columns travel in one struct, so that none clashes with a working column.
     source = df.select(F.struct(*map(col, given)).alias("_row"), col(text).alias("_text"), col(lang).alias("_of"))
-    one = materialise(references(df, text, lang, doc_id, rules)).select(F.col("lang").alias(label), F.struct("classes", "common", "slots", "reach").alias("_ref"))
+    one = materialise(references(df, text, lang, rules)).select(F.col("lang").alias(label), F.struct("classes", "common", "slots", "reach").alias("_ref"))
     every = one.where(F.col("_ref.common").isNotNull()).agg(F.collect_list("_ref").alias("_refs"))
     refs = one.select(label, F.array("_ref").alias("_refs")).unionByName(every.select(F.lit(None).cast("string").alias(label), "_refs"))
     counted = base_counts(source, "_text", rules)
