@@ -52,6 +52,14 @@ def sketch(found: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype("uint8")).view("int64")
 
 
+#: Rows of a piece of a batch: results are sent on piece by piece.
+_PIECE = 256
+
+
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(at, _PIECE) for at in range(0, max(1, batch.num_rows), _PIECE))
+
+
 def _prefixes(lean: DataFrame, shingle: int, similarity: float, frequent: list[int]) -> DataFrame:
     """``doc_id, uid, node, n, fp, sketch, prefix``: a text's set by digest, its size, its SimHash, and the shingles it is found by."""
     common = np.array(frequent, "int64").view("uint64")
@@ -59,7 +67,7 @@ def _prefixes(lean: DataFrame, shingle: int, similarity: float, frequent: list[i
     common = common[by_hash]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _pieces(whole)):
             nodes, sizes, prints, prefixes, sketches = [], [], [], [], [np.zeros(0, "int64")]
             for raw in batch.column(2):
                 found = shingle_set(raw.as_py() or b"", shingle)
@@ -72,7 +80,8 @@ def _prefixes(lean: DataFrame, shingle: int, similarity: float, frequent: list[i
                     # Frequent shingles last, the most frequent at the very end.
                     rank = np.where(common[at] == found, len(common) - by_hash[at], 0)
                     found = found[np.argsort(rank, kind="stable")]
-                prefixes.append(found[: len(found) - overlap(len(found), similarity) + 1])
+                # A copy, as a view would keep the whole set.
+                prefixes.append(found[: len(found) - overlap(len(found), similarity) + 1].copy())
             ends = np.concatenate(([0], np.cumsum([len(x) for x in prefixes]))).astype("int32")
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, "uint64")
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view("int64")))
