@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import materialise, release
 
+#: Links of a file that a round leaves, about; tables of fewer have two files, however many partitions a shuffle has.
+_FILE = 65_536
+
 
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``node, component`` for the nodes of ``links(a long, b long)``; a component is its smallest node.
@@ -14,8 +17,9 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     Large-star / small-star contraction: each round re-hangs every link under the smallest known
     neighbour, so the link table never grows and converges in a logarithmic number of rounds.
     Neighbour minima are aggregated before the join, so the centre of a large star is a skewed join
-    key (which adaptive execution splits), never one group in one task. Self links, repeated links
-    and nulls are ignored; an empty table gives an empty result.
+    key (which adaptive execution splits), never one group in one task. As the table never grows, the
+    count of its links says how many files a round needs, so that few links are not spread over a file for each
+    partition of a shuffle, round by round. Self links, repeated links and nulls are ignored; an empty table gives an empty result.
     """
     links = (
         links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
@@ -25,7 +29,8 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     links = materialise(links)
     before = _signature(links)
     for _ in range(max_rounds):
-        links = materialise(_small_star(_large_star(links)))
+        files = 2 + before[0] // _FILE
+        links = materialise(_small_star(_large_star(links)).coalesce(files))
         after = _signature(links)
         release(links.sparkSession)
         if after == before:
@@ -34,7 +39,7 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle within {max_rounds} rounds")
     leaves = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return leaves.union(links.select("b", "b").distinct())
+    return leaves.union(links.select("b", "b").distinct().coalesce(2 + after[0] // _FILE))
 
 
 def _signature(links: DataFrame) -> tuple:
