@@ -20,7 +20,7 @@ _WORD = r"[\p{L}\p{N}]+"
 _EVENT = "array<struct<last: int, first: int, term: int, stems: int>>"
 
 
-def _words(text: Column) -> Column:
+def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({_WORD})"), F.lit(1))
 
 
@@ -35,7 +35,7 @@ def postings(df: DataFrame, *, id_col: str, text: str, stems: Sequence[str] | No
     stemmed once and joined; with ``stems``, only those that can have one of them (a stem starts as its word does). Without
     ``english``, every word is kept as it is, in lower case.
     """
-    placed = df.select(id_col, F.posexplode(_words(F.col(text))).alias("at", "word"))
+    placed = df.select(id_col, F.posexplode(words(F.col(text))).alias("at", "word"))
     if english:
         placed = placed.where(~F.col("word").isin(sorted(STOP_WORDS)))
         if stems is not None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
@@ -14,10 +14,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.storage import broadcast_if_small
+from tessera.functions.english import lexeme
 from tessera.operators import fulltext
 from tessera.operators.fulltext import WEIGHT, Term
 
+#: Bytes of text that are dealt together, and words that a task turns to postings at a time.
+PIECE, STEP = 4_000_000, 1_000_000
+
 
 def _bucket(lexeme: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(lexeme), F.lit(buckets)).cast("int")
@@ -27,27 +30,58 @@ def _kind(of_id: str) -> str:
     return f"lexeme string, block bigint, n_docs int, most int, entries array<struct<id: {of_id}, positions: array<int>>>"
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows ``bucket, lexeme, block, id, positions`` as one row for each term and block; a task holds a batch and a block."""
-    rest = None
-    for batch in _then_none(batches):
-        table = rest if batch is None else pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-        if table is None or not table.num_rows:
-            continue
-        whole = table.combine_chunks()
-        bucket, lexeme, block, ids, positions = (c.chunk(0) for c in whole.columns)
-        changes = pc.or_(pc.not_equal(lexeme[1:], lexeme[:-1]), pc.not_equal(block[1:], block[:-1]))
-        starts = np.concatenate(([0], np.flatnonzero(changes.to_numpy(zero_copy_only=False)) + 1))
-        ends = np.append(starts[1:], whole.num_rows)
-        if batch is not None:  # the last block may go on
-            rest, starts, ends = whole.slice(int(starts[-1])), starts[:-1], ends[:-1]
-        if len(starts):
-            n = int(ends[-1])
-            entries = pa.ListArray.from_arrays(pa.array(np.append(starts, n).astype("int32")), pa.StructArray.from_arrays([ids[:n], positions[:n]], ["id", "positions"]))
-            most = np.maximum.reduceat(pc.list_value_length(positions[:n]).to_numpy(zero_copy_only=False), starts).astype("int32")
-            at = pa.array(starts)
-            columns = [lexeme.take(at), block.take(at), pa.array((ends - starts).astype("int32")), pa.array(most), entries, bucket.take(at)]
-            yield pa.RecordBatch.from_arrays(columns, names=["lexeme", "block", "n_docs", "most", "entries", "bucket"])
+def _posted(english: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function that makes rows ``id, block, words``, sorted by block, to one row for each term and block; a task holds a batch and a block."""
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in _then_none(batches):
+            table = rest if batch is None else pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            if table is None or not table.num_rows:
+                continue
+            block = table["block"].to_numpy()
+            ends = np.append(np.flatnonzero(block[1:] != block[:-1]) + 1, table.num_rows)
+            if batch is not None:  # the last block may go on
+                rest, ends = table.slice(int(ends[-2]) if len(ends) > 1 else 0), ends[:-1]
+            words = np.cumsum(pc.list_value_length(table["words"]).to_numpy())
+            begin = done = 0
+            for end, more in zip(ends, [*ends, None][1:], strict=True):
+                if more is None or words[more - 1] - done > STEP:  # whole blocks of about so many words at a time
+                    found = _terms(table.slice(begin, int(end) - begin), english)
+                    if found is not None:
+                        yield found
+                    begin, done = int(end), words[end - 1]
+
+    return post
+
+
+def _terms(rows: pa.Table, english: bool) -> pa.RecordBatch | None:
+    """Rows ``id, block, words`` of whole blocks as a row for each term and block; each distinct word is stemmed once."""
+    ids, blocks, words = (rows.sort_by([("block", "ascending"), ("id", "ascending")])[c].combine_chunks() for c in ("id", "block", "words"))
+    known = words.flatten().dictionary_encode()
+    stems = (pa.array([lexeme(w) for w in known.dictionary.to_pylist()], "string") if english else known.dictionary).dictionary_encode()
+    code = stems.indices.fill_null(-1).to_numpy()[known.indices.to_numpy()]
+    at = np.flatnonzero(code >= 0)
+    if not len(at):
+        return None
+    lengths = pc.list_value_length(words).to_numpy()
+    row = np.repeat(np.arange(len(lengths)), lengths)[at]
+    number = np.cumsum(np.append(0, np.diff(blocks.to_numpy()) != 0))[row]
+    key = number * len(stems.dictionary) + code[at]
+    order = np.argsort(key, kind="stable")  # rows and places stay in order within a term and block
+    at, row, key = at[order], row[order], key[order]
+    positions = (at - (np.cumsum(lengths) - lengths)[row] + 1).astype("int32")
+    entry = np.append(0, np.flatnonzero((np.diff(key) != 0) | (np.diff(row) != 0)) + 1)
+    first = np.append(0, np.flatnonzero(np.diff(key[entry])) + 1)  # entries that begin a term and block
+    held = pa.ListArray.from_arrays(pa.array(np.append(entry, len(at)).astype("int32")), pa.array(positions))
+    entries = pa.StructArray.from_arrays([ids.take(pa.array(row[entry])), held], ["id", "positions"])
+    most = np.maximum.reduceat(np.diff(np.append(entry, len(at))), first).astype("int32")
+    begins = entry[first]
+    columns = [
+        stems.dictionary.take(pa.array(code[at[begins]])), blocks.take(pa.array(row[begins])), pa.array(np.diff(np.append(first, len(entry))).astype("int32")), pa.array(most),
+        pa.ListArray.from_arrays(pa.array(np.append(first, len(entry)).astype("int32")), entries),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["lexeme", "block", "n_docs", "most", "entries"])
 
 
 def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -55,6 +89,29 @@ def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | N
     yield None
 
 
+def _blocks(texts: DataFrame, size: int) -> DataFrame:
+    """``texts(id, text)`` with ``n_bytes`` and ``block``: documents in order of their length, ``size`` of them at most a block.
+
+    They are dealt once, as ranges of lengths of about ``PIECE`` bytes each; lengths that are more frequent are spread by id. Numbers follow
+    from the table alone, so that two runs agree. A block ends at ``PIECE`` bytes, too.
+    """
+    bits = "length(bin(n_bytes))"
+    sized = texts.withColumn("n_bytes", F.octet_length("text")).withColumn("kind", F.expr(f"64 * {bits} + shiftright(shiftleft(cast(n_bytes as long), 6), {bits} - 1) - 64"))
+    part, held, ranges = 0, 0, []
+    for kind, n in sorted(sized.groupBy("kind").agg(F.sum("n_bytes")).collect()):  # 64 kinds for each power of two
+        if held and held + n > PIECE:
+            part, held = part + 1, 0
+        pieces = -(-n // PIECE) or 1
+        ranges.append((kind, part, pieces))
+        part, held = (part, held + n) if pieces == 1 else (part + pieces, 0)
+    dealt = sized.join(F.broadcast(texts.sparkSession.createDataFrame(ranges, "kind long, first long, pieces long")), "kind")
+    dealt = dealt.select("id", "text", "n_bytes", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("pieces"))).alias("part"))
+    ordered = Window.partitionBy("part").orderBy("n_bytes", "id")
+    before = F.sum("n_bytes").over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n_bytes")
+    number = F.floor((F.row_number().over(ordered) - 1) / size) + F.floor(before / PIECE)
+    return dealt.select("id", "text", "n_bytes", (F.col("part") * (1 << 32) + number).alias("block"))
+
+
 def build(df: DataFrame, folder: str, *, id_col: str, text: str, english: bool = True, buckets: int = 64, block: int = 128) -> None:
     """Write the index of ``df``'s texts to ``folder``: its terms are English stems, or whole lower-case words.
 
@@ -62,19 +119,15 @@ def build(df: DataFrame, folder: str, *, id_col: str, text: str, english: bool =
     what a term can give them, which keeps a block's maximum close to its members. ``documents`` has ``id, n_bytes, block``; ``postings``,
     partitioned by a hash of the term, has a row for each term and block: ``lexeme, block, n_docs, most`` (occurrences in a document,
     at most) and ``entries`` (id and positions), which bounds every row, however frequent the term. A document of no words has no postings.
+    Only the texts are exchanged, once: a block's documents are in one task, which makes all its rows, so no word ever moves.
     """
     spark = df.sparkSession
     texts = df.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    ordered = texts.select("id", F.octet_length("text").alias("n_bytes")).repartitionByRange("n_bytes", "id").sortWithinPartitions("n_bytes", "id")
-    # A partition's rows are numbered from a multiple of 2^33, so that no block spans two partitions.
-    ordered.withColumn("block", F.floor(F.monotonically_increasing_id() / block)).write.parquet(f"{folder}/documents")
-    blocks = spark.read.parquet(f"{folder}/documents").select("id", "block")
-    # Dealt by id, so that a document's words are gathered where it is.
-    found = fulltext.postings(texts.repartition("id"), id_col="id", text="text", english=english).join(broadcast_if_small(blocks, 24), "id")
-    # A term's blocks go to several tasks, so that a frequent one is not one task's work; a block of a term to one.
-    keyed = found.select(_bucket(F.col("lexeme"), buckets).alias("bucket"), "lexeme", "block", "id", "positions").repartition("bucket", F.pmod(F.xxhash64("block"), F.lit(16)))
-    rows = keyed.sortWithinPartitions("bucket", "lexeme", "block", "id").mapInArrow(_packed, f"{_kind(found.schema['id'].dataType.simpleString())}, bucket int")
-    rows.write.partitionBy("bucket").parquet(f"{folder}/postings")
+    numbered = _blocks(texts, block)
+    numbered.select("id", "n_bytes", "block").write.option("compression", "zstd").parquet(f"{folder}/documents")
+    words = numbered.select("id", "block", fulltext.words(F.col("text")).alias("words"))
+    rows = words.mapInArrow(_posted(english), _kind(texts.schema["id"].dataType.simpleString())).withColumn("bucket", _bucket(F.col("lexeme"), buckets))
+    rows.sortWithinPartitions("bucket", "lexeme", "block").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{folder}/postings")
     spark.createDataFrame([(buckets, block, english)], "buckets int, block int, english boolean").coalesce(1).write.json(f"{folder}/about")
 
 
