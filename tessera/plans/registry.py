@@ -182,13 +182,18 @@ def facts_summary(d: Domain) -> DataFrame:
     where concept in ('FlagA', 'FlagR') qualify row_number() over (partition by f.cik order by filed_date desc, end_date desc, concept, observation_key) <= 20""", "facts", "companies"))
 def financial_facts_latest(d: Domain) -> DataFrame:
     """Each company's latest facts: by filing date, period end, concept and identity."""
+    return latest_facts(d.facts_raw(), d.companies())
+
+
+def latest_facts(facts: DataFrame, companies: DataFrame) -> DataFrame:
+    """The latest 20 of ``facts`` for each of ``companies``, as ``financial_facts_latest`` has them."""
     from pyspark.sql import Window
 
     order = Window.partitionBy("cik").orderBy(F.desc("filed_date"), F.desc("end_date"), "concept", "observation_key")
     # The concept is part of a fact's identity, so the filter may go before the removal of repeated deliveries.
-    wanted = d.facts_raw().where(F.col("concept").isin("FlagA", "FlagR"))
-    facts = store.first_wins(wanted, ["observation_key"], "source_order").join(d.companies().select("cik", "legal_name"), "cik")
-    best = facts.withColumn("n", F.row_number().over(order)).where("n <= 20")
+    wanted = facts.where(F.col("concept").isin("FlagA", "FlagR"))
+    named = store.first_wins(wanted, ["observation_key"], "source_order").join(companies.select("cik", "legal_name"), "cik")
+    best = named.withColumn("n", F.row_number().over(order)).where("n <= 20")
     return best.select("cik", "legal_name", "concept", "fiscal_year", "value", "end_date", "filed_date", "form_type", "accession_number", "observation_key")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.embedding import hashed_embedding
-from tessera.functions.storage import kept
+from tessera.functions.storage import broadcast_if_small, kept, stored
 from tessera.operators import contracts, documents, retrieval, store, vectorindex
 from tessera.operators.fulltext import term
 from tessera.plans import registry
@@ -79,14 +79,17 @@ def hybrid_search_english(d: Domain) -> DataFrame:
 def generation_envelope(d: Domain) -> DataFrame:
     """What a generator is given, one JSON text for each company found: numbered evidence and the company's latest facts.
 
-    Evidence is bounded by the search's results and facts by 20 a company; dates are ISO, decimals plain.
+    Evidence is bounded by the search's results and facts by 20 a company; dates are ISO, decimals plain. Only the companies found are looked up:
+    their filings are broadcast to the facts if they are few.
     """
-    found = _hybrid(d).select("doc_id", "score")
+    found = stored(_hybrid(d).select("doc_id", "score"))
     place = F.row_number().over(Window.partitionBy("cik").orderBy(F.desc("score"), "doc_id"))
-    cited = d.sections().join(F.broadcast(found), "doc_id").withColumn("n", place)
+    cited = d.sections(found).join(F.broadcast(found), "doc_id").withColumn("n", place)
     piece = F.struct("n", F.concat(F.lit("E"), F.col("n").cast("string")).alias("id"), "accession_number", "form_type", F.date_format("filing_date", "yyyy-MM-dd").alias("filing_date"), "section_name", "content")
-    evidence = cited.groupBy("cik").agg(F.array_sort(F.collect_list(piece)).alias("e"))
-    latest = registry.QUERIES["financial_facts_latest"](d.spark, d.folder)
+    evidence = stored(cited.groupBy("cik").agg(F.array_sort(F.collect_list(piece)).alias("e")))
+    of = lambda rows: rows.join(F.broadcast(evidence.select("cik")), "cik", "left_semi")
+    filings = broadcast_if_small(stored(of(d.filings())), 200)
+    latest = registry.latest_facts(d.facts_raw(filings), F.broadcast(of(d.companies())))
     order = Window.partitionBy("cik").orderBy(F.desc("filed_date"), F.desc("end_date"), "concept", "observation_key")
     fact = F.struct("n", F.concat(F.lit("F"), F.col("n").cast("string")).alias("id"), "concept", F.col("value").cast("string").alias("value"), F.date_format("end_date", "yyyy-MM-dd").alias("end_date"), "accession_number")
     facts = latest.withColumn("n", F.row_number().over(order)).groupBy("cik").agg(F.array_sort(F.collect_list(fact)).alias("f"))

@@ -38,10 +38,11 @@ class Domain:
             F.concat(F.lit("doc-"), F.col("o_orderkey").cast("string"), F.lit(".htm")).alias("primary_document"),
         )
 
-    def facts_raw(self) -> DataFrame:
+    def facts_raw(self, filings: DataFrame | None = None) -> DataFrame:
+        """Facts of all filings, or of some rows of ``filings()``."""
         year = F.year("l_shipdate")
         lines = self.raw("lineitem").withColumn("fiscal_year", year)
-        joined = lines.join(self.filings(), lines["l_orderkey"] == F.col("filing_id"))
+        joined = lines.join(self.filings() if filings is None else filings, lines["l_orderkey"] == F.col("filing_id"))
         return joined.select(
             "cik",
             F.when(F.col("l_linestatus") == "F", "us-gaap").otherwise("dei").alias("taxonomy"),
@@ -58,8 +59,11 @@ class Domain:
             F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice").alias("source_order"),
         ).withColumn("observation_key", identity.observation_key())
 
-    def sections(self) -> DataFrame:
+    def sections(self, few: DataFrame | None = None) -> DataFrame:
+        """All sections, or those of ``few(doc_id)``, whose texts are broadcast, so that neither texts nor filings are exchanged."""
         docs = self.raw("documents")
+        if few is not None:
+            docs = F.broadcast(docs.join(F.broadcast(few.select("doc_id")), "doc_id", "left_semi"))
         return docs.join(self.filings(), docs["doc_id"] == F.col("filing_id")).select(
             "doc_id", "cik", "accession_number", "form_type", "filing_date", F.col("source").alias("section_name"), F.col("text").alias("content")
         )
